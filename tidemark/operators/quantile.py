@@ -33,14 +33,14 @@ def exact_quantiles(
             n = counts[c]
             spots = [p * (n - 1) for p in probs]
             ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-            at = _values_at(df.select(F.col(f"`{c}`").cast("double").alias("v")).where("v is not null"), ranks, n, small)
+            at = values_at(df.select(F.col(f"`{c}`").cast("double").alias("v")).where("v is not null"), ranks, n, small)
             out[c] = [
                 at[math.floor(s)] + (at[math.ceil(s)] - at[math.floor(s)]) * (s - math.floor(s)) for s in spots
             ]
     return out
 
 
-def _values_at(values: DataFrame, ranks: Sequence[int], n: int, small: int) -> dict[int, float]:
+def values_at(values: DataFrame, ranks: Sequence[int], n: int, small: int = SMALL) -> dict[int, float]:
     """Values at 0-based ``ranks`` of the sorted column."""
     found: dict[int, float] = {}
     # rank -> (low, high, rows below low, rows inside)
