@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.order import positions, timeline
@@ -28,18 +28,16 @@ def shuffle_column(df: DataFrame, col: str, seed: int = 42) -> DataFrame:
 def shuffle_blocks(df: DataFrame, cols: Sequence[str], block: int = 50, seed: int = 42, start: int = 0) -> DataFrame:
     """Shuffle the rows of ``cols`` together inside blocks of ``block`` positions; the rest stays.
 
-    Both sides are grouped by block, so the join reuses the window's partitioning.
+    A block is one small group: its rows are laid beside its shuffled rows, with a single shuffle.
     """
-    number = F.floor((F.col("idx") - start) / block)
-    keyed = df.withColumn("__block", number)
-    w = Window.partitionBy("__block")
-    moved = keyed.select(
-        "__block",
-        (F.row_number().over(w.orderBy(shuffle_key(seed, F.col("idx")), "idx")) - 1).alias("__spot"),
-        *cols,
+    rest = [c for c in df.columns if c not in cols and c != "idx"]
+    stay = F.collect_list(F.struct("idx", *rest))
+    move = F.collect_list(F.struct(shuffle_key(seed, F.col("idx")).alias("k"), F.col("idx").alias("i"), F.struct(*cols).alias("v")))
+    pairs = df.groupBy(F.floor((F.col("idx") - start) / block).alias("__block")).agg(
+        F.arrays_zip(F.sort_array(stay).alias("a"), F.sort_array(move).alias("b")).alias("pairs")
     )
-    rest = keyed.drop(*cols).withColumn("__spot", ((F.col("idx") - start) % block).cast("int"))
-    return rest.join(moved, ["__block", "__spot"]).select(*df.columns)
+    one = pairs.select(F.explode("pairs").alias("p"))
+    return one.select("p.a.*", "p.b.v.*").select(*df.columns)
 
 
 def shuffle_features(df: DataFrame, cols: Sequence[str], seed: int = 42) -> DataFrame:
