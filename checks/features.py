@@ -185,7 +185,7 @@ def _quant(size: int) -> str:
 def _(spark, d):
     out = windowed(
         events_line(spark, d), 9,
-        lambda rows, w: rows.withColumns(feat.quantiles("value", w, 5) | feat.quantiles("value", w, 10)),
+        lambda rows, w: feat.quantiles(rows, ["value"], w),
     )
     return rounded(out.select("idx", *[f"value__roll{s}_{k}" for s in (5, 10) for k in ("median", "q10", "q90")]))
 

@@ -59,13 +59,27 @@ def inclusive(c: str, w: WindowSpec, size: int) -> dict[str, Column]:
     }
 
 
-def quantiles(c: str, w: WindowSpec, size: int) -> dict[str, Column]:
-    frame = w.rowsBetween(-(size - 1), 0)
-    return {
-        f"{c}__roll{size}_median": F.percentile(c, 0.5).over(frame),
-        f"{c}__roll{size}_q10": F.percentile(c, 0.1).over(frame),
-        f"{c}__roll{size}_q90": F.percentile(c, 0.9).over(frame),
+def quantiles(rows: DataFrame, cols: Sequence[str], w: WindowSpec, sizes: Sequence[int] = (5, 10)) -> DataFrame:
+    """Median, q10 and q90 of the last ``size`` rows with the current one, nulls skipped.
+
+    Each frame is collected and sorted once; a ``percentile`` aggregate would build a table of
+    values for every row and quantile.
+    """
+    held = {f"{c}__last{s}": F.collect_list(c).over(w.rowsBetween(-(s - 1), 0)) for c in cols for s in sizes}
+    rows = rows.withColumns(held).withColumns({name: F.sort_array(name) for name in held})
+    named = {
+        f"{c}__roll{s}_{k}": _at_share(F.col(f"{c}__last{s}"), q)
+        for c in cols for s in sizes for k, q in (("median", 0.5), ("q10", 0.1), ("q90", 0.9))
     }
+    return rows.withColumns(named).drop(*held)
+
+
+def _at_share(values: Column, q: float) -> Column:
+    """Linear interpolation at share ``q`` of a sorted array."""
+    spot = F.lit(q) * (F.size(values) - 1)
+    low = F.floor(spot).cast("int")
+    first, second = F.get(values, low), F.get(values, F.ceil(spot).cast("int"))
+    return F.when(F.size(values) > 0, first + (second - first) * (spot - low))
 
 
 def full_mean(c: str, w: WindowSpec, size: int) -> Column:
@@ -85,7 +99,7 @@ def _family_b(c: str, w: WindowSpec) -> dict[str, Column]:
 def _family_c(c: str, w: WindowSpec) -> dict[str, Column]:
     out = lags(c, w) | diff(c, w)
     for size in (5, 10):
-        out |= inclusive(c, w, size) | quantiles(c, w, size)
+        out |= inclusive(c, w, size)
     return out
 
 
@@ -119,7 +133,8 @@ def add_features(tl: Timeline, kpis: Sequence[str], family: str, fill: str | Non
         made: dict[str, Column] = {}
         for c in kpis:
             made |= build(c, w)
-        return rows.withColumns(made)
+        rows = rows.withColumns(made)
+        return quantiles(rows, kpis, w) if family == "C" else rows
 
     carry = edges(clean, kpis, lookback) if method else None
     return tl.with_df(windowed(clean, lookback, frame, carry))

@@ -16,6 +16,11 @@ def _known(col: str) -> Column:
     return F.when(F.col(col).isNotNull(), F.struct("idx", F.col(col).alias("value")))
 
 
+def _carried(col: str, side: str) -> Column:
+    at = F.col(f"{col}__{side}_idx")
+    return F.when(at.isNotNull(), F.struct(at.alias("idx"), F.col(f"{col}__{side}").alias("value")))
+
+
 def apply_fill(tl: Timeline, rows: DataFrame, cols: Sequence[str], method: str) -> DataFrame:
     """Fill ``cols`` inside one chunk frame that carries the columns of :func:`order.edges`.
 
@@ -29,19 +34,20 @@ def apply_fill(tl: Timeline, rows: DataFrame, cols: Sequence[str], method: str)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if method == "linear":
         ahead = tl.window(descending=True).rowsBetween(Window.unboundedPreceding, 0)
+        # Both orders share a partitioning: the second one costs a sort, not a shuffle.
         rows = rows.withColumns(
-            {f"{c}__prev": F.coalesce(F.last(_known(c), True).over(so_far), F.col(f"{c}__before")) for c in cols}
+            {f"{c}__prev": F.coalesce(F.last(_known(c), True).over(so_far), _carried(c, "before")) for c in cols}
         ).withColumns(
-            {f"{c}__next": F.coalesce(F.last(_known(c), True).over(ahead), F.col(f"{c}__after")) for c in cols}
+            {f"{c}__next": F.coalesce(F.last(_known(c), True).over(ahead), _carried(c, "after")) for c in cols}
         )
         rows = rows.withColumns({c: _between(c) for c in cols})
         return rows.drop(*[f"{c}__prev" for c in cols], *[f"{c}__next" for c in cols])
-    forward = {c: F.coalesce(F.last(c, True).over(so_far), F.col(f"{c}__before.value")) for c in cols}
+    forward = {c: F.coalesce(F.last(c, True).over(so_far), F.col(f"{c}__before")) for c in cols}
     if method == "causal":
         return rows.withColumns(forward)
     # Only leading nulls are left after the forward fill, so the first value is the next one.
     return rows.withColumns(
-        {c: F.coalesce(f, F.first(c, True).over(whole), F.col(f"{c}__after.value")) for c, f in forward.items()}
+        {c: F.coalesce(f, F.first(c, True).over(whole), F.col(f"{c}__after")) for c, f in forward.items()}
     )
 
 

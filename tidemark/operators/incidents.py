@@ -36,13 +36,15 @@ def group_incidents(tl: Timeline, gap_rows: int = 0, ts: str = "timestamp", aler
     )
     # One row per run inside a chunk.
     runs = local.groupBy("__chunk", *keys, F.coalesce("run", F.lit(0)).alias("run")).agg(
-        F.min(F.struct("idx", "ts")).alias("first"),
-        F.max(F.struct("idx", "ts")).alias("last"),
+        F.min("idx").alias("head"),
+        F.max("idx").alias("tail"),
+        F.min_by("ts", "idx").alias("start_ts"),
+        F.max_by("ts", "idx").alias("end_ts"),
         F.count("*").alias("n_rows"),
         F.max("score").alias("max_score"),
     )
     chunks = runs.groupBy("__chunk", *keys).agg(
-        F.min("first.idx").alias("head"), F.max("last.idx").alias("tail"), F.max("run").alias("breaks")
+        F.min("head").alias("head"), F.max("tail").alias("tail"), F.max("run").alias("breaks")
     )
     opened = chunks.withColumn(
         "opens", (F.col("head") - F.lag("tail").over(steps) > gap_rows + 1).cast("bigint")
@@ -63,17 +65,9 @@ def group_incidents(tl: Timeline, gap_rows: int = 0, ts: str = "timestamp", aler
         runs.join(numbered, same)
         .groupBy(*keys, (F.col("base") + F.col("run")).alias("incident_id"))
         .agg(
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
+            F.min_by("start_ts", "head").alias("start_ts"),
+            F.max_by("end_ts", "tail").alias("end_ts"),
             F.sum("n_rows").alias("n_rows"),
             F.max("max_score").alias("max_score"),
         )
-        .select(
-            *keys,
-            "incident_id",
-            F.col("first.ts").alias("start_ts"),
-            F.col("last.ts").alias("end_ts"),
-            "n_rows",
-            "max_score",
-        )
     )

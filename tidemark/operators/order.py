@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-MIN_CHUNK = 2_048
-MAX_CHUNK = 1_048_576
-_PART, _PLACE, _CHUNK, _ZONE = "__part", "__place", "__chunk", "__zone"
+CHUNK = 2_048
+MAX_CHUNKS = 1_000_000
+_PART, _PLACE, _CHUNK = "__part", "__place", "__chunk"
 _ROW_BITS = (1 << 33) - 1  # row part of monotonically_increasing_id()
 
 
-def chunk_rows(n: int, tasks: int, lookback: int = 0) -> int:
-    wanted = -(-n // max(1, 4 * tasks))
-    return max(min(max(wanted, MIN_CHUNK), MAX_CHUNK), 2 * lookback + 1)
+def chunk_rows(n: int, lookback: int = 0) -> int:
+    """Rows per chunk: few enough for a window's in-memory buffer (4,096 rows by default), unless
+    the summary table, with its one row per chunk, would pass ``MAX_CHUNKS`` rows.
+    """
+    return max(CHUNK, -(-n // MAX_CHUNKS), 2 * lookback + 1)
 
 
 @dataclass(frozen=True)
@@ -73,8 +75,7 @@ def timeline(
         n += sizes.get(part, 0)
     starts = F.split(F.lit(",".join(map(str, offsets or [0]))), ",").cast("array<bigint>")
     numbered = stored.withColumn("idx", F.get(starts, F.col(_PART)) + F.col(_PLACE)).drop(_PART, _PLACE)
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return Timeline(numbered, n, chunk or chunk_rows(n, tasks), tuple(keys))
+    return Timeline(numbered, n, chunk or chunk_rows(n), tuple(keys))
 
 
 def from_indexed(
@@ -83,12 +84,11 @@ def from_indexed(
     """Use a table that already has ``idx`` (dense, series contiguous)."""
     if n is None:
         n = (df.agg(F.max("idx")).first()[0] or -1) + 1
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return Timeline(df, n, chunk or chunk_rows(n, tasks), tuple(keys))
+    return Timeline(df, n, chunk or chunk_rows(n), tuple(keys))
 
 
 def chunk_of(size: int) -> Column:
-    return F.floor(F.col("idx") / F.lit(size)).cast("bigint")
+    return F.expr(f"idx div {int(size)}")
 
 
 def windowed(
@@ -133,47 +133,36 @@ def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> tuple
     return rows.join(renamed, match, "left"), [_CHUNK, *extra]
 
 
-def _zones(tl: Timeline, lookback: int) -> DataFrame:
-    """Two zones per chunk: body, and the tail that the next chunk repeats."""
-    in_tail = (F.col("idx") % tl.chunk >= tl.chunk - lookback).cast("bigint") if lookback else F.lit(0)
-    return tl.df.withColumn(_ZONE, 2 * chunk_of(tl.chunk) + in_tail)
-
-
 def edges(tl: Timeline, cols: Sequence[str], lookback: int) -> DataFrame:
-    """Per chunk and series: the nearest non-null ``(idx, value)`` on either side of the rows
-    that :func:`windowed` shows that chunk, as ``<col>__before`` and ``<col>__after``.
+    """Per chunk and series: the nearest non-null value on either side of the rows that
+    :func:`windowed` shows that chunk, and its position.
+
+    Columns ``<col>__before, <col>__before_idx, <col>__after, <col>__after_idx``. One hash aggregate
+    over the rows gives one summary row per chunk and series; the rest runs on that summary.
     """
-    known = {c: F.when(F.col(c).isNotNull(), F.struct("idx", F.col(c).alias("value"))) for c in cols}
-    summary = _zones(tl, lookback).groupBy(_ZONE, *tl.keys).agg(
-        *[F.max(v).alias(f"{c}__last") for c, v in known.items()],
-        *[F.min(v).alias(f"{c}__first") for c, v in known.items()],
-    )
-    w = Window.partitionBy(*tl.keys).orderBy(_ZONE)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    known = {c: F.when(F.col(c).isNotNull(), F.col("idx")) for c in cols}
+    in_tail = F.col("idx") % tl.chunk >= tl.chunk - lookback
+    made = []
+    for c in cols:
+        # "body" leaves out the rows that the next chunk sees as its look-back.
+        body = F.when(~in_tail, known[c]) if lookback else known[c]
+        for name, at, pick, edge in (("all", known[c], F.max_by, F.max), ("body", body, F.max_by, F.max), ("first", known[c], F.min_by, F.min)):
+            made += [pick(F.col(c), at).alias(f"{c}__{name}"), edge(at).alias(f"{c}__{name}_idx")]
+    summary = tl.df.withColumn(_CHUNK, chunk_of(tl.chunk)).groupBy(_CHUNK, *tl.keys).agg(*made)
+    up = Window.partitionBy(*tl.keys).orderBy(_CHUNK)
     # The mirrored order keeps the "what follows" frame linear.
-    later = Window.partitionBy(*tl.keys).orderBy(F.desc(_ZONE)).rowsBetween(Window.unboundedPreceding, 0)
-    flat = summary.select(
-        _ZONE,
-        *tl.keys,
-        *[F.max(f"{c}__last").over(earlier).alias(f"{c}__before") for c in cols],
-        *[F.min(f"{c}__first").over(later).alias(f"{c}__after") for c in cols],
-    )
-    # What precedes a chunk's repeated tail belongs to the next chunk; what starts at a chunk's
-    # body belongs to the previous one.
-    first_zone = F.col(_ZONE) % 2 == 0
-    if lookback:
-        into = F.when(~first_zone, F.floor((F.col(_ZONE) + 1) / 2))
-    else:
-        into = F.when(first_zone, F.floor(F.col(_ZONE) / 2))
-    before = flat.select(
-        into.cast("bigint").alias(_CHUNK), *tl.keys, *[f"{c}__before" for c in cols]
-    ).where(F.col(_CHUNK).isNotNull())
-    after = flat.select(
-        F.when(first_zone, F.floor(F.col(_ZONE) / 2) - 1).cast("bigint").alias(_CHUNK),
-        *tl.keys,
-        *[f"{c}__after" for c in cols],
-    ).where(F.col(_CHUNK) >= 0)
-    return before.join(after, [_CHUNK, *tl.keys], "full")
+    later = Window.partitionBy(*tl.keys).orderBy(F.desc(_CHUNK)).rangeBetween(Window.unboundedPreceding, -1)
+    earlier, previous = up.rangeBetween(Window.unboundedPreceding, -2), up.rangeBetween(-1, -1)
+    out = []
+    for c in cols:
+        old, old_at = F.last(f"{c}__all", True).over(earlier), F.max(f"{c}__all_idx").over(earlier)
+        out += [
+            F.coalesce(F.last(f"{c}__body", True).over(previous), old).alias(f"{c}__before"),
+            F.coalesce(F.max(f"{c}__body_idx").over(previous), old_at).alias(f"{c}__before_idx"),
+            F.last(f"{c}__first", True).over(later).alias(f"{c}__after"),
+            F.min(f"{c}__first_idx").over(later).alias(f"{c}__after_idx"),
+        ]
+    return summary.select(_CHUNK, *tl.keys, *out)
 
 
 def running_totals(tl: Timeline, totals: dict[str, Column]) -> DataFrame:

@@ -1,9 +1,9 @@
 """Exact quantiles by narrowing brackets.
 
 Small columns use Spark's exact ``percentile``. That aggregate keeps every distinct value in one
-place, so larger columns first ask ``percentile_approx`` for a bracket around each rank, count what
-lies below it, and repeat inside the bracket until few distinct values are left. Every step is one
-aggregate over the table; the result is exact.
+place, so larger columns first ask one ``percentile_approx`` for a bracket around each rank, count the
+rows between the bracket ends, and look for the rank among the few rows of its bracket. Every step is
+one aggregate over the table, whatever the number of quantiles; the result is exact.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL = 1_000_000
+SKETCH = 10_000  # accuracy of the first guess
 
 
 def exact_quantiles(
@@ -41,56 +43,46 @@ def exact_quantiles(
 
 
 def values_at(values: DataFrame, ranks: Sequence[int], n: int, small: int = SMALL) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the sorted column."""
+    """Values at 0-based ``ranks`` of the sorted column ``v``, which has ``n`` rows and no nulls."""
+    slack = 2.0 / SKETCH
+    probs = sorted({min(1.0, max(0.0, r / n + side)) for r in ranks for side in (-slack, slack)})
+    cuts = sorted(set(values.agg(F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), SKETCH)).first()[0]))
+    # Bins: between two cuts, and each cut itself, so that a crowded value needs no second look.
+    split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="v", outputCol="__b", handleInvalid="keep")
+    at = F.col("__b").cast("int")
+    low = F.get(F.array(*[F.lit(c) for c in cuts]), at - 1)
+    binned = split.transform(values).select("v", (2 * at - F.coalesce(F.col("v") == low, F.lit(False)).cast("int")).alias("bin"))
+    sizes = {r["bin"]: r["count"] for r in binned.groupBy("bin").count().collect()}
     found: dict[int, float] = {}
-    # rank -> (low, high, rows below low, rows inside)
-    open_: dict[int, tuple[float, float, int, int]] = {r: (-math.inf, math.inf, 0, n) for r in ranks}
-    while open_:
-        brackets = sorted({b for b in open_.values()})
-        inside = {b: (F.col("v") >= b[0]) & (F.col("v") <= b[1]) for b in brackets}
-        tiny = [b for b in brackets if b[3] <= small]
-        for b in tiny:
-            # At most ``small`` rows: a running count over their distinct values finds each rank.
-            sizes = values.where(inside[b]).groupBy("v").count()
-            upto = F.sum("count").over(Window.orderBy("v"))
-            spans = sizes.select("v", (upto - F.col("count")).alias("start"), upto.alias("stop"))
-            mine = [r for r, box in open_.items() if box == b]
-            hit = F.filter(
-                F.array(*[F.lit(r).cast("bigint") for r in mine]),
-                lambda r: (r - b[2] >= F.col("start")) & (r - b[2] < F.col("stop")),
-            )
-            for row in spans.select("v", F.explode(hit).alias("rank")).collect():
-                found[row["rank"]] = row["v"]
-                del open_[row["rank"]]
-        if not open_:
-            break
-        asked = []
-        for r, b in open_.items():
-            p, slack = (r - b[2]) / b[3], 2.0 / 10_000
-            ends = F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack)))
-            asked.append(F.percentile_approx(F.when(inside[b], F.col("v")), ends, 10_000).alias(f"r{r}"))
-        edges = values.agg(*asked).first()
-        probe = []
-        for r in open_:
-            low, high = edges[f"r{r}"]
-            probe += [F.count_if(F.col("v") < low).alias(f"lt{r}"), F.count_if(F.col("v") <= high).alias(f"le{r}"),
-                      F.count_if(F.col("v") <= low).alias(f"lo{r}"), F.count_if(F.col("v") < high).alias(f"hi{r}")]
-        seen = values.agg(*probe).first()
-        for r in list(open_):
-            low, high = edges[f"r{r}"]
-            old_low, old_high, below, rows = open_[r]
-            if seen[f"lt{r}"] <= r < seen[f"lo{r}"]:
-                found[r] = low
-                del open_[r]
-            elif seen[f"hi{r}"] <= r < seen[f"le{r}"]:
-                found[r] = high
-                del open_[r]
-            elif r < seen[f"lt{r}"]:
-                open_[r] = (old_low, low, below, seen[f"lo{r}"] - below)
-            elif r >= seen[f"le{r}"]:
-                open_[r] = (high, old_high, seen[f"hi{r}"], below + rows - seen[f"hi{r}"])
-            else:
-                open_[r] = (low, high, seen[f"lt{r}"], seen[f"le{r}"] - seen[f"lt{r}"])
+    inner: dict[int, list[tuple[int, int]]] = {}  # bin -> (rank, rank inside the bin)
+    start = 0
+    for b in sorted(sizes):
+        for r in ranks:
+            if start <= r < start + sizes[b]:
+                if b % 2:
+                    found[r] = cuts[(b - 1) // 2]
+                else:
+                    inner.setdefault(b, []).append((r, r - start))
+        start += sizes[b]
+    few = {b: hits for b, hits in inner.items() if sizes[b] <= small}
+    if few:
+        wanted = F.create_map(*[x for b, hits in few.items() for x in (F.lit(b), F.array(*[F.lit(i) for _, i in hits]))])
+        upto = F.sum("count").over(Window.partitionBy("bin").orderBy("v"))
+        spans = binned.where(F.col("bin").isin(list(few))).groupBy("bin", "v").count().select(
+            "bin", "v", (upto - F.col("count")).alias("start"), upto.alias("stop"))
+        hit = F.filter(wanted[F.col("bin")], lambda i: (i >= F.col("start")) & (i < F.col("stop")))
+        got = {(r["bin"], r["i"]): r["v"] for r in spans.select("bin", "v", F.explode(hit).alias("i")).collect()}
+        found |= {r: got[b, i] for b, hits in few.items() for r, i in hits}
+    for b, hits in inner.items():
+        if b not in few:
+            below, above = b // 2 - 1, b // 2
+            part = values
+            if below >= 0:
+                part = part.where(F.col("v") > cuts[below])
+            if above < len(cuts):
+                part = part.where(F.col("v") < cuts[above])
+            deeper = values_at(part, [i for _, i in hits], sizes[b], small)
+            found |= {r: deeper[i] for r, i in hits}
     return found
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,9 +45,15 @@ def rank_models(df: DataFrame, by: Sequence[str], tie: str = "model") -> DataFra
 
 
 def latest(df: DataFrame, ts: str, keys: Sequence[str] = (), tie: str | None = None) -> DataFrame:
-    """The last row per series, as a partial aggregate."""
-    order: Column = F.struct(ts, tie) if tie else F.col(ts)
+    """The last row per series, as a partial aggregate.
+
+    With a single ordering column (which must be unique in a series) fixed-width columns stay in a
+    hash aggregate.
+    """
     rest = [c for c in df.columns if c not in keys]
+    if tie is None:
+        return df.groupBy(*keys).agg(*[F.max_by(F.col(c), F.col(ts)).alias(c) for c in rest])
+    order = F.struct(ts, tie)
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
