@@ -12,15 +12,6 @@ from tidemark.operators.order import Timeline, edges, windowed
 METHODS = ("both", "causal", "linear")
 
 
-def _known(col: str) -> Column:
-    return F.when(F.col(col).isNotNull(), F.struct("idx", F.col(col).alias("value")))
-
-
-def _carried(col: str, side: str) -> Column:
-    at = F.col(f"{col}__{side}_idx")
-    return F.when(at.isNotNull(), F.struct(at.alias("idx"), F.col(f"{col}__{side}").alias("value")))
-
-
 def apply_fill(tl: Timeline, rows: DataFrame, cols: Sequence[str], method: str) -> DataFrame:
     """Fill ``cols`` inside one chunk frame that carries the columns of :func:`order.edges`.
 
@@ -35,13 +26,15 @@ def apply_fill(tl: Timeline, rows: DataFrame, cols: Sequence[str], method: str)
     if method == "linear":
         ahead = tl.window(descending=True).rowsBetween(Window.unboundedPreceding, 0)
         # Both orders share a partitioning: the second one costs a sort, not a shuffle.
-        rows = rows.withColumns(
-            {f"{c}__prev": F.coalesce(F.last(_known(c), True).over(so_far), _carried(c, "before")) for c in cols}
-        ).withColumns(
-            {f"{c}__next": F.coalesce(F.last(_known(c), True).over(ahead), _carried(c, "after")) for c in cols}
-        )
-        rows = rows.withColumns({c: _between(c) for c in cols})
-        return rows.drop(*[f"{c}__prev" for c in cols], *[f"{c}__next" for c in cols])
+        prev, following = {}, {}
+        for c in cols:
+            at = F.when(F.col(c).isNotNull(), F.col("idx"))
+            prev[f"{c}__prev"] = F.coalesce(F.last(c, True).over(so_far), F.col(f"{c}__before"))
+            prev[f"{c}__prev_idx"] = F.coalesce(F.max(at).over(so_far), F.col(f"{c}__before_idx"))
+            following[f"{c}__next"] = F.coalesce(F.last(c, True).over(ahead), F.col(f"{c}__after"))
+            following[f"{c}__next_idx"] = F.coalesce(F.min(at).over(ahead), F.col(f"{c}__after_idx"))
+        rows = rows.withColumns(prev).withColumns(following)
+        return rows.withColumns({c: _between(c) for c in cols}).drop(*prev, *following)
     forward = {c: F.coalesce(F.last(c, True).over(so_far), F.col(f"{c}__before")) for c in cols}
     if method == "causal":
         return rows.withColumns(forward)
@@ -52,14 +45,10 @@ def apply_fill(tl: Timeline, rows: DataFrame, cols: Sequence[str], method: str)
 
 
 def _between(c: str) -> Column:
-    p, n = F.col(f"{c}__prev"), F.col(f"{c}__next")
-    slope = (n["value"] - p["value"]) / (n["idx"] - p["idx"])
-    return F.coalesce(
-        F.col(c),
-        F.when(p.isNotNull() & n.isNotNull(), p["value"] + slope * (F.col("idx") - p["idx"])),
-        p["value"],
-        n["value"],
-    )
+    """Value on the line between the known neighbours; the nearest one at the ends."""
+    prev, following, start = F.col(f"{c}__prev"), F.col(f"{c}__next"), F.col(f"{c}__prev_idx")
+    slope = (following - prev) / (F.col(f"{c}__next_idx") - start)
+    return F.coalesce(F.col(c), prev + slope * (F.col("idx") - start), prev, following)
 
 
 def fill(tl: Timeline, cols: Sequence[str], method: str = "both") -> DataFrame:

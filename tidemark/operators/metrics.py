@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scores as fs
 from tidemark.functions.kpi import TOP_SHARES
 from tidemark.operators import quantile
-from tidemark.operators.order import positions, running_totals, timeline
+from tidemark.operators.order import running_totals, timeline
 
 BROADCAST_ROWS = 50_000
 
@@ -44,13 +44,9 @@ def curve(df: DataFrame, score: str = "score", label: str = "y", keys: Sequence[
         F.count("*").alias("n_at"), F.sum(F.col(label).cast("bigint")).alias("tp_at")
     )
     line = timeline(grouped, [F.desc("threshold")], keys=keys)
-    running = running_totals(line, {"n_above": F.col("n_at"), "tp_above": F.col("tp_at")}).drop("idx")
-    sums = [F.sum("n_at").alias("n"), F.sum("tp_at").alias("pos")]
-    if keys:
-        totals = line.df.groupBy(*keys).agg(*sums)
-        return match_keys(running, small_side(totals), keys)
-    total = line.df.agg(*sums).first()
-    return running.withColumns({c: F.lit(total[c]).cast("bigint") for c in ("n", "pos")})
+    return running_totals(
+        line, {"n_above": F.col("n_at"), "tp_above": F.col("tp_at")}, {"n_above": "n", "tp_above": "pos"}
+    ).drop("idx")
 
 
 def with_rates(points: DataFrame) -> DataFrame:
@@ -166,21 +162,23 @@ def at_top(
     """
     rows = df.select(*keys, F.col(score).alias("__s"), F.col(label).cast("bigint").alias("__y"), F.col(tie).alias("__t"))
     rows = rows.where(F.col("__s").isNotNull())
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("__y").alias("pos"))
     by = [F.desc("__s"), F.desc("__t")]
-    if keys:
-        ranked = match_keys(positions(timeline(rows, by, keys=keys), "rank"), small_side(totals), keys)
-    else:
-        total = totals.first()
-        n = total["n"]
+    if not keys:
+        n = rows.count()
         if n > quantile.SMALL:
-            # Only rows that can be among the best need sorting.
+            # Only rows that can be among the best need sorting; the others only count.
             low = n - max(1, int(n * max(shares)))
             cut = quantile.values_at(rows.select(F.col("__s").cast("double").alias("v")), [low], n)[low]
-            rows = rows.where(F.col("__s") >= cut)
-        ranked = timeline(rows, by).df.withColumns(
-            {"rank": F.col("idx"), "n": F.lit(n).cast("bigint"), "pos": F.lit(total["pos"]).cast("bigint")}
-        )
+            pos = rows.agg(F.sum("__y")).first()[0]
+            best = timeline(rows.where(F.col("__s") >= cut), by).df
+            ranked = best.withColumns({"rank": F.col("idx"), "n": F.lit(n).cast("bigint"), "pos": F.lit(pos).cast("bigint")})
+            return ranked.agg(*_top_aggregates(shares))
+    line = timeline(rows, by, keys=keys)
+    ranked = running_totals(line, {"rank": F.lit(1).cast("bigint"), "pos_so_far": F.col("__y")}, {"rank": "n", "pos_so_far": "pos"})
+    return ranked.withColumn("rank", F.col("rank") - 1).groupBy(*keys).agg(*_top_aggregates(shares))
+
+
+def _top_aggregates(shares: Sequence[float]) -> list[Column]:
     out = []
     for share in shares:
         size = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") * F.lit(share)).cast("bigint"))
@@ -188,7 +186,7 @@ def at_top(
         name = f"{int(share * 100)}p"
         out.append((F.sum(F.when(best, F.col("__y"))) / F.count_if(best)).alias(f"precision_at_{name}"))
         out.append((F.sum(F.when(best, F.col("__y"))) / F.greatest(F.lit(1), F.max("pos"))).alias(f"recall_at_{name}"))
-    return ranked.groupBy(*keys).agg(*out)
+    return out
 
 
 def fold_summary(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

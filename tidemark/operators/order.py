@@ -165,28 +165,34 @@ def edges(tl: Timeline, cols: Sequence[str], lookback: int) -> DataFrame:
     return summary.select(_CHUNK, *tl.keys, *out)
 
 
-def running_totals(tl: Timeline, totals: dict[str, Column]) -> DataFrame:
-    """Inclusive running sums along each series."""
+def running_totals(tl: Timeline, totals: dict[str, Column], whole: dict[str, str] | None = None) -> DataFrame:
+    """Inclusive running sums along each series.
+
+    ``whole`` maps names of ``totals`` to columns for the series' full sum. It comes from the same
+    summary table, so that a large series is never joined by its key.
+    """
     per_chunk = (
         tl.df.withColumn(_CHUNK, chunk_of(tl.chunk))
         .groupBy(_CHUNK, *tl.keys)
         .agg(*[F.sum(v).alias(f"{name}__sum") for name, v in totals.items()])
     )
-    earlier = Window.partitionBy(*tl.keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*tl.keys)
+    earlier = w.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole or {}
     carry = per_chunk.select(
         _CHUNK,
         *tl.keys,
         *[F.sum(f"{name}__sum").over(earlier).alias(f"{name}__carry") for name in totals],
+        *[F.sum(f"{name}__sum").over(w).alias(f"{name}__whole") for name in whole],
     )
 
-    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumns(
-            {
-                name: F.sum(v).over(so_far) + F.coalesce(F.col(f"{name}__carry"), F.lit(0))
-                for name, v in totals.items()
-            }
-        )
+    def build(rows: DataFrame, frame: WindowSpec) -> DataFrame:
+        so_far = frame.rowsBetween(Window.unboundedPreceding, 0)
+        sums = {
+            name: F.sum(v).over(so_far) + F.coalesce(F.col(f"{name}__carry"), F.lit(0))
+            for name, v in totals.items()
+        }
+        return rows.withColumns(sums | {to: F.col(f"{name}__whole") for name, to in whole.items()})
 
     return windowed(tl, 0, build, carry)
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MAX_CLASSES = 1_000
+
+
 def _missing(df: DataFrame, c: str):
     col = F.col(f"`{c}`")
     if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
@@ -40,7 +43,10 @@ def missing_top(df: DataFrame, k: int = 10) -> DataFrame:
 def class_histogram(df: DataFrame, value: str, label: str = "anomaly", bins: int = 30) -> DataFrame:
     """``bins`` equal bins over each class's own range, empty bins included."""
     known = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
-    ranges = {r[label]: (r["lo"], r["hi"]) for r in known.groupBy(label).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).limit(1000).collect()}
+    found = known.groupBy(label).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).take(MAX_CLASSES + 1)
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    ranges = {r[label]: (r["lo"], r["hi"]) for r in found}
     lo_of, width_of = F.lit(None).cast("double"), F.lit(None).cast("double")
     edges = []
     for cls, (lo, hi) in ranges.items():

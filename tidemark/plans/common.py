@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.clean import drop_incomplete, drop_leaks, feature_columns, parse_time, require
@@ -84,8 +84,9 @@ def in_parallel(tasks: Sequence[Callable[[], object]], workers: int = PARALLEL_F
     """Submit Spark jobs from a few driver threads; results in order."""
     if workers <= 1 or len(tasks) <= 1:
         return [t() for t in tasks]
+    wrap = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(min(workers, len(tasks))) as pool:
-        return list(pool.map(lambda t: inheritable_thread_target(t)(), tasks))
+        return list(pool.map(lambda t: t(), [wrap(t) for t in tasks]))
 
 
 def score_fold(data: Prepared, fold: Fold, fit_on: Callable[[DataFrame], Scorer]) -> tuple[Scorer, DataFrame]:

@@ -49,8 +49,11 @@ def score_batch(batch: DataFrame, batch_id: int, path: str, score: Score, kpis:
     part = f"batch={batch_id}"
     if held is not None:
         held = held.withColumn("__new", F.lit(False))
-        last = held.groupBy(*keys).agg(F.max(F.struct(*order)).alias("__last"))
-        marked = match_keys(fresh, small_side(last), keys, "left") if keys else fresh.crossJoin(F.broadcast(last))
+        newest = F.max(F.struct(*order)).alias("__last")
+        if keys:
+            marked = match_keys(fresh, small_side(held.groupBy(*keys).agg(newest)), keys, "left")
+        else:
+            marked = fresh.withColumn("__last", held.select(newest).scalar())
         late = F.col("__last").isNotNull() & (F.struct(*order) < F.col("__last"))
         marked = materialize(marked.withColumn("__late", late).drop("__last"), "batch")
         marked.where("__late").drop("__late", "__new").write.mode("overwrite").parquet(f"{path}/late/{part}")
