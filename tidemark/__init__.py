@@ -1 +1,8 @@
 """Anomaly analytics for KPI time series on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions run inside tasks travel with the job: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -96,7 +96,7 @@ class IsolationForest:
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             t = int(pdf["tree"].iloc[0])
-            x = np.array(pdf.sort_values("idx")["features"].tolist(), dtype=float)
+            x = np.stack(pdf.sort_values("idx")["features"].to_numpy())
             grown = _grow(x, np.random.default_rng([seed, t, 1]), limit)
             return pd.DataFrame({"tree": [t], "nodes": [json.dumps(grown)]})
 
@@ -125,7 +125,7 @@ class IsolationForest:
                 if not len(col):
                     yield pd.Series([], dtype=float)
                     continue
-                x = np.array(col.tolist(), dtype=float)
+                x = np.stack(col.to_numpy())
                 total = np.zeros(len(x))
                 for t in forest:
                     node = np.zeros(len(x), dtype=np.int64)
@@ -182,7 +182,7 @@ class KernelMean:
             total, n = np.zeros(size), 0
             for pdf in batches:
                 if len(pdf):
-                    total += np.cos(np.array(pdf["features"].tolist(), dtype=float) @ weights + shift).sum(axis=0)
+                    total += np.cos(np.stack(pdf["features"].to_numpy()) @ weights + shift).sum(axis=0)
                     n += len(pdf)
             yield pd.DataFrame({"total": [total], "n": [n]})
 
@@ -201,7 +201,7 @@ class KernelMean:
         def similarity(col: pd.Series) -> pd.Series:
             if not len(col):
                 return pd.Series([], dtype=float)
-            return pd.Series(np.cos(np.array(col.tolist(), dtype=float) @ weights + shift) @ mean)
+            return pd.Series(np.cos(np.stack(col.to_numpy()) @ weights + shift) @ mean)
 
         return similarity("features")
 
