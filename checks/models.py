@@ -128,7 +128,7 @@ def _(spark, d):
     return model.transform(data.slice(split.train_end, data.n)).select("idx", "anomaly", "anomaly_score")
 
 
-@query("save_load")
+@query("save_load", "select row_number() over (order by ts, event_id) - 1 as idx, true as same, true as flagged_alike from events")
 def _(spark, d):
     data = _data(spark, d)
     model = fit(data.slice(0, int(data.n * 0.7)), "LogisticRegression", data.feature_cols, scale="robust")
@@ -138,7 +138,7 @@ def _(spark, d):
     again = Scorer.load(spark, path)
     a = model.transform(data.df).select("idx", F.col("anomaly_score").alias("saved"))
     b = again.transform(data.df).select("idx", F.col("anomaly_score").alias("loaded"), "is_alert")
-    return a.join(b, "idx")
+    return a.join(b, "idx").select("idx", (F.abs(F.col("saved") - F.col("loaded")) < 1e-12).alias("same"), (F.col("is_alert") == (F.col("saved") >= 0.5)).alias("flagged_alike"))
 
 
 def _labelled(spark, d):
@@ -242,9 +242,17 @@ def _(spark, d):
     return detect.benchmark(_labelled(spark, d), KPI, feature_cols=C_COLS, detectors=chosen, **ARGS).metrics
 
 
-@query("baseline_eval")
+@query("baseline_eval", """with e as (select value, cast(event_type = 'error' as int) as y, row_number() over (order by ts, event_id) - 1 as idx from events),
+  n as (select floor(count(*) * 0.7) as cut, floor(count(*) * 0.85) as test from e),
+  q as (select quantile_cont(value, 0.5) as m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) as s from e, n where idx < cut),
+  z as (select idx, y, abs((value - m) / s) as score from e, q), t as (select quantile_cont(score, 0.99) as thr from z, n where idx < cut),
+  c as (select count(*) filter (where score >= thr and y = 1) as tp, count(*) filter (where score >= thr and y = 0) as fp,
+  count(*) filter (where score < thr and y = 1) as fn, count(*) filter (where score < thr and y = 0) as tn, max(thr) as thr from z, t, n where idx >= test)
+  select round(thr, 6) as threshold, tp, fp, fn, tn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall,
+  round(2.0 * tp / (2.0 * tp + fp + fn), 6) as f1 from c""")
 def _(spark, d):
-    return detect.baseline(_labelled(spark, d), KPI, **ARGS).metrics
+    table_ = detect.baseline(_labelled(spark, d), KPI, **ARGS).metrics
+    return rounded(table_.select("threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1"))
 
 
 @query("robust_threshold")

@@ -40,6 +40,17 @@ def test_one_time_for_a_third_of_the_rows_is_split_by_the_tiebreak(spark):
     assert line.df.toPandas().sort_values("idx")["id"].tolist() == pdf.sort_values(["t", "id"])["id"].tolist()
 
 
+def test_equal_times_have_one_order_and_are_split(spark):
+    df = spark.range(4000).select(F.lit(7).alias("t"), "id")
+    runs_ = []
+    for parts in (8, 3):
+        line = timeline(df.repartition(parts), ["t"], partitions=8)
+        files = line.df.select(F.input_file_name().alias("f")).groupBy("f").count().agg(F.max("count")).first()[0]
+        assert files < 2000
+        runs_.append([r["id"] for r in line.df.orderBy("idx").collect()])
+    assert runs_[0] == runs_[1]
+
+
 @pytest.mark.parametrize("chunk", [11, 64, 10_000])
 @pytest.mark.parametrize("keyed", [False, True])
 def test_families_do_not_depend_on_chunks(spark, chunk, keyed):

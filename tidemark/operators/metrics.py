@@ -43,7 +43,7 @@ def curve(df: DataFrame, score: str = "score", label: str = "y", keys: Sequence[
     grouped = rows.groupBy(*keys, F.col(score).cast("double").alias("threshold")).agg(
         F.count("*").alias("n_at"), F.sum(F.col(label).cast("bigint")).alias("tp_at")
     )
-    line = timeline(grouped, [F.desc("threshold")], keys=keys)
+    line = timeline(grouped, [F.desc("threshold")], keys=keys, unique=True)
     return running_totals(
         line, {"n_above": F.col("n_at"), "tp_above": F.col("tp_at")}, {"n_above": "n", "tp_above": "pos"}
     ).drop("idx")

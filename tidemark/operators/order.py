@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import materialize
 
@@ -53,14 +54,19 @@ def timeline(
     keys: Sequence[str] = (),
     partitions: int | None = None,
     chunk: int | None = None,
+    unique: bool = False,
 ) -> Timeline:
     """Sort ``df`` by series and ``order`` and number its rows.
 
-    ``order`` should end in a unique tiebreak. Without ``partitions`` the number of ranges is left
-    to adaptive execution. The sorted rows are written once to shared storage, so positions do
-    not change when a lost partition is recomputed.
+    Unless ``order`` is known to be ``unique``, rows equal in it are ordered by a hash of the whole
+    row: the order is the same in every run, and a crowd of rows at one time is still split.
+    Without ``partitions`` the number of ranges is left to adaptive execution. The sorted rows are
+    written once to shared storage, so positions do not change when a lost partition is recomputed.
     """
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
+    if not unique:
+        plain = [f"`{f.name}`" for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+        by.append(F.xxhash64(*plain))
     ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
     stored = materialize(
         ranged.sortWithinPartitions(*by)

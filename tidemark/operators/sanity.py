@@ -20,7 +20,7 @@ def shuffle_key(seed: int, *parts: Column) -> Column:
 def shuffle_column(df: DataFrame, col: str, seed: int = 42) -> DataFrame:
     """Hand the values of ``col`` out in hash order; ``idx`` must be dense from 0."""
     moved = timeline(df.select(F.col("idx").alias("__from"), F.col(col).alias("__v")),
-                     [shuffle_key(seed, F.col("__from")), "__from"]).df
+                     [shuffle_key(seed, F.col("__from")), "__from"], unique=True).df
     rest = [c for c in df.columns if c != col]
     return df.select(*rest).join(moved.select("idx", F.col("__v").alias(col)), "idx").select(*df.columns)
 
@@ -48,7 +48,7 @@ def shuffle_features(df: DataFrame, cols: Sequence[str], seed: int = 42) -> Data
     cells = df.select("idx", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         ["idx"], [f"`{c}`" for c in cols], "__col", "__v").withColumnRenamed("idx", "__from")
     order = [shuffle_key(seed, F.col("__from"), F.col("__col")), "__from"]
-    placed = positions(timeline(cells, order, keys=["__col"]), "__spot")
+    placed = positions(timeline(cells, order, keys=["__col"], unique=True), "__spot")
     wide = placed.groupBy(F.col("__spot").alias("idx")).agg(
         *[F.max(F.when(F.col("__col") == c, F.col("__v"))).alias(c) for c in cols]
     )
