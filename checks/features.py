@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+
 from pyspark.sql import functions as F
 
 from checks.registry import query, r6, rounded
@@ -315,3 +315,20 @@ def _(spark, d):
     line = users_line(spark, d)
     alerts = line.df.withColumns({"anomaly_score": F.col("value"), "is_alert": F.col("value") >= 60})
     return group_incidents(line.with_df(alerts), 1, ts="ts")
+
+
+@query("flagship", """with w as (select row_number() over (order by ts, event_id) - 1 as idx, ts, value,
+  avg(value) over f as m, coalesce(stddev_samp(value) over f, 0) as s from events
+  window f as (order by ts, event_id rows between 9 preceding and current row)),
+  c as (select idx, ts, abs((value - m) / case when s = 0 then 1e-9 else s end) as score from w),
+  a as (select * from c where score >= (select quantile_cont(score, 0.99) from c)),
+  b as (select *, case when idx - lag(idx) over (order by idx) > 1 then 1 else 0 end as brk from a),
+  g as (select *, sum(brk) over (order by idx rows between unbounded preceding and current row) as id from b)
+  select cast(id as bigint) as incident_id, min(ts) as start_ts, max(ts) as end_ts, count(*) as n_rows, round(max(score), 6) as max_score
+  from g group by id""")
+def _(spark, d):
+    made = feat.add_features(events_line(spark, d), ["value"], "A")
+    scored = explain.contributions(made.df, ["value"]).withColumn("anomaly_score", F.col("contrib_value"))
+    threshold = exact_quantiles(scored, ["anomaly_score"], [0.99])["anomaly_score"][0]
+    alerts = scored.withColumn("is_alert", F.col("anomaly_score") >= F.lit(threshold))
+    return rounded(group_incidents(made.with_df(alerts), 0, ts="ts"))
