@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, r6, rounded
-from checks.views import (E_SQL, RAW_SQL, U_SQL, WIDE_KPIS, WIDE_SQL, events, events_line, raw_events,
+from checks.views import (E_SQL, RAW_SQL, U_SQL, WIDE_SQL, events, events_line, raw_events,
                           raw_line, users_line, wide_line)
 from tidemark.functions import clean, explain
 from tidemark.operators import features as feat
 from tidemark.operators.fill import fill
 from tidemark.operators.incidents import group_incidents
-from tidemark.operators.order import from_indexed, positions, windowed
+from tidemark.operators.order import positions, windowed
 from tidemark.operators.quantile import exact_quantiles, median_fill
 
 ORDER = "over (order by idx"

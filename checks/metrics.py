@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import long, query, rounded
-from checks.views import E_SQL, WIDE_KPIS, WIDE_SQL, events, events_line, table, wide, wide_line
+from checks.views import E_SQL, WIDE_KPIS, events, events_line, table, wide
 from tidemark.functions import scores as fs
 from tidemark.operators import metrics as m
 from tidemark.operators import ranking, splits

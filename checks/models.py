@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, rounded
 from checks.views import events, table
 from tidemark.operators import detectors as det
-from tidemark.operators import metrics, ranking, splits
+from tidemark.operators import splits
 from tidemark.operators.calibrate import CrossCalibrated, Isotonic, Sigmoid
 from tidemark.operators.features import family_columns
 from tidemark.operators.knn import local_outlier_factor

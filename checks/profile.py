@@ -7,12 +7,11 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
-from checks.views import (E_SQL, RAW_SQL, U_SQL, WIDE_KPIS, WIDE_SQL, events, events_line, raw_events, table, users_line,
+from checks.views import (E_SQL, WIDE_KPIS, WIDE_SQL, events, events_line, raw_events, table, users_line,
                           wide, wide_line)
 from tidemark.functions import clean, explain
 from tidemark.operators import features as feat
 from tidemark.operators import profile, ranking, sanity, scale
-from tidemark.operators.order import timeline
 from tidemark.operators.thresholds import quantile_threshold
 from tidemark.session import new_path
 from tidemark.sources import runs, tables

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query, rounded
+from checks.registry import query
 from checks.views import events
 from tidemark.session import new_path
 from tidemark.streaming.score import stream_incidents, stream_score

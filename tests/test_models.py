@@ -12,7 +12,7 @@ from tidemark.operators import knn, metrics, sanity, scale
 from tidemark.operators.calibrate import Isotonic, Sigmoid
 from tidemark.operators.incidents import group_incidents
 from tidemark.operators.models import Scorer, fit
-from tidemark.operators.order import from_indexed, timeline
+from tidemark.operators.order import from_indexed
 from tidemark.plans import compare, detect, tuning
 from tidemark.plans.common import prepare
 from tidemark.plans.train import evaluate, score_latest, train
