@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.registry import query, table
+from tidemark.llm.registry import query, table, wider
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
                 ids = [bpe.encode(t or "") for t in part.column(text).to_pylist()]
                 yield with_extra(part, **{out: pa.array(ids, pa.list_(pa.int32()))})
 
-    return docs.mapInArrow(run, docs.schema.add(out, "array<int>"))
+    return docs.mapInArrow(run, wider(docs, f"`{out}` array<int>"))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -259,7 +259,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 texts = [bpe.decode(x or ()) for x in part.column(ids).to_pylist()]
                 yield with_extra(part, **{out: pa.array(texts, pa.string())})
 
-    return df.mapInArrow(run, df.schema.add(out, "string"))
+    return df.mapInArrow(run, wider(df, f"`{out}` string"))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
