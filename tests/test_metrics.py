@@ -136,7 +136,7 @@ def test_quantiles_by_brackets(spark, kind):
          "hot": np.where(rng.random(5000) < 0.4, 3.0, rng.normal(size=5000))}[kind]
     df = spark.createDataFrame(pd.DataFrame({"v": v}))
     probs = [0.0, 0.1, 0.25, 0.5, 0.8, 0.95, 0.99, 1.0]
-    assert exact_quantiles(df, ["v"], probs, small=40)["v"] == pytest.approx(list(np.quantile(v, probs)))
+    assert exact_quantiles(df, ["v"], probs, few=40)["v"] == pytest.approx(list(np.quantile(v, probs)))
 
 
 def test_median_of_an_even_count_and_of_nothing(spark):

@@ -14,9 +14,15 @@ def to_number(col: str | Column) -> Column:
 
 
 def to_time(col: str | Column) -> Column:
-    """Timestamp, or null where the text cannot be read. Timestamps pass through unchanged."""
+    """Timestamp, or null where the text cannot be read. Timestamps pass through unchanged.
+
+    Text without an offset is UTC, whatever the session's time zone; an offset or zone in the text wins.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return c.try_cast("timestamp")
+    text = c.cast("string")
+    zoned = text.rlike(r"\d:\d{2}(:\d{2}(\.\d*)?)?\s*([+-]\d|[A-Za-z])")
+    utc = F.concat(text.try_cast("timestamp_ntz").cast("string"), F.lit("Z")).try_cast("timestamp")
+    return F.when((F.typeof(c) == "string") & ~zoned, utc).otherwise(c.try_cast("timestamp"))
 
 
 def parse_time(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -66,7 +72,12 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
 
 
 def drop_constant(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Remove columns with at most one distinct non-null value (one aggregate over the table)."""
-    varies = df.agg(*[(F.min(F.col(f"`{c}`")) < F.max(F.col(f"`{c}`"))).alias(c) for c in df.columns]).first()
+    """Remove columns with at most one distinct value (one aggregate over the table); null and NaN are none."""
+
+    def value(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return F.when(~F.isnan(c), c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
+
+    varies = df.agg(*[(F.min(value(f)) < F.max(value(f))).alias(f.name) for f in df.schema.fields]).first()
     constant = [c for c in df.columns if not varies[c]]
     return df.drop(*constant), constant

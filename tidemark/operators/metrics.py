@@ -164,15 +164,14 @@ def at_top(
     rows = rows.where(F.col("__s").isNotNull())
     by = [F.desc("__s"), F.desc("__t")]
     if not keys:
-        n = rows.count()
-        if n > quantile.SMALL:
-            # Only rows that can be among the best need sorting; the others only count.
+        # Only rows that can be among the best need sorting; the others only count.
+        n, pos = rows.agg(F.count(F.when(~F.isnan(F.col("__s").cast("double")), 1)), F.sum("__y")).first()
+        if n:
             low = n - max(1, int(n * max(shares)))
-            cut = quantile.values_at(rows.select(F.col("__s").cast("double").alias("v")), [low], n)[low]
-            pos = rows.agg(F.sum("__y")).first()[0]
-            best = timeline(rows.where(F.col("__s") >= cut), by).df
-            ranked = best.withColumns({"rank": F.col("idx"), "n": F.lit(n).cast("bigint"), "pos": F.lit(pos).cast("bigint")})
-            return ranked.agg(*_top_aggregates(shares))
+            cut = quantile.values_at(rows, {"__s": [low]}, {"__s": n})["__s"][low]
+            rows = rows.where(F.col("__s") >= cut)
+        ranked = timeline(rows, by).df.withColumns({"rank": F.col("idx"), "n": F.lit(n).cast("bigint"), "pos": F.lit(pos).cast("bigint")})
+        return ranked.agg(*_top_aggregates(shares))
     line = timeline(rows, by, keys=keys)
     ranked = running_totals(line, {"rank": F.lit(1).cast("bigint"), "pos_so_far": F.col("__y")}, {"rank": "n", "pos_so_far": "pos"})
     return ranked.withColumn("rank", F.col("rank") - 1).groupBy(*keys).agg(*_top_aggregates(shares))

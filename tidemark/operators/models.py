@@ -110,6 +110,11 @@ class Scorer:
         return out
 
 
+def slice_medians(train: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Exact medians of the columns that have values."""
+    return {c: m[0] for c, m in exact_quantiles(train, cols, [0.5]).items() if m[0] is not None}
+
+
 def fit(
     train: DataFrame,
     kind: str,
@@ -120,21 +125,23 @@ def fit(
     balanced: bool | None = None,
     ratio: bool = False,
     impute: bool = True,
+    medians: dict[str, float] | None = None,
 ) -> Scorer:
     """Fit one model on a training slice.
 
-    Missing values become the slice's exact medians. ``scale`` is "robust", "standard" or None.
+    Missing values become the slice's exact medians, or the given ``medians``. ``scale`` is "robust", "standard" or None.
     ``balanced`` weights classes inversely to their size (default: logistic regression and random
     forest); ``ratio`` multiplies positives by negatives / positives on top of it.
     The isolation forest needs ``idx`` dense from 0 and no label.
     """
     params = {**DEFAULTS[kind], **(params or {})}
     cols = list(feature_cols)
-    medians = {c: m[0] for c, m in exact_quantiles(train, cols, [0.5]).items() if m[0] is not None} if impute else {}
+    if medians is None:
+        medians = slice_medians(train, cols) if impute else {}
     scorer = Scorer(kind, cols, params, medians)
     if scale:
-        full = train.na.fill(medians) if medians else train
-        scorer.scale = (sc.fit_robust if scale == "robust" else sc.fit_standard)(full, cols)
+        found = (sc.fit_robust if scale == "robust" else sc.fit_standard)(scorer.inputs(train), scorer.input_names())
+        scorer.scale = {c: found[name] for c, name in zip(cols, scorer.input_names())}
     rows = scorer.inputs(train)
     if kind == "IsolationForest":
         data = rows.select("idx", feature_array(scorer.input_names()).alias("features"))

@@ -65,8 +65,7 @@ def timeline(
     """
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     if not unique:
-        plain = [f"`{f.name}`" for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
-        by.append(F.xxhash64(*plain))
+        by.append(F.xxhash64(*[_hashable(f) for f in df.schema.fields]))
     ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
     stored = materialize(
         ranged.sortWithinPartitions(*by)
@@ -84,12 +83,19 @@ def timeline(
     return Timeline(numbered, n, chunk or chunk_rows(n), tuple(keys))
 
 
+def _hashable(field: T.StructField) -> Column:
+    """The column, or its JSON text where it holds maps, which have no hash."""
+    col = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(col)) if "map<" in field.dataType.simpleString() else col
+
+
 def from_indexed(
     df: DataFrame, n: int | None = None, keys: Sequence[str] = (), chunk: int | None = None
 ) -> Timeline:
     """Use a table that already has ``idx`` (dense, series contiguous)."""
     if n is None:
-        n = (df.agg(F.max("idx")).first()[0] or -1) + 1
+        last = df.agg(F.max("idx")).first()[0]
+        n = 0 if last is None else last + 1
     return Timeline(df, n, chunk or chunk_rows(n), tuple(keys))
 
 

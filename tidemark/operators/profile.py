@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-MAX_CLASSES = 1_000
-
-
 def _missing(df: DataFrame, c: str):
     col = F.col(f"`{c}`")
     if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
@@ -43,21 +40,16 @@ def missing_top(df: DataFrame, k: int = 10) -> DataFrame:
 def class_histogram(df: DataFrame, value: str, label: str = "anomaly", bins: int = 30) -> DataFrame:
     """``bins`` equal bins over each class's own range, empty bins included."""
     known = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
-    found = known.groupBy(label).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).take(MAX_CLASSES + 1)
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    ranges = {r[label]: (r["lo"], r["hi"]) for r in found}
-    lo_of, width_of = F.lit(None).cast("double"), F.lit(None).cast("double")
-    edges = []
-    for cls, (lo, hi) in ranges.items():
-        lo, hi = (lo, hi) if hi > lo else (lo - 0.5, hi + 0.5)
-        lo_of = F.when(F.col(label) == cls, F.lit(float(lo))).otherwise(lo_of)
-        width_of = F.when(F.col(label) == cls, F.lit(float(hi - lo))).otherwise(width_of)
-        edges += [(cls, i, lo + (hi - lo) * i / bins) for i in range(bins)]
-    place = F.least(F.lit(bins - 1), F.floor((F.col(value) - lo_of) / width_of * bins)).cast("int")
-    counts = known.groupBy(label, place.alias("bin")).count()
-    grid = df.sparkSession.createDataFrame(edges, f"{label} {known.schema[label].dataType.simpleString()}, bin int, bin_start double")
-    return grid.join(counts, [label, "bin"], "left").select(label, "bin", "bin_start", F.coalesce("count", F.lit(0)).alias("n"))
+    low, high = F.min(F.col(value).cast("double")), F.max(F.col(value).cast("double"))
+    one = F.when(high > low, F.lit(0.0)).otherwise(0.5)
+    ranges = known.groupBy(label).agg((low - one).alias("__lo"), (high + one - (low - one)).alias("__width"))
+    place = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("__lo")) / F.col("__width") * bins)).cast("int")
+    # Values are counted before the join, so a class that holds most rows sends its different values only.
+    seen = known.groupBy(label, value).count()
+    counts = seen.join(ranges, label).groupBy(label, place.alias("bin")).agg(F.sum("count").alias("count"))
+    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    start = F.col("__lo") + F.col("__width") * F.col("bin") / bins
+    return grid.join(counts, [label, "bin"], "left").select(label, "bin", start.alias("bin_start"), F.coalesce("count", F.lit(0)).alias("n"))
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -1,9 +1,8 @@
-"""Exact quantiles by narrowing brackets.
+"""Exact quantiles of any number of columns by narrowing brackets.
 
-Small columns use Spark's exact ``percentile``. That aggregate keeps every distinct value in one
-place, so larger columns first ask one ``percentile_approx`` for a bracket around each rank, count the
-rows between the bracket ends, and look for the rank among the few rows of its bracket. Every step is
-one aggregate over the table, whatever the number of quantiles; the result is exact.
+All columns go through the same few aggregates: count them, cut the open brackets into parts at sketched
+values, count the parts, and keep the part that holds each wanted rank, until a bracket has few rows; those are sorted. The
+number of jobs depends on the rows (each round divides a bracket by some hundred), not on the columns.
 """
 
 from __future__ import annotations
@@ -11,84 +10,100 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
-SKETCH = 10_000  # accuracy of the first guess
-
-
-def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], small: int = SMALL
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each column, nulls skipped (``None`` if all are null)."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cols]).first()
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols if counts[c] == 0}
-    few = [c for c in cols if 0 < counts[c] <= small]
-    if few:
-        ps = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), ps).alias(c) for c in few]).first()
-        out.update({c: list(row[c]) for c in few})
-    for c in cols:
-        if counts[c] > small:
-            n = counts[c]
-            spots = [p * (n - 1) for p in probs]
-            ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-            at = values_at(df.select(F.col(f"`{c}`").cast("double").alias("v")).where("v is not null"), ranks, n, small)
-            out[c] = [
-                at[math.floor(s)] + (at[math.ceil(s)] - at[math.floor(s)]) * (s - math.floor(s)) for s in spots
-            ]
-    return out
-
-
-def values_at(values: DataFrame, ranks: Sequence[int], n: int, small: int = SMALL) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the sorted column ``v``, which has ``n`` rows and no nulls."""
-    slack = 2.0 / SKETCH
-    probs = sorted({min(1.0, max(0.0, r / n + side)) for r in ranks for side in (-slack, slack)})
-    cuts = sorted(set(values.agg(F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), SKETCH)).first()[0]))
-    # Bins: between two cuts, and each cut itself, so that a crowded value needs no second look.
-    split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="v", outputCol="__b", handleInvalid="keep")
-    at = F.col("__b").cast("int")
-    low = F.get(F.array(*[F.lit(c) for c in cuts]), at - 1)
-    binned = split.transform(values).select("v", (2 * at - F.coalesce(F.col("v") == low, F.lit(False)).cast("int")).alias("bin"))
-    sizes = {r["bin"]: r["count"] for r in binned.groupBy("bin").count().collect()}
-    found: dict[int, float] = {}
-    inner: dict[int, list[tuple[int, int]]] = {}  # bin -> (rank, rank inside the bin)
-    start = 0
-    for b in sorted(sizes):
-        for r in ranks:
-            if start <= r < start + sizes[b]:
-                if b % 2:
-                    found[r] = cuts[(b - 1) // 2]
-                else:
-                    inner.setdefault(b, []).append((r, r - start))
-        start += sizes[b]
-    few = {b: hits for b, hits in inner.items() if sizes[b] <= small}
-    if few:
-        wanted = F.create_map(*[x for b, hits in few.items() for x in (F.lit(b), F.array(*[F.lit(i) for _, i in hits]))])
-        upto = F.sum("count").over(Window.partitionBy("bin").orderBy("v"))
-        spans = binned.where(F.col("bin").isin(list(few))).groupBy("bin", "v").count().select(
-            "bin", "v", (upto - F.col("count")).alias("start"), upto.alias("stop"))
-        hit = F.filter(wanted[F.col("bin")], lambda i: (i >= F.col("start")) & (i < F.col("stop")))
-        got = {(r["bin"], r["i"]): r["v"] for r in spans.select("bin", "v", F.explode(hit).alias("i")).collect()}
-        found |= {r: got[b, i] for b, hits in few.items() for r, i in hits}
-    for b, hits in inner.items():
-        if b not in few:
-            below, above = b // 2 - 1, b // 2
-            part = values
-            if below >= 0:
-                part = part.where(F.col("v") > cuts[below])
-            if above < len(cuts):
-                part = part.where(F.col("v") < cuts[above])
-            deeper = values_at(part, [i for _, i in hits], sizes[b], small)
-            found |= {r: deeper[i] for r, i in hits}
+FEW = 100_000  # rows of one bracket that one task sorts
+PARTS = 256  # parts that a larger bracket is cut into
+SKETCH = 10_000
+
+Bracket = tuple[float | None, float | None]  # open on both sides; None: no end
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], few: int = FEW) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of each column; nulls and NaN are skipped (``None`` if nothing is left)."""
+    counts = df.agg(*[F.count(_known(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    sizes = {c: counts[f"n{i}"] for i, c in enumerate(cols)}
+    spots = {c: [p * (n - 1) for p in probs] for c, n in sizes.items() if n}
+    found = values_at(df, {c: sorted({r for s in at for r in (math.floor(s), math.ceil(s))}) for c, at in spots.items()}, sizes, few)
+
+    def between(c: str, spot: float) -> float:
+        low, high = found[c][math.floor(spot)], found[c][math.ceil(spot)]
+        return low if low == high else low + (high - low) * (spot - math.floor(spot))
+
+    return {c: [between(c, s) for s in spots[c]] if c in spots else [None] * len(probs) for c in cols}
+
+
+def _known(c: str) -> Column:
+    value = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def values_at(df: DataFrame, ranks: dict[str, Sequence[int]], sizes: dict[str, int], few: int = FEW) -> dict[str, dict[int, float]]:
+    """Values at 0-based ``ranks`` of the sorted columns; ``sizes`` counts the values of each."""
+    names = [c for c in ranks if ranks[c]]
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    if not names:
+        return found
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), _known(c).alias("v")) for i, c in enumerate(names)])
+    values = df.select(F.inline(cells)).where("v is not null")
+    # Open brackets by column: the wanted ranks inside (less the rows before the bracket) and the number of rows.
+    todo: dict[tuple[int, Bracket], tuple[list[tuple[int, int]], int]] = {
+        (i, (None, None)): ([(r, r) for r in ranks[c]], sizes[c]) for i, c in enumerate(names)}
+    while large := {k: v for k, v in todo.items() if v[1] > few}:
+        held = _tagged(values, list(large))
+        grid = F.array(*[F.lit(i / PARTS) for i in range(PARTS + 1)])
+        cuts = {r["b"]: sorted(set(r["cuts"])) for r in held.groupBy("b").agg(F.percentile_approx("v", grid, SKETCH).alias("cuts")).collect()}
+        inside = _pick([F.array(*[F.lit(x) for x in cuts[b]]) for b in range(len(large))], F.col("b"))
+        part = held.withColumn("cuts", inside).select("b", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("below"), F.array_contains("cuts", F.col("v")).alias("on"))
+        counts = part.groupBy("b", "below", "on").count().collect()
+        for b, (key, (wanted, _)) in enumerate(large.items()):
+            del todo[key]
+            before = 0
+            for r in sorted((r for r in counts if r["b"] == b), key=lambda r: (r["below"], r["on"])):
+                # A value on a cut has as many cuts below as those just before it.
+                here = [(rank, at - before) for rank, at in wanted if before <= at < before + r["count"]]
+                low = cuts[b][r["below"] - 1] if r["below"] else key[1][0]
+                high = cuts[b][r["below"]] if r["below"] < len(cuts[b]) else key[1][1]
+                if here and r["on"]:
+                    found[names[key[0]]].update({rank: high for rank, _ in here})
+                elif here:
+                    todo[key[0], (low, high)] = (here, r["count"])
+                before += r["count"]
+    if todo:
+        upto = F.sum("count").over(Window.partitionBy("b").orderBy("v"))
+        spans = _tagged(values, list(todo)).groupBy("b", "v").count().select("b", "v", (upto - F.col("count")).alias("start"), upto.alias("stop"))
+        wanted = _pick([F.array(*[F.lit(at) for _, at in w]) for w, _ in todo.values()], F.col("b"))
+        hits = spans.select("b", "v", F.explode(F.filter(wanted, lambda i: (i >= F.col("start")) & (i < F.col("stop")))).alias("at")).collect()
+        got = {(r["b"], r["at"]): r["v"] for r in hits}
+        for b, ((i, _), (w, _)) in enumerate(todo.items()):
+            found[names[i]].update({rank: got[b, at] for rank, at in w})
     return found
 
 
+def _pick(options: Sequence[Column], at: Column) -> Column:
+    return F.get(F.array(*options), at)
+
+
+def _tagged(values: DataFrame, brackets: Sequence[tuple[int, Bracket]]) -> DataFrame:
+    """Rows inside a bracket of their column, with its number ``b``."""
+    own = F.lit(None).cast("int")
+    v, c = F.col("v"), F.col("c")
+    for b, (i, (low, high)) in enumerate(brackets):
+        inside = c == i
+        if low is not None:
+            inside &= v > F.lit(low)
+        if high is not None:
+            inside &= v < F.lit(high)
+        own = F.when(inside, F.lit(b)).otherwise(own)
+    return values.select(own.alias("b"), "v").where("b is not null")
+
+
 def median_fill(df: DataFrame, train: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace nulls by the median of ``train``; a column without a train value stays null."""
+    """Replace nulls by the median of ``train``; a column without a train value stays null.
+
+    Filled columns are doubles, since a median may lie between two integers.
+    """
     medians = exact_quantiles(train, cols, [0.5])
     known = {c: m[0] for c, m in medians.items() if m[0] is not None}
-    return df.na.fill(known) if known else df
-
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(m))) for c, m in known.items()})

@@ -129,6 +129,7 @@ def operating_points(val: DataFrame, test: DataFrame, score: str = "score", labe
         "high_recall": recall_floor_precision(points).first()["threshold"],
         "alert_budget_5p": alert_budget(val, score),
     }
+    chosen = {name: NO_SCORES if t is None else t for name, t in chosen.items()}
     counts = sweep_counts(test, score, label, list(chosen.values()))
     spark = val.sparkSession
     names = spark.createDataFrame(list(chosen.items()), "name string, threshold double")
