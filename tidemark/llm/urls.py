@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,7 +92,7 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words) for each different non-empty label, cut into words by the unigram counts.
 
     Only the substrings of a label meet the counts, by a join, so the vocabulary is never sent around; copies of a
-    label are segmented once. Words without a count can only be single letters.
+    label are segmented once. Letters that belong to no known word stay together.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     labels = labels.select("label").where("label <> ''").distinct()
@@ -107,7 +108,10 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
             words = []
             for label, found in zip(*batch.columns, strict=True):
                 cost = {w: math.log(total / n) for w, n in found.as_py() or ()}
-                words.append(viterbi(label.as_py(), cost, unknown))
+                parts: list[str] = []
+                for known_, run_ in groupby(viterbi(label.as_py(), cost, unknown), cost.__contains__):
+                    parts += run_ if known_ else ["".join(run_)]
+                words.append(parts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
 
     return rows.mapInArrow(run, "label string, words array<string>")
