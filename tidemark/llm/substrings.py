@@ -292,16 +292,41 @@ def shared_anchors(anchors: DataFrame, hot_packs: int) -> DataFrame:
     return anchors.groupBy("bucket").applyInArrow(run, "pack string, bucket bigint, low binary, hot binary")
 
 
+#: Array types of the blobs. Anchors meet in a group by half of their hash: others that share it are compared in vain.
+OCCURRENCES = (np.int32, np.int32, np.uint8)
+ENTRIES = (np.int32, np.uint32, np.int64, np.int64, np.uint8)
+
+
+def join_arrays(kinds: tuple, n: int, *arrays: np.ndarray, text: bytes = b"") -> bytes:
+    """Arrays of ``n`` values each, and bytes, compressed; integers of eight bytes byte by byte, which packs better."""
+    parts = [np.int64(n).tobytes()]
+    for kind, a in zip(kinds, arrays, strict=True):
+        a = np.ascontiguousarray(a, kind)
+        parts.append(a.view(np.uint8).reshape(n, 8).T.tobytes() if a.itemsize == 8 else a.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, text]))
+
+
+def split_arrays(kinds: tuple, blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    for kind in kinds:
+        size = n * np.dtype(kind).itemsize
+        raw = np.frombuffer(data, np.uint8, size, at)
+        out.append(np.ascontiguousarray(raw.reshape(8, n).T).view(kind).ravel() if np.dtype(kind).itemsize == 8 else raw.view(kind))
+        at += size
+    return out, data[at:]
+
+
 def entries_of(packs: DataFrame, shared: DataFrame, bits: int, groups: int) -> DataFrame:
-    """Blobs of one pack: for each group the different segments it asks about, and (group -1) where they occur.
+    """Blobs of one pack: (pack, group, blob) for each group the different segments it asks about, and (group -1)
+    where they occur, as arrays joined by ``join_arrays``.
 
-    (pack, group, ids, keys, least, most, sizes, texts): entry numbers, hash of the anchor, smallest and largest key of
-    the pack's rows that have the segment, its size and bytes. Occurrences: ids, first window (keys), count (sizes).
+    Entries: number, hash of the anchor, smallest and largest key of the pack's rows that have the segment, its size
+    and bytes. Occurrences: number of the entry, first window, number of windows.
     """
     asked = shared.groupBy("pack").agg(F.collect_list(F.struct("bucket", "low", "hot")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in ("pack", "keys", "lengths", "data", "asked")}
@@ -338,46 +363,61 @@ def entries_of(packs: DataFrame, shared: DataFrame, bits: int, groups: int) -> D
                 np.maximum.at(most, ids, doc)
                 key = h[lead]
                 group = (key % np.uint64(groups)).astype(np.int64)
-                out = [(row["pack"], -1, ids.astype(np.int32).tobytes(), first.astype(np.int64).tobytes(), b"", b"", count.astype(np.int16).tobytes(), b"")]
+                out = [(row["pack"], -1, join_arrays(OCCURRENCES, len(ids), ids, first, count))]
                 names = list(known)
                 order = np.argsort(group, kind="stable")
                 cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
                 for own in np.split(order, cuts[1:]):
                     blob = [names[e] for e in own.tolist()]
-                    sizes = np.array([len(t) for t in blob], np.int16)
-                    out.append((row["pack"], int(group[own[0]]), own.astype(np.int32).tobytes(), key[own].tobytes(), least[own].tobytes(), most[own].tobytes(), sizes.tobytes(), press.compress(b"".join(blob))))
+                    sizes = np.array([len(t) for t in blob])
+                    out.append((row["pack"], int(group[own[0]]), join_arrays(ENTRIES, len(own), own, key[own] >> np.uint64(32), least[own], most[own], sizes, text=b"".join(blob))))
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.string(), pa.int64(), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pack", "group", "ids", "keys", "least", "most", "sizes", "texts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["pack", "group", "blob"])
+
+    return packs.join(asked, "pack").mapInArrow(run, "pack string, group bigint, blob binary")
 
-    schema = "pack string, group bigint, ids binary, keys binary, least binary, most binary, sizes binary, texts binary"
-    return packs.join(asked, "pack").mapInArrow(run, schema)
+
+def partners(texts: list[bytes], window: int = WINDOW) -> np.ndarray:
+    """Which of the texts have a window that, by its hash, another of them has too."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), window)
+    starts = np.arange(len(h))
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
+    inside = starts + window <= ends[owner]
+    h, owner = h[inside], owner[inside]
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    again = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] != owner[:-1]))
+    found = np.zeros(len(texts), bool)
+    found[owner[again]] = found[owner[again + 1]] = True
+    return found
 
 
 def answer(keys: np.ndarray, texts: list[bytes], least: np.ndarray) -> list[np.ndarray]:
     """The smallest key of each window of each different text; one value stands for equal ones.
 
-    Texts of one anchor are compared with each other by sorting; a text alone with its anchor, or one whose anchor only one
-    key has, needs none.
+    Texts of one anchor are compared with each other by sorting. A text alone with its anchor, one whose anchor only one key
+    has, and one without a partner for any of its windows need none.
     """
     out = [least[i:i + 1] for i in range(len(texts))]
     order = np.argsort(keys, kind="stable")
-    cuts = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
     some = np.diff(cuts, append=len(order))
     differ = np.minimum.reduceat(least[order], cuts) < np.maximum.reduceat(least[order], cuts)
-    batch: list[int] = []
-
-    def flush() -> None:
-        if batch:
-            for i, found in zip(batch, smallest_by_window([texts[i] for i in batch], least[batch]), strict=True):
-                out[i] = found
-            batch.clear()
-
-    for at, n in zip(cuts[(some > 1) & differ], some[(some > 1) & differ], strict=True):
-        if len(batch) + n > SORTED:
-            flush()
-        batch += order[at:at + n].tolist()
-    flush()
+    several = order[np.repeat((some > 1) & differ, some)]
+    if len(several):
+        several = several[partners([texts[i] for i in several.tolist()])]
+    edges = np.flatnonzero(np.diff(keys[several], prepend=keys[several[:1]] + np.uint32(1), append=keys[several[-1:]] + np.uint32(1)))
+    at = 0
+    while at < len(several):
+        # Whole anchors, up to ``SORTED`` strings; more only where one anchor has more.
+        fit = edges[(edges > at) & (edges <= at + SORTED)]
+        to = int(fit[-1]) if len(fit) else int(edges[edges > at][0])
+        batch = several[at:to]
+        for i, found in zip(batch.tolist(), smallest_by_window([texts[i] for i in batch.tolist()], least[batch]), strict=True):
+            out[i] = found
+        at = to
     return out
 
 
@@ -385,14 +425,12 @@ def answers_of(entries: DataFrame) -> DataFrame:
     """(pack, ids, counts, values): the entries with a window that a smaller key also has, and the smallest keys."""
 
     def run(group: pa.Table) -> pa.Table:
-        plain = zstandard.ZstdDecompressor()
         known: dict[bytes, int] = {}
         sent, keys, least = [], [], []
-        for row in zip(*[group.column(n) for n in ("pack", "ids", "keys", "least", "most", "sizes", "texts")], strict=True):
-            pack_, ids, key, low, most, sizes, blob = (x.as_py() for x in row)
-            data, at, own = plain.decompress(blob), 0, []
-            key, low = np.frombuffer(key, np.uint64), np.frombuffer(low, np.int64)
-            for i, size in enumerate(np.frombuffer(sizes, np.int16).tolist()):
+        for pack_, blob in zip(group.column("pack").to_pylist(), group.column("blob"), strict=True):
+            (ids, key, low, most, sizes), data = split_arrays(ENTRIES, blob.as_py())
+            at, own = 0, []
+            for i, size in enumerate(sizes.tolist()):
                 text, at = data[at:at + size], at + size
                 e = known.setdefault(text, len(known))
                 if e == len(keys):
@@ -401,8 +439,8 @@ def answers_of(entries: DataFrame) -> DataFrame:
                 elif low[i] < least[e]:
                     least[e] = low[i]
                 own.append(e)
-            sent.append((pack_, np.frombuffer(ids, np.int32), own, np.frombuffer(most, np.int64)))
-        found = answer(np.array(keys, np.uint64), list(known), np.array(least, np.int64))
+            sent.append((pack_, ids, own, most))
+        found = answer(np.array(keys, np.uint32), list(known), np.array(least, np.int64))
         low = np.array([x.min() for x in found], np.int64)
         rows = []
         for pack_, ids, own, most in sent:
@@ -456,11 +494,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pac
     # About 16 bytes of text an anchor, and text packs to about a third.
     hashes = size * 3 // 16
     bits = min(24, max(8, (hashes // GROUP_HASHES).bit_length()))
-    groups = max(256, hashes // (2 * GROUP_HASHES))
+    groups = max(128, hashes // (2 * GROUP_HASHES))
     shared = materialize(shared_anchors(anchors_of(packs.select("pack", "keys", "lengths", "data"), bits), hot_packs), "shared")
     entries = materialize(entries_of(packs.select("pack", "keys", "lengths", "data"), shared, bits, groups), "entries")
     answers = materialize(answers_of(entries), "answers")
-    where = entries.where("group = -1").select("pack", F.struct("ids", F.col("keys").alias("first"), F.col("sizes").alias("count")).alias("where"))
+    where = entries.where("group = -1").select("pack", F.col("blob").alias("where"))
     found = answers.groupBy("pack").agg(F.collect_list(F.struct("ids", "counts", "values")).alias("answers"))
     names = docs.columns
 
@@ -472,8 +510,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pac
                 keys, ends, data = unpack(row)
                 raw, gone = np.frombuffer(data, np.uint8), None
                 if row["answers"]:
-                    w = row["where"]
-                    gone = cut(keys, ends, len(raw), (np.frombuffer(w["ids"], np.int32), np.frombuffer(w["first"], np.int64), np.frombuffer(w["count"], np.int16).astype(np.int64)), row["answers"])
+                    (ids, first, count), _ = split_arrays(OCCURRENCES, row["where"])
+                    gone = cut(keys, ends, len(raw), (ids, first.astype(np.int64), count.astype(np.int64)), row["answers"])
                 out, start = [], 0
                 for end in ends.tolist():
                     kept, spans = data[start:end], []
