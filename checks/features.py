@@ -14,6 +14,7 @@ from tidemark.operators.fill import fill
 from tidemark.operators.incidents import group_incidents
 from tidemark.operators.order import positions, windowed
 from tidemark.operators.quantile import exact_quantiles, median_fill
+from tidemark.session import materialize
 
 ORDER = "over (order by idx"
 
@@ -94,6 +95,13 @@ def _(spark, d):
     return rounded(median_fill(df, train, ["value"]).select("event_id", "value"))
 
 
+@query("impute_median_int", """with x as (select event_id, case when event_id % 5 <> 0 then cast(floor(value) as bigint) end as v from events),
+  m as (select quantile_cont(v, 0.5) as med from x) select event_id, round(coalesce(v, med), 6) as v from x, m""")
+def _(spark, d):
+    df = events(spark, d).select("event_id", F.when(F.col("event_id") % 5 != 0, F.floor("value")).alias("v"))
+    return rounded(median_fill(df, df, ["v"]))
+
+
 @query("drop_any_null", f"""with {RAW_SQL} select event_id, value,
   row_number() over (order by ts, event_id) - 1 as idx from r where value is not null""")
 def _(spark, d):
@@ -328,7 +336,8 @@ def _(spark, d):
   from g group by id""")
 def _(spark, d):
     made = feat.add_features(events_line(spark, d), ["value"], "A")
-    scored = explain.contributions(made.df, ["value"]).withColumn("anomaly_score", F.col("contrib_value"))
+    scored = explain.contributions(made.df, ["value"]).select("idx", "ts", F.col("contrib_value").alias("anomaly_score"))
+    scored = materialize(scored, "scored")
     threshold = exact_quantiles(scored, ["anomaly_score"], [0.99])["anomaly_score"][0]
     alerts = scored.withColumn("is_alert", F.col("anomaly_score") >= F.lit(threshold))
     return rounded(group_incidents(made.with_df(alerts), 0, ts="ts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
-from checks.views import events, table
+from checks.views import events, events_line, table
 from tidemark.operators import detectors as det
 from tidemark.operators import splits
 from tidemark.operators.calibrate import CrossCalibrated, Isotonic, Sigmoid
@@ -15,7 +15,7 @@ from tidemark.operators.models import Scorer, fit
 from tidemark.plans import compare, detect, tuning
 from tidemark.plans.common import prepare
 from tidemark.plans.train import evaluate, score_latest, train
-from tidemark.session import new_path
+from tidemark.session import materialize, new_path
 
 KPI = ["value"]
 
@@ -57,6 +57,17 @@ def _(spark, d):
     return rows.select("idx", forest.score(spark).alias("anomaly_score"))
 
 
+@query("iforest_share", """select row_number() over (order by ts, event_id) - 1 as idx, true as in_range, true as share_alerts from events""")
+def _(spark, d):
+    line = events_line(spark, d)
+    rows = line.df.select("idx", det.feature_array(["value", "label"]).alias("features"))
+    forest = det.IsolationForest.fit(rows, line.n, trees=800, max_samples=0.8, contamination=0.05)
+    scored = materialize(rows.select("idx", forest.score(spark).alias("s")), "scored")
+    # With ties on the cut fewer rows than the share lie above it, never more.
+    above = scored.where("s > 0").count() <= 0.05 * line.n + 1
+    return scored.select("idx", F.col("s").between(-1.0, 1.0).alias("in_range"), F.lit(above).alias("share_alerts"))
+
+
 @query("kernel_outlier")
 def _(spark, d):
     rows = _vectors(spark, d)

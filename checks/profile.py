@@ -6,12 +6,14 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
+from checks.features import incident_sql
 from checks.registry import query, rounded
 from checks.views import (E_SQL, WIDE_KPIS, WIDE_SQL, events, events_line, raw_events, table, users_line,
                           wide, wide_line)
 from tidemark.functions import clean, explain
 from tidemark.operators import features as feat
 from tidemark.operators import profile, ranking, sanity, scale
+from tidemark.operators.incidents import group_incidents
 from tidemark.operators.thresholds import quantile_threshold
 from tidemark.session import new_path
 from tidemark.sources import runs, tables
@@ -133,9 +135,21 @@ def _(spark, d):
     return out
 
 
-@query("last_incidents", """with a as (select event_id, ts, value from events where value >= 100) select event_id, ts, value from a order by ts desc, event_id desc limit 10""")
+@query("last_incidents", incident_sql(0) + " order by start_ts desc, incident_id desc limit 10")
 def _(spark, d):
-    return ranking.top_rows(events(spark, d).where("value >= 100").select("event_id", "ts", "value"), ["ts", "event_id"], 10)
+    line = events_line(spark, d)
+    alerts = line.df.withColumns({"anomaly_score": F.col("value"), "is_alert": F.col("value") >= 100})
+    return ranking.top_rows(group_incidents(line.with_df(alerts), 0, ts="ts"), ["start_ts", "incident_id"], 10)
+
+
+@query("hist_many_classes", """with r as (select user_id as label, min(value) as mi, max(value) as ma from events group by 1),
+  q as (select label, case when ma > mi then mi else mi - 0.5 end as lo, case when ma > mi then ma - mi else 1.0 end as w from r),
+  b as (select q.label, least(4, floor((value - lo) / w * 5)) as bin, count(*) as n from events join q on user_id = q.label group by 1, 2),
+  g as (select label, cast(i as int) as bin, lo + w * i / 5 as bin_start from q, range(0, 5) t(i))
+  select g.label, g.bin, round(bin_start, 6) as bin_start, coalesce(n, 0) as n from g left join b on g.label = b.label and g.bin = b.bin""")
+def _(spark, d):
+    rows = events(spark, d).select(F.col("series_key").alias("label"), "value")
+    return rounded(profile.class_histogram(rows, "value", "label", 5))
 
 
 def _runs(spark, d):
@@ -161,6 +175,11 @@ def _(spark, d):
     return runs.resolve_source(_runs(spark, d))
 
 
+@query("incident_source", f"with {RUN_SQL}, l as (select tag, max(run_id) as run_id from r where tag in ('eval', 'train') group by tag) select tag, run_id from l order by tag = 'train' limit 1")
+def _(spark, d):
+    return runs.incident_run(_runs(spark, d))
+
+
 @query("scan_csv", """select event_id, ts as "timestamp", value, cast(event_type = 'error' as int) as anomaly from events where event_id % 13 <> 0""")
 def _(spark, d):
     path = new_path(spark, "csv")

@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from tidemark.operators.quantile import exact_quantiles
 from tidemark.session import materialize
 
-MAX_SAMPLE_ROWS = 4_000_000  # rows of all trees together; bounds what is broadcast
+TREE_ROWS = 4_096  # rows that one tree is grown from at most; larger samples hardly change path lengths
 
 
 def feature_array(cols: Sequence[str]) -> Column:
@@ -70,18 +70,18 @@ class IsolationForest:
 
     @classmethod
     def fit(cls, df: DataFrame, n: int, trees: int = 400, max_samples: int | float | str = "auto",
-            contamination: float | str = 0.01, seed: int = 42) -> IsolationForest:
+            contamination: float | str = 0.01, seed: int = 42, tree_rows: int = TREE_ROWS) -> IsolationForest:
         """Grow trees on random rows of ``df``, which has ``features`` and dense ``idx`` in [0, n).
 
-        ``max_samples`` is a number of rows, a share of them or "auto" (at most 256). With a
+        ``max_samples`` is a number of rows, a share of them or "auto" (at most 256); ``tree_rows`` bounds
+        all three, so that the model does not grow with the table. With a
         ``contamination`` share, scores are shifted so that this share of ``df`` lies above 0.
         """
         if n <= 0:
             raise ValueError("no training rows")
         sample = min(256, n) if max_samples == "auto" else (
             max(1, int(max_samples * n)) if isinstance(max_samples, float) else min(int(max_samples), n))
-        if sample * trees > MAX_SAMPLE_ROWS:
-            raise ValueError(f"{trees} trees of {sample} rows exceed {MAX_SAMPLE_ROWS}; lower max_samples")
+        sample = min(sample, tree_rows)
         limit = max(1, math.ceil(math.log2(max(sample, 2))))
         spark = df.sparkSession
 
@@ -100,8 +100,7 @@ class IsolationForest:
             grown = _grow(x, np.random.default_rng([seed, t, 1]), limit)
             return pd.DataFrame({"tree": [t], "nodes": [json.dumps(grown)]})
 
-        # The drawn positions are bounded by MAX_SAMPLE_ROWS, whatever the size of ``df``.
-        picked = df.select("idx", "features").join(F.broadcast(drawn), "idx")
+        picked = df.select("idx", "features").join(drawn, "idx")
         grown = picked.groupBy("tree").applyInPandas(build, "tree long, nodes string").orderBy("tree").collect()
         forest = cls([json.loads(r["nodes"]) for r in grown], sample)
         if contamination != "auto":

@@ -20,7 +20,8 @@ from tidemark.session import materialize
 
 CHUNK = 2_048
 MAX_CHUNKS = 1_000_000
-_PART, _PLACE, _CHUNK = "__part", "__place", "__chunk"
+RANGE_BYTES = 256 << 20  # of one sorted range, by the planner's estimate of the table
+_PART, _PLACE, _CHUNK, _SERIES = "__part", "__place", "__chunk", "__series"
 _ROW_BITS = (1 << 33) - 1  # row part of monotonically_increasing_id()
 
 
@@ -45,7 +46,8 @@ class Timeline:
 
     def window(self, descending: bool = False) -> WindowSpec:
         """Window over one chunk of one series; only valid on the rows given to a ``build``."""
-        return Window.partitionBy(_CHUNK, *self.keys).orderBy(F.desc("idx") if descending else "idx")
+        by = [_CHUNK, _SERIES] if self.keys else [_CHUNK]
+        return Window.partitionBy(*by).orderBy(F.desc("idx") if descending else "idx")
 
 
 def timeline(
@@ -60,12 +62,14 @@ def timeline(
 
     Unless ``order`` is known to be ``unique``, rows equal in it are ordered by a hash of the whole
     row: the order is the same in every run, and a crowd of rows at one time is still split.
-    Without ``partitions`` the number of ranges is left to adaptive execution. The sorted rows are
+    Without ``partitions`` the number of ranges is left to adaptive execution, which only merges them; tables
+    too large for the session's number of partitions get one for every ``RANGE_BYTES``. The sorted rows are
     written once to shared storage, so positions do not change when a lost partition is recomputed.
     """
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     if not unique:
         by.append(F.xxhash64(*[_hashable(f) for f in df.schema.fields]))
+    partitions = partitions or _ranges(df)
     ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
     stored = materialize(
         ranged.sortWithinPartitions(*by)
@@ -83,6 +87,14 @@ def timeline(
     return Timeline(numbered, n, chunk or chunk_rows(n), tuple(keys))
 
 
+def _ranges(df: DataFrame) -> int | None:
+    """Ranges for a table that the session's shuffle partitions would cut too coarsely, else none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = -(-size // RANGE_BYTES)
+    # Estimates of plans with joins multiply; beyond a petabyte they say nothing.
+    return wanted if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < wanted < (1 << 50) // RANGE_BYTES else None
+
+
 def _hashable(field: T.StructField) -> Column:
     """The column, or its JSON text where it holds maps, which have no hash."""
     col = F.col(f"`{field.name}`")
@@ -124,8 +136,12 @@ def windowed(
     else:
         rows = tl.df.withColumn(_CHUNK, home)
     drop = [_CHUNK]
+    if tl.keys:
+        # A struct of the keys is never null, so the join and the windows agree on the partitioning.
+        rows, drop = rows.withColumn(_SERIES, F.struct(*tl.keys)), [_CHUNK, _SERIES]
     if carry is not None:
-        rows, drop = _join_carry(rows, carry, tl.keys)
+        rows, more = _join_carry(rows, carry, tl.keys)
+        drop += more
     done = build(rows, tl.window())
     if lookback:
         done = done.where(F.col(_CHUNK) == home)
@@ -134,15 +150,10 @@ def windowed(
 
 def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Left join on chunk and series; a null series key matches itself."""
-    joined_on = [_CHUNK, *keys]
-    renamed = carry.select(
-        *[F.col(k).alias(f"__on_{k}") if k in joined_on else F.col(k) for k in carry.columns]
-    )
-    match = F.col(_CHUNK) == F.col(f"__on_{_CHUNK}")
-    for k in keys:
-        match &= F.col(k).eqNullSafe(F.col(f"__on_{k}"))
-    extra = [c for c in renamed.columns]
-    return rows.join(renamed, match, "left"), [_CHUNK, *extra]
+    on = [_CHUNK, _SERIES] if keys else [_CHUNK]
+    if keys:
+        carry = carry.withColumn(_SERIES, F.struct(*keys)).drop(*keys)
+    return rows.join(carry, on, "left"), [c for c in carry.columns if c not in on]
 
 
 def edges(tl: Timeline, cols: Sequence[str], lookback: int) -> DataFrame:

@@ -57,6 +57,13 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("tag").agg(F.max("run_id").alias("run_id"))
 
 
+def incident_run(runs: DataFrame, priority: list[str] | None = None) -> DataFrame:
+    """The latest run of the first tag in ``priority`` that has a run at all, with scores or without: ``tag, run_id``."""
+    order = F.array(*[F.lit(t) for t in (priority or INCIDENT_PRIORITY)])
+    placed = latest_runs(runs).withColumn("place", F.array_position(order, F.col("tag"))).where("place > 0")
+    return placed.orderBy("place").limit(1).select("tag", "run_id")
+
+
 def resolve_source(runs: DataFrame, priority: list[str] | None = None) -> DataFrame:
     """The latest run of the first tag in ``priority`` that has scores: ``tag, run_id``.
 
