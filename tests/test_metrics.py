@@ -9,6 +9,7 @@ from tidemark.functions import scores as fs
 from tidemark.operators import metrics as m
 from tidemark.operators import ranking, splits
 from tidemark.operators import thresholds as th
+from tidemark.operators.profile import class_histogram
 from tidemark.operators.quantile import exact_quantiles, median_fill
 
 
@@ -184,3 +185,37 @@ def test_alert_sources(spark):
     assert flags(df.drop("is_alert", "pred_label")) == [False, False]
     with pytest.raises(ValueError):
         ranking.resolve_alerts(df.drop("score"))
+
+
+def test_quantiles_with_infinities_and_job_count(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=3000), [np.inf] * 40, [-np.inf] * 40])
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    assert exact_quantiles(df, ["v"], [0.0, 0.5, 1.0], few=40)["v"] == [-np.inf, pytest.approx(np.quantile(v, 0.5)), np.inf]
+    wide = df.select(*[(F.col("v") + i).alias(f"c{i}") for i in range(50)])
+
+    def jobs(cols):
+        spark.sparkContext.setJobGroup(f"q{len(cols)}", "")
+        exact_quantiles(wide, cols, [0.25, 0.5])
+        done = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"q{len(cols)}"))
+        spark.sparkContext.setJobGroup("", "")
+        return done
+
+    assert jobs(["c0"]) == jobs(wide.columns)
+
+
+def test_medians_of_integers_are_exact(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,), (10,), (None,)], "a int")
+    assert sorted(r["a"] for r in median_fill(df, df, ["a"]).collect()) == [1.0, 2.0, 2.5, 3.0, 10.0]
+
+
+def test_operating_points_without_validation_rows(spark):
+    rows = scored(spark, [0.1, 0.9], [0, 1])
+    got = th.operating_points(rows.where("idx < 0"), rows).collect()
+    assert {r["threshold"] for r in got} == {th.NO_SCORES} and len(got) == 3
+
+
+def test_many_classes(spark):
+    df = spark.range(6000).select((F.col("id") % 1500).alias("c"), F.col("id").cast("double").alias("v"))
+    got = class_histogram(df, "v", "c", 4)
+    assert got.count() == 6000 and got.agg(F.sum("n")).first()[0] == 6000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.clean import drop_constant, drop_incomplete, feature_columns, numbers, parse_time, require
 from tidemark.operators import features as feat
 from tidemark.operators.fill import fill
-from tidemark.operators.order import positions, reindex, running_totals, timeline, windowed
+from tidemark.operators.order import from_indexed, positions, reindex, running_totals, timeline, windowed
 
 
 def series(n=600, seed=1, hot=1 / 3):
@@ -159,3 +159,44 @@ def test_constant_and_feature_columns(spark):
                                "a int, b double, c double, anomaly_x int, s string, anomaly int, `Network Target` double")
     assert drop_constant(df)[1] == ["a", "c"]
     assert feature_columns(df) == ["a", "b", "c"]
+
+
+def test_keyed_carry_needs_one_row_exchange(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(i % 3 or None, i, float(i) if i % 4 else None) for i in range(50)], "k int, t int, v double")
+        plan = fill(timeline(rows, ["t"], keys=["k"], chunk=8), ["v"]).toDF("k", "t", "v", "idx")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    above = plan[: plan.index("Join")]
+    assert "Window" in above and "Exchange" not in above  # the windows use the join's partitioning
+
+
+def test_one_row_table_counts_one(spark):
+    assert from_indexed(spark.createDataFrame([(0, 1.0)], "idx bigint, v double")).n == 1
+    assert from_indexed(spark.createDataFrame([], "idx bigint, v double")).n == 0
+
+
+def test_text_times_are_utc_in_any_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        texts = ["2024-01-01 00:00:00", "2024-01-01", "2024-01-01T00:00:00Z", "2024-01-01 02:00:00+02:00", "2023-12-31 19:00:00 America/New_York", "n/a"]
+        df = spark.createDataFrame([(t,) for t in texts], "timestamp string")
+        got = [r[0] for r in parse_time(df).select(F.unix_timestamp("timestamp")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [1704067200] * 5
+
+
+def test_nan_is_no_second_value(spark):
+    df = spark.createDataFrame([(float("nan"), 1.0), (1.0, 2.0)], "a double, b double")
+    assert drop_constant(df)[1] == ["a"]
+
+
+def test_maps_and_arrays_decide_ties(spark):
+    rows = [(1, {"a": i}, [i]) for i in range(20)]
+    df = spark.createDataFrame(rows, "t int, m map<string,int>, a array<int>")
+    first, second = ([r["a"] for r in timeline(df.repartition(n), ["t"]).df.orderBy("idx").collect()] for n in (1, 5))
+    assert first == second
