@@ -12,8 +12,11 @@ from tidemark.streaming.score import stream_incidents, stream_score
 SCHEMA = "series_key bigint, ts timestamp_ntz, event_id bigint, value double, label int"
 
 
+FILES = 4
+
+
 def _arrivals(spark, d, parts: int = 4) -> str:
-    """The events as files of consecutive time spans, written one after the other."""
+    """The events as consecutive time spans of ``FILES`` files each, written one after the other."""
     path = new_path(spark, "arrivals")
     rows = events(spark, d)
     cuts = [None, *rows.approxQuantile("event_id", [i / parts for i in range(1, parts)], 0.01), None]
@@ -23,7 +26,7 @@ def _arrivals(spark, d, parts: int = 4) -> str:
             span = span.where(F.col("event_id") >= low)
         if high is not None:
             span = span.where(F.col("event_id") < high)
-        span.coalesce(1).write.mode("append").parquet(path)
+        span.repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -31,7 +34,7 @@ def _arrivals(spark, d, parts: int = 4) -> str:
   round(abs((value - avg(value) over w) / case when coalesce(stddev_samp(value) over w, 0) = 0 then 1e-9 else stddev_samp(value) over w end), 4) as anomaly_score
   from events window w as (partition by user_id order by ts, event_id rows between 9 preceding and current row)""")
 def _(spark, d):
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(_arrivals(spark, d))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", FILES).parquet(_arrivals(spark, d))
     out = new_path(spark, "stream")
     score = lambda df: df.withColumn("anomaly_score", F.col("contrib_value"))
     stream_score(source, out, score, ["value"], ["series_key"], "ts", ["event_id"]).awaitTermination()
@@ -45,7 +48,7 @@ def _(spark, d):
   i as (select min(ts) as start_ts, max(ts) as end_ts, count(*) as n_rows, max(value) as max_score from g group by id)
   select * from i where end_ts + interval 2 hours <= (select max(ts) - interval 10 minutes from a)""")
 def _(spark, d):
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(_arrivals(spark, d))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", FILES).parquet(_arrivals(spark, d))
     alerts = source.select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("anomaly_score"), (F.col("value") >= 100).alias("is_alert"))
     out = new_path(spark, "incidents")
     found = stream_incidents(alerts, "2 hours", "10 minutes", ts="ts")

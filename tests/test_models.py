@@ -288,3 +288,21 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path, keys):
     g = pdf.groupby("k")["v"] if keys else pdf["v"]
     want = g.transform(lambda s: s.rolling(10, min_periods=1).mean()) if keys else g.rolling(10, min_periods=1).mean()
     assert len(got) == 90 and np.allclose(got["v__roll10_mean"], want)
+
+
+def test_idle_series_cost_nothing_and_old_state_goes(spark, tmp_path, monkeypatch):
+    from tidemark.streaming import score as st
+
+    monkeypatch.setattr(st, "COMPACT", 2)
+    out = str(tmp_path / "out")
+    plain = lambda df: df.withColumn("anomaly_score", F.lit(0.0))
+    every = [spark.createDataFrame([(k, b * 10 + i, float(i)) for k in ([*range(200)] if b == 0 else [b]) for i in range(3)], "k int, t int, v double")
+             .withColumn("t", F.timestamp_seconds("t")) for b in range(6)]
+    for b, rows in enumerate(every):
+        st.score_batch(rows, b, out, plain, ["v"], ["k"], "t", [])
+        if b == 1:
+            read = st._state(spark, f"{out}/state", 2, ["k"], rows.where("k = 1"))
+            assert read.select("k").distinct().collect() == [(1,)] and read.count() == 6
+    left = {p.name for p in (tmp_path / "out" / "state").iterdir() if p.name.startswith("batch=")}
+    assert left == {"batch=2", "batch=3", "batch=4", "batch=5"}
+    assert st._state(spark, f"{out}/state", 6, ["k"], None).select("k").distinct().count() == 200

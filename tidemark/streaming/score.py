@@ -1,7 +1,9 @@
 """Scoring a stream of KPI rows, and incidents from a stream of alerts.
 
 Each micro-batch runs the batch operators on its rows together with the last few rows of their
-series, which are kept as a small table in the output folder. A series may hold any share of a
+series. A batch writes the last rows of its own series only and reads back those of its series, from the
+few buckets they fall in; series that are idle cost nothing. Every ``COMPACT`` batches all series are written
+together, and what came before the last such table but one is removed. A series may hold any share of a
 batch, as its rows are spread like in a batch job. Batch ids make reruns overwrite themselves.
 """
 
@@ -10,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,16 +24,41 @@ from tidemark.operators.order import timeline
 from tidemark.session import materialize
 
 Score = Callable[[DataFrame], DataFrame]
+BUCKETS = 64  # folders that series are hashed to within a version of the state
+COMPACT = 32
 
 
-def _state(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """The newest rows kept by a batch earlier than ``before``."""
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int") if keys else F.lit(0)
+
+
+def _state(spark: SparkSession, path: str, before: int, keys: Sequence[str], fresh: DataFrame | None) -> DataFrame | None:
+    """The newest rows of each series that batches earlier than ``before`` kept; of ``fresh``'s series only, if given."""
     try:
         kept = spark.read.parquet(path)
     except AnalysisException:
         return None
-    version = kept.where(F.col("batch") < before).agg(F.max("batch")).first()[0]
-    return None if version is None else kept.where(F.col("batch") == version).drop("batch")
+    # The last full table and the batches behind it hold the newest rows of every series.
+    start = before - 1 - (before - 1) % COMPACT
+    kept = kept.where((F.col("batch") >= start) & (F.col("batch") < before))
+    if fresh is not None and keys:
+        met = [r[0] for r in fresh.select(_bucket(keys)).distinct().collect()]
+        kept = match_keys(kept.where(F.col("bucket").isin(met)), fresh.select(*keys).distinct(), keys, "left_semi")
+    newest = F.max("batch").over(Window.partitionBy(*keys)) if keys else None
+    if newest is None:
+        last = kept.agg(F.max("batch")).first()[0]
+        return None if last is None else kept.where(F.col("batch") == last).drop("batch", "bucket")
+    return kept.withColumn("__newest", newest).where(F.col("batch") == F.col("__newest")).drop("batch", "bucket", "__newest")
+
+
+def _remove_versions(spark: SparkSession, path: str, before: int) -> None:
+    """Remove the versions of the state that no batch, rerun or not, will read again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for item in place.listStatus(folder) if place.exists(folder) else []:
+        name = item.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < before:
+            place.delete(item.getPath(), True)
 
 
 def score_batch(batch: DataFrame, batch_id: int, path: str, score: Score, kpis: Sequence[str], keys: Sequence[str],
@@ -45,7 +72,7 @@ def score_batch(batch: DataFrame, batch_id: int, path: str, score: Score, kpis:
     order = [ts, *tie]
     lookback = FAMILIES[family][1]
     fresh = numbers(parse_time(batch, ts), list(kpis)).withColumn("__new", F.lit(True))
-    held = _state(spark, f"{path}/state", batch_id)
+    held = _state(spark, f"{path}/state", batch_id, keys, fresh)
     part = f"batch={batch_id}"
     if held is not None:
         held = held.withColumn("__new", F.lit(False))
@@ -68,7 +95,15 @@ def score_batch(batch: DataFrame, batch_id: int, path: str, score: Score, kpis:
     score(new).write.mode("overwrite").parquet(f"{path}/scores/{part}")
     back = Window.partitionBy(*keys).orderBy(F.desc("idx"))
     tail = made.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= lookback)
-    tail.select(*keys, *order, *kpis).write.mode("overwrite").parquet(f"{path}/state/{part}")
+    tail = tail.select(*keys, *order, *kpis)
+    if batch_id % COMPACT == 0 and keys and batch_id:
+        every = _state(spark, f"{path}/state", batch_id, keys, None)
+        if every is not None:
+            tail = materialize(tail, "tail")
+            tail = tail.unionByName(match_keys(every, tail.select(*keys).distinct(), keys, "left_anti").select(tail.columns))
+    tail.withColumn("bucket", _bucket(keys)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/{part}")
+    if batch_id % COMPACT == 0:
+        _remove_versions(spark, f"{path}/state", batch_id - COMPACT)
 
 
 def stream_score(rows: DataFrame, path: str, score: Score, kpis: Sequence[str], keys: Sequence[str] = (), ts: str = "timestamp",
