@@ -136,7 +136,8 @@ def links(docs: DataFrame, marked: DataFrame, key: str, text: str, min_words: in
     # The same paragraphs often collide in several bands: one unit for them.
     units = materialize(units.select("hs").groupBy("hs").agg(F.lit(1)).select(F.xxhash64("hs").alias("unit"), "hs"), "units")
     asked = units.select(F.explode("hs").alias("h")).distinct()
-    where = marked.select("h", "key").join(asked, "h").groupBy("h").agg(F.min("key").alias("key"))
+    # One document for each paragraph, found before the join: a paragraph may be in most of them.
+    where = marked.groupBy("h").agg(F.min("key").alias("key")).join(asked, "h")
     wanted = where.groupBy("key").agg(F.collect_list("h").alias("hs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
