@@ -293,7 +293,6 @@ def shared_anchors(anchors: DataFrame, hot_packs: int) -> DataFrame:
 
 
 #: Array types of the blobs. Anchors meet in a group by half of their hash: others that share it are compared in vain.
-OCCURRENCES = (np.int32, np.int32, np.uint8)
 ENTRIES = (np.int32, np.uint32, np.int64, np.int64, np.uint8)
 
 
@@ -317,58 +316,60 @@ def split_arrays(kinds: tuple, blob: bytes) -> tuple[list[np.ndarray], bytes]:
     return out, data[at:]
 
 
-def entries_of(packs: DataFrame, shared: DataFrame, bits: int, groups: int) -> DataFrame:
-    """Blobs of one pack: (pack, group, blob) for each group the different segments it asks about, and (group -1)
-    where they occur, as arrays joined by ``join_arrays``.
+def occurrences(data: bytes, ends: np.ndarray, asked: list[dict], bits: int) -> tuple:
+    """(different segments, entry, first window, number of windows, hash of the anchor) of a pack's shared anchors.
 
-    Entries: number, hash of the anchor, smallest and largest key of the pack's rows that have the segment, its size
-    and bytes. Occurrences: number of the entry, first window, number of windows.
+    Entries count the different segments in the order of the text, so two calls number them alike. Every window of a
+    hot anchor goes by itself, under its own hash.
     """
-    asked = shared.groupBy("pack").agg(F.collect_list(F.struct("bucket", "low", "hot")).alias("asked"))
+    low = [np.frombuffer(x["low"], np.uint32) for x in asked]
+    wanted = np.concatenate([(np.uint64(x["bucket"]) << np.uint64(32)) | y.astype(np.uint64) for x, y in zip(asked, low, strict=True)])
+    hot = np.concatenate([np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=len(y)).astype(bool) for x, y in zip(asked, low, strict=True)])
+    order = np.argsort(wanted)
+    wanted, hot = wanted[order], hot[order]
+    h, first, count = segments(np.frombuffer(data, np.uint8), ends)
+    short = (h >> np.uint64(64 - bits) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+    at = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
+    held = wanted[at] == short
+    h, first, count, hot = h[held], first[held], count[held], hot[at[held]]
+    if hot.any():
+        n = count[hot]
+        windows = np.repeat(first[hot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        own = np.array([int.from_bytes(hashlib.blake2b(data[s:s + WINDOW], digest_size=8).digest(), "little") for s in windows.tolist()], np.uint64)
+        h, first = np.concatenate([h[~hot], own]), np.concatenate([first[~hot], windows])
+        count = np.concatenate([count[~hot], np.ones(len(windows), np.int64)])
+    known: dict[bytes, int] = {}
+    ids = np.array([known.setdefault(data[s:s + c + WINDOW - 1], len(known)) for s, c in zip(first.tolist(), count.tolist(), strict=True)], np.int64)
+    return list(known), ids, first, count, h
+
+
+def entries_of(packs: DataFrame, asked: DataFrame, bits: int, groups: int) -> DataFrame:
+    """(pack, group, blob) for each group the different segments of a pack that it asks about, as arrays joined by
+    ``join_arrays``: number of the entry, hash of the anchor, smallest and largest key of the pack's rows that have
+    the segment, its size and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in ("pack", "keys", "lengths", "data", "asked")}
                 keys, ends, data = unpack(row)
-                low = [np.frombuffer(x["low"], np.uint32) for x in row["asked"]]
-                wanted = np.concatenate([(np.uint64(x["bucket"]) << np.uint64(32)) | y.astype(np.uint64) for x, y in zip(row["asked"], low, strict=True)])
-                hot = np.concatenate([np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=len(y)).astype(bool) for x, y in zip(row["asked"], low, strict=True)])
-                order = np.argsort(wanted)
-                wanted, hot = wanted[order], hot[order]
-                raw = np.frombuffer(data, np.uint8)
-                h, first, count = segments(raw, ends)
-                short = (h >> np.uint64(64 - bits) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-                at = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
-                held = wanted[at] == short
-                h, first, count, hot = h[held], first[held], count[held], hot[at[held]]
-                if hot.any():
-                    # Every window of a hot anchor goes by itself, under its own hash.
-                    n = count[hot]
-                    windows = np.repeat(first[hot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    own = np.array([int.from_bytes(hashlib.blake2b(data[s:s + WINDOW], digest_size=8).digest(), "little") for s in windows.tolist()], np.uint64)
-                    h, first = np.concatenate([h[~hot], own]), np.concatenate([first[~hot], windows])
-                    count = np.concatenate([count[~hot], np.ones(len(windows), np.int64)])
-                if not len(h):
+                texts, ids, first, _, h = occurrences(data, ends, row["asked"], bits)
+                if not texts:
                     continue
                 doc = keys[np.searchsorted(ends, first, side="right")]
-                known: dict[bytes, int] = {}
-                texts = [data[s:s + c + WINDOW - 1] for s, c in zip(first.tolist(), count.tolist(), strict=True)]
-                ids = np.array([known.setdefault(t, len(known)) for t in texts], np.int64)
-                lead = np.empty(len(known), np.int64)
+                lead = np.empty(len(texts), np.int64)
                 lead[ids[::-1]] = np.arange(len(ids))[::-1]
-                least = np.full(len(known), NONE)
+                least = np.full(len(texts), NONE)
                 np.minimum.at(least, ids, doc)
-                most = np.full(len(known), np.iinfo(np.int64).min)
+                most = np.full(len(texts), np.iinfo(np.int64).min)
                 np.maximum.at(most, ids, doc)
                 key = h[lead]
                 group = (key % np.uint64(groups)).astype(np.int64)
-                out = [(row["pack"], -1, join_arrays(OCCURRENCES, len(ids), ids, first, count))]
-                names = list(known)
+                out = []
                 order = np.argsort(group, kind="stable")
                 cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
                 for own in np.split(order, cuts[1:]):
-                    blob = [names[e] for e in own.tolist()]
+                    blob = [texts[e] for e in own.tolist()]
                     sizes = np.array([len(t) for t in blob])
                     out.append((row["pack"], int(group[own[0]]), join_arrays(ENTRIES, len(own), own, key[own] >> np.uint64(32), least[own], most[own], sizes, text=b"".join(blob))))
                 columns = list(zip(*out, strict=True))
@@ -452,7 +453,7 @@ def answers_of(entries: DataFrame) -> DataFrame:
         kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("pack", "ids", "counts", "values"), columns, kinds, strict=True)})
 
-    return entries.where("group >= 0").groupBy("group").applyInArrow(run, "pack string, ids binary, counts binary, values binary")
+    return entries.groupBy("group").applyInArrow(run, "pack string, ids binary, counts binary, values binary")
 
 
 def cut(keys: np.ndarray, ends: np.ndarray, size: int, occurrences: tuple, answers: list[dict]) -> np.ndarray:
@@ -496,9 +497,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pac
     bits = min(24, max(8, (hashes // GROUP_HASHES).bit_length()))
     groups = max(128, hashes // (2 * GROUP_HASHES))
     shared = materialize(shared_anchors(anchors_of(packs.select("pack", "keys", "lengths", "data"), bits), hot_packs), "shared")
-    entries = materialize(entries_of(packs.select("pack", "keys", "lengths", "data"), shared, bits, groups), "entries")
-    answers = materialize(answers_of(entries), "answers")
-    where = entries.where("group = -1").select("pack", F.col("blob").alias("where"))
+    asked = shared.groupBy("pack").agg(F.collect_list(F.struct("bucket", "low", "hot")).alias("asked"))
+    answers = materialize(answers_of(entries_of(packs.select("pack", "keys", "lengths", "data"), asked, bits, groups)), "answers")
     found = answers.groupBy("pack").agg(F.collect_list(F.struct("ids", "counts", "values")).alias("answers"))
     names = docs.columns
 
@@ -510,8 +510,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pac
                 keys, ends, data = unpack(row)
                 raw, gone = np.frombuffer(data, np.uint8), None
                 if row["answers"]:
-                    (ids, first, count), _ = split_arrays(OCCURRENCES, row["where"])
-                    gone = cut(keys, ends, len(raw), (ids, first.astype(np.int64), count.astype(np.int64)), row["answers"])
+                    # Numbered as when the segments were sent: cheaper than to keep where they occur.
+                    _, ids, first, count, _ = occurrences(data, ends, row["asked"], bits)
+                    gone = cut(keys, ends, len(raw), (ids, first, count), row["answers"])
                 out, start = [], 0
                 for end in ends.tolist():
                     kept, spans = data[start:end], []
@@ -528,7 +529,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", pac
                 whole = pa.table({n: made[n] if n in made else rest.column(n) for n in [*names, "n_bytes", "removed", "kept"]})
                 yield from whole.to_batches(max_chunksize=512)
 
-    joined = packs.join(where, "pack", "left").join(found, "pack", "left").select("keys", "lengths", "data", "rest", "where", "answers")
+    # Only packs with an answer need their anchors again.
+    joined = packs.join(found.join(asked, "pack"), "pack", "left").select("keys", "lengths", "data", "rest", "asked", "answers")
     schema = wider(docs, "n_bytes bigint, removed array<array<bigint>>, kept binary")
     return joined.mapInArrow(run, schema)
 
