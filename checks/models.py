@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from checks.registry import query, rounded
 from checks.views import events, events_line, table
 from tidemark.operators import detectors as det
-from tidemark.operators import splits
+from tidemark.operators import scale, splits
 from tidemark.operators.calibrate import CrossCalibrated, Isotonic, Sigmoid
 from tidemark.operators.features import family_columns
 from tidemark.operators.knn import local_outlier_factor
 from tidemark.operators.models import Scorer, fit
+from tidemark.operators.order import timeline, windowed
 from tidemark.plans import compare, detect, tuning
 from tidemark.plans.common import prepare
 from tidemark.plans.train import evaluate, score_latest, train
@@ -275,3 +276,84 @@ def _(spark, d):
 def _(spark, d):
     out = tuning.robust_threshold(_labelled(spark, d), "RandomForest", {"numTrees": 10, "maxDepth": 6}, KPI, feature_cols=B_COLS, finalize=True, **ARGS)
     return out.scores.select("idx", "event_id", "anomaly", "anomaly_score", "is_alert", "model_used")
+
+
+# Scores have no SQL; these queries check what must hold for every row, with the operators' own settings.
+
+VECTOR_ROWS = "select vec_id as idx, true as in_range, true as share_alerts from embeddings"
+HELD_ROWS = """with e as (select row_number() over (order by ts, event_id) - 1 as idx from events), n as (select floor(count(*) * 0.7) as cut from e)
+  select idx, true as in_range, true as monotone from e, n where idx >= cut"""
+
+
+def _share_holds(scored, cut: int, share: float) -> bool:
+    """Whether the training rows above 0 are the share, up to one row of interpolation."""
+    above = scored.where((F.col("idx") < cut) & (F.col("s") > 0)).count()
+    return abs(above - share * cut) <= 1
+
+
+@query("iforest_rules", VECTOR_ROWS)
+def _(spark, d):
+    rows = _vectors(spark, d)
+    cut = _cut(rows)
+    forest = det.IsolationForest.fit(rows.where(F.col("idx") < cut), cut)
+    scored = materialize(rows.select("idx", forest.score(spark).alias("s")), "scored")
+    return scored.select("idx", (F.col("s") + forest.offset).between(0.0, 1.0).alias("in_range"), F.lit(_share_holds(scored, cut, 0.01)).alias("share_alerts"))
+
+
+@query("kernel_rules", VECTOR_ROWS)
+def _(spark, d):
+    rows = _vectors(spark, d)
+    cut = _cut(rows)
+    model = det.KernelMean.fit(rows.where(F.col("idx") < cut))
+    scored = materialize(rows.select("idx", model.score().alias("s")), "scored")
+    # A dot product with a mean of feature vectors: features lie within sqrt(2 / size).
+    return scored.select("idx", (F.col("s") - model.offset).between(-2.0, 2.0).alias("in_range"), F.lit(_share_holds(scored, cut, 0.1)).alias("share_alerts"))
+
+
+@query("pca_rules", "select vec_id as idx, true as in_range, true as none_left from embeddings")
+def _(spark, d):
+    rows = _vectors(spark, d)
+    train = rows.where(F.col("idx") < _cut(rows))
+    some, every = det.Reconstruction(train), det.Reconstruction(train, 64)
+    most = F.aggregate(some._centred(), F.lit(0.0), lambda s, v: s + v * v) / some.width
+    out = every.transform(some.transform(rows).withColumn("most", most), "whole")
+    return out.select("idx", F.col("anomaly_score").between(0.0, F.col("most") + 1e-9).alias("in_range"), (F.col("whole") < 1e-9).alias("none_left"))
+
+
+def _calibration_rules(scored, rising: bool = True):
+    """In [0, 1], and moving one way only along the scores."""
+    line = timeline(scored.select("idx", "score", "calibrated").withColumnRenamed("idx", "row"), ["score", "row"], unique=True)
+
+    def build(rows, frame):
+        step = F.col("calibrated") - F.lag("calibrated").over(frame)
+        return rows.withColumn("monotone", F.coalesce(step * (1 if rising else -1) >= -1e-12, F.lit(True)))
+
+    out = windowed(line, 1, build)
+    return out.select(F.col("row").alias("idx"), F.col("calibrated").between(0.0, 1.0).alias("in_range"), "monotone")
+
+
+@query("platt_rules", HELD_ROWS)
+def _(spark, d):
+    scored, val = _held(spark, d)
+    curve = Sigmoid(val)
+    return _calibration_rules(curve.transform(scored), float(curve.model.coefficients[0]) >= 0)
+
+
+@query("isotonic_rules", HELD_ROWS)
+def _(spark, d):
+    scored, val = _held(spark, d)
+    return _calibration_rules(Isotonic(val).transform(scored))
+
+
+@query("logreg_rules", """with e as (select row_number() over (order by ts, event_id) - 1 as idx from events) select idx, true as in_range, true as balanced from e""")
+def _(spark, d):
+    data = _data(spark, d)
+    split = splits.chrono_split(data.n)
+    train = data.slice(0, split.train_end)
+    model = fit(train, "LogisticRegression", data.feature_cols, scale="robust")
+    scored = materialize(model.transform(data.df).select("idx", "anomaly", "anomaly_score"), "scored")
+    neg, pos = scale.class_counts(train, "anomaly")
+    weight = scale.balanced_weight("anomaly", neg, pos)
+    # At the optimum the intercept's part of the gradient is zero.
+    slope = scored.where(F.col("idx") < split.train_end).agg(F.sum(weight * (F.col("anomaly_score") - F.col("anomaly"))) / F.sum(weight)).first()[0]
+    return scored.select("idx", F.col("anomaly_score").between(0.0, 1.0).alias("in_range"), F.lit(abs(slope) < 1e-3).alias("balanced"))
