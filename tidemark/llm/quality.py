@@ -114,7 +114,7 @@ def word_length(text: Column) -> Column:
 
 
 def dup_lines(text: Column) -> Column:
-    return 100 * n_dup_lines(text) > 30 * F.size(lines_of(text))
+    return 100 * n_dup_lines(text) > 40 * F.size(lines_of(text))
 
 
 BASE = (Rule("few_words", few_words), Rule("repeats", repeats))
@@ -176,7 +176,7 @@ m as (
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and 100 * n_symbols <= 30 * n_words and word_chars between 2 * n_words and 15 * n_words
-       and 100 * n_dup_lines <= 30 * n_lines as kept
+       and 100 * n_dup_lines <= 40 * n_lines as kept
 from b
 """
 
