@@ -237,7 +237,9 @@ def with_extra(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` in an array column ``out``; null counts as empty. All rows and columns stay."""
+    """``docs`` with the ids of ``text`` in an array column ``out``; null counts as empty. All rows and other columns stay; a column
+    of that name is replaced."""
+    docs = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -250,7 +252,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the text of the array column ``ids`` in ``out``; null counts as empty."""
+    """``df`` with the text of the array column ``ids`` in ``out``, which replaces a column of that name; null counts as empty."""
+    df = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
