@@ -98,8 +98,9 @@ def test_isolation_forest(spark):
     assert (raw["d"] > 0).sum() == 8
     other = df.select("idx", again.raw_score(spark).alias("s")).toPandas().sort_values("idx")
     assert np.allclose(raw["s"].to_numpy(), other["s"].to_numpy())
-    with pytest.raises(ValueError):
-        det.IsolationForest.fit(df, 10**12, trees=10, max_samples=0.5)
+    # A share has no limit of its own: trees are grown from ``tree_rows`` rows at most.
+    assert det.IsolationForest.fit(df, 400, trees=10, max_samples=0.8).sample == 320
+    assert det.IsolationForest.fit(df, 400, trees=10, max_samples=0.8, tree_rows=100).sample == 100
 
 
 def test_kernel_mean_and_reconstruction(spark):
