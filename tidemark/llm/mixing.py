@@ -29,6 +29,8 @@ STEPS = 60
 KEPT_STEPS = 10
 DONE = 1e-4
 TARGETS = {"good": 0.80, "poor": 0.12, "toxic": 0.08}
+#: In the pipeline no document goes below one copy, so weights are raised for good documents only.
+KEPT_TARGETS = {"good": 0.95, "poor": 0.01, "toxic": 0.04}
 
 
 @dataclass(frozen=True)
@@ -137,13 +139,13 @@ def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def repeat_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of domains below their target weight occur again; each stays at least once.
+    """Pipeline stage: documents of domains below their weight in ``KEPT_TARGETS`` occur again; each stays once at least.
 
     The mixture is a tenth larger than the documents, which leaves room for the copies.
     """
     keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     size = docs.agg(F.sum(F.size(words("text")))).first()[0] or 0
-    found, _ = mix(keyed, labelled_documents(docs, table(spark, sf_dir, "labels")), TARGETS, tokens=1.1 * size, key="__key", least=1.0)
+    found, _ = mix(keyed, labelled_documents(docs, table(spark, sf_dir, "labels")), KEPT_TARGETS, tokens=1.1 * size, key="__key", least=1.0)
     more = found.where("copies > 1").select(F.col("key").alias("__key"), "copies").distinct()
     again = keyed.join(more, "__key", "left").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))))
     return again.select([F.col(f"`{c}`") for c in docs.columns])
