@@ -154,6 +154,41 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 6]
 
 
+def edited_texts(n=40, seed=3):
+    """Texts, each followed by a version with words appended, its head or tail cut off, and one block replaced."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdeinorst", k=rng.randint(2, 8))) for _ in range(900)]
+    rows = []
+    for _ in range(n):
+        words = rng.choices(vocabulary, k=rng.randint(60, 600))
+        k, at = len(words), rng.randrange(len(words) * 9 // 10)
+        other = rng.choices(vocabulary, k=k)
+        edits = [words, words + other[:k * 18 // 100], words[k * 16 // 100:], words[:k * 84 // 100], words[:at] + other[:k * 9 // 100] + words[at + k * 9 // 100:], words + other[:k // 2]]
+        rows += [(len(rows) + i, ", ".join(e).upper() if i == 2 else " ".join(e)) for i, e in enumerate(edits)]
+    return [*rows, (None, rows[1][1] + " tail"), (-1, "!"), (-2, None), (rows[7][0], rows[7][1])]
+
+
+@pytest.mark.parametrize("block", [3, paragraphs.BLOCK])
+def test_near_copies_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(paragraphs, "BLOCK", block)
+    rows = edited_texts()
+    words = [re.findall("[a-z]+", (t or "").lower()) for _, t in rows]
+    sets = [set(zip(*[w[i:] for i in range(5)], strict=False)) for w in words]
+    union = Union(range(len(rows)))
+    linked = 0
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                union.join(a, b)
+                linked += 1
+    groups = defaultdict(list)
+    for i, (k, _) in enumerate(rows):
+        groups[union.find(i)].append(k)
+    want = sorted(min(x for x in ks if x is not None) for ks in groups.values())
+    kept = simhash.drop_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == want and linked > 150
+
+
 def test_components_of_paths_and_stars(spark):
     pairs = [(i, i + 1) for i in range(100)] + [(200, 300 + i) for i in range(50)] + [(7, 7), (None, 3)]
     got = components.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()

@@ -2,12 +2,13 @@
 
 Bands are chosen for a wanted recall at the threshold. Paragraphs that collide in a band form units, which are compared exactly
 by their five-word shingles; a spanning forest of the verified links goes on to the components, and of
-each component the paragraph of the smallest document stays.
+each component the paragraph of the smallest document stays. Whole documents are linked the same way (``similar_texts``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.registry import query, table
-from tidemark.llm.simhash import shingles
 from tidemark.session import materialize
 
 WORDS = 5
@@ -26,7 +26,18 @@ RECALL = 0.995
 MOST_HASHES = 48
 #: Shorter paragraphs are headings and formulas rather than passages; they are neither compared nor removed.
 MIN_WORDS = 20
+#: A unit of comparison holds two blocks at most, each of about so many paragraphs or shingles, whichever is reached first.
 BLOCK = 2_048
+BLOCK_SHINGLES = 1 << 21
+
+Split = Callable[[bytes], Iterator[tuple[int, list[bytes]]]]
+
+
+def shingles(words: list[bytes], size: int) -> Iterator[bytes]:
+    """Every run of ``size`` words, repeats included; fewer words: all of them; none: nothing."""
+    if 0 < len(words) < size:
+        return iter([b" ".join(words)])
+    return map(b" ".join, zip(*[words[i:] for i in range(size)], strict=False))
 
 
 def tune_bands(threshold: float = SIMILAR, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -80,22 +91,40 @@ def identity(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words), 1) - (1 << 63)
 
 
-def signatures(docs: DataFrame, key: str, text: str, min_words: int, bands: int, rows: int) -> DataFrame:
-    """(key, at, h, keys) for each paragraph."""
+def unequal_match(size: int, similar: float) -> bool:
+    """Whether a set of this size can reach the similarity with any other set than itself."""
+    return size >= similar * (size + 1)
+
+
+def signatures(docs: DataFrame, key: str, text: str, split: Split, bands: int, rows: int, similar: float) -> DataFrame:
+    """(key, at, h, size, keys) for each part that ``split`` finds; of equal parts of a batch only the first has size and keys.
+
+    Sets too small to be similar to another set meet in one key over the whole set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = mixers(bands * rows)
         for batch in batches:
-            out = []
+            out, seen = [], set()
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for at, words in paragraphs(t.as_py(), min_words):
-                    out.append((k, at, identity(words), band_keys(shingle_hashes(words), bands, rows, mix)))
-            k, at, h, keys = zip(*out, strict=True) if out else ((), (), (), ())
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((k, at, h, keys), kinds, strict=True)], names=["key", "at", "h", "keys"])
+                for at, words in split(t.as_py()):
+                    h = identity(words)
+                    if h in seen:
+                        out.append((k, at, h, None, None))
+                        continue
+                    seen.add(h)
+                    hashes = shingle_hashes(words)
+                    if unequal_match(len(hashes), similar):
+                        keys = band_keys(hashes, bands, rows, mix)
+                    else:
+                        keys = [xxhash.xxh64_intdigest(hashes.tobytes(), 2) - (1 << 63)]
+                    out.append((k, at, h, len(hashes), keys))
+            k, at, h, size, keys = zip(*out, strict=True) if out else ((), (), (), (), ())
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((k, at, h, size, keys), kinds, strict=True)], names=["key", "at", "h", "size", "keys"])
 
     rows_ = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text")).where("key is not null and text is not null")
-    return rows_.mapInArrow(run, f"key {rows_.schema['key'].dataType.simpleString()}, at int, h bigint, keys array<bigint>")
+    return rows_.mapInArrow(run, f"key {rows_.schema['key'].dataType.simpleString()}, at int, h bigint, size int, keys array<bigint>")
 
 
 def forest(ids: list[int], sets: list[np.ndarray], similar: float) -> Iterator[tuple[int, int]]:
@@ -125,11 +154,12 @@ def forest(ids: list[int], sets: list[np.ndarray], similar: float) -> Iterator[t
         built = 0
 
 
-def links(docs: DataFrame, marked: DataFrame, key: str, text: str, min_words: int, similar: float) -> DataFrame:
+def links(docs: DataFrame, marked: DataFrame, key: str, text: str, split: Split, similar: float) -> DataFrame:
     """Verified links (a, b) between different paragraphs that connect all similar pairs that collide in a band."""
-    held = marked.select("h", F.explode("keys").alias("bucket"))
-    full = held.groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("low < high")
-    rows = held.join(full.select("bucket", "n"), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).distinct()
+    held = marked.where("keys is not null").select("h", "size", F.explode("keys").alias("bucket"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    full = held.groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high"), blocks.alias("blocks")).where("low < high")
+    rows = held.drop("size").join(full.select("bucket", "blocks"), "bucket").distinct()
     rows = rows.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("own")))))
     units = rows.groupBy("bucket", F.least("own", "other"), F.greatest("own", "other")).agg(F.sort_array(F.collect_set("h")).alias("hs")).where("size(hs) > 1")
@@ -145,7 +175,7 @@ def links(docs: DataFrame, marked: DataFrame, key: str, text: str, min_words: in
             out = []
             for t, hs in zip(batch.column(0), batch.column(1), strict=True):
                 left = set(hs.as_py())
-                for _, words in paragraphs(t.as_py(), min_words):
+                for _, words in split(t.as_py()):
                     h = identity(words)
                     if h in left:
                         left.remove(h)
@@ -178,15 +208,33 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     paragraph of that document (by position) stays, all others are removed. Rows with a null key or text have no
     paragraphs; rows of one key are one document's. An empty table gives an empty result.
     """
+    split = partial(paragraphs, min_words=min_words)
     bands, rows = tune_bands(similar, recall)
-    marked = materialize(signatures(docs, key, text, min_words, bands, rows), "paragraphs")
-    roots = components(links(docs, marked, key, text, min_words, similar))
+    marked = materialize(signatures(docs, key, text, split, bands, rows, similar), "paragraphs")
+    roots = components(links(docs, marked, key, text, split, similar))
     named = marked.select("key", "at", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "at", F.coalesce("root", "h").alias("root"))
     first = named.groupBy("root").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     found = named.join(first, "root")
     return found.select("key", "at", F.col("first.key").alias("class_id"), (F.struct("key", "at") != F.col("first")).alias("removed"))
 
 
+def similar_texts(docs: DataFrame, split: Split, key: str = "doc_id", text: str = "text", similar: float = SIMILAR, recall: float = RECALL, most: int = MOST_HASHES) -> DataFrame:
+    """(key, first) per row: the smallest key among the texts linked, directly or over others, by a Jaccard similarity of at least
+    ``similar`` over five-word shingles of the words in the one part that ``split`` makes of a text.
+
+    Keys are not null. A null text counts as empty; texts without words are copies of each other. ``recall`` is the chance that a pair
+    at the threshold is compared; more similar pairs have a higher one. Every link is verified.
+    """
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    bands, width = tune_bands(similar, recall, most)
+    marked = materialize(signatures(rows, "key", "text", split, bands, width, similar), "texts")
+    roots = components(links(rows, marked, "key", "text", split, similar))
+    first = marked.groupBy("h").agg(F.min("key").alias("first")).join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    least = first.groupBy("root").agg(F.min("first").alias("least"))
+    named = first.join(least, "root").select("h", "least")
+    return marked.select("key", "h").join(named, "h").select("key", F.col("least").alias("first"))
+
+
 def remove_paragraphs(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the removed paragraphs of ``found``; all rows and columns stay."""
     gone = found.where("removed").groupBy(F.col("key").alias("__key")).agg(F.collect_list("at").alias("__gone"))

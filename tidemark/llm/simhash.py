@@ -10,7 +10,6 @@ spanning forest of the links leaves a block, so copies and dense buckets never b
 from __future__ import annotations
 
 import random
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.paragraphs import shingles, similar_texts
 from tidemark.llm.registry import query, table
 from tidemark.session import materialize
 
 SEED = 42
 BLOCK = 16_384
 CHUNK = 65_536
+#: Near copies: Jaccard similarity of the five-word shingles, and the chance that a pair at that similarity is compared.
+COPY_SIMILAR = 0.8
+COPY_RECALL = 0.999
+COPY_HASHES = 64
 
 
 def masks(radius: int, bits: int = 64, seed: int = 1) -> list[int]:
@@ -52,25 +56,11 @@ def majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
-def shingles(words: list[bytes], size: int) -> Iterator[bytes]:
-    """Every run of ``size`` words, repeats included; fewer words: all of them; none: nothing."""
-    if 0 < len(words) < size:
-        return iter([b" ".join(words)])
-    return map(b" ".join, zip(*[words[i:] for i in range(size)], strict=False))
-
-
 def shingle_print(words: list[bytes], size: int = 3, seed: int = SEED) -> int:
     one = xxhash.xxh64_intdigest
     return majority(np.fromiter((one(s, seed) for s in shingles(words, size)), np.uint64))
 
 
-def profile_print(words: list[bytes]) -> int:
-    """Fingerprint of the word profile: each different word weighs the root of its count."""
-    counts = Counter(words)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
-    return majority(hashes, np.sqrt(np.fromiter(counts.values(), np.float64, len(counts))))
-
-
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -80,12 +70,9 @@ def contract_prints(text: bytes) -> tuple[int, bytes]:
     return value, value.to_bytes(8, "little")
 
 
-def copy_prints(text: bytes) -> tuple[int, bytes]:
-    """Word profile as the key, 128 bits over five-word shingles beside it; case and punctuation don't count."""
-    words = text.lower().translate(PLAIN).split()
-    value = profile_print(words)
-    beside = [shingle_print(words, 5, seed) for seed in (SEED, SEED + 1)]
-    return value, b"".join(x.to_bytes(8, "little") for x in (value, *beside))
+def plain_words(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
+    """The words of a text as its only part; case and punctuation don't count."""
+    yield 0, text.lower().translate(PLAIN).split()
 
 
 def fingerprints(docs: DataFrame, prints=contract_prints, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,13 +160,13 @@ def near_duplicates(docs: DataFrame, prints=contract_prints, radius: int = 3, be
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """Pipeline stage: one document of each group of near copies, the one with the smallest doc_id.
 
-    Groups: word profiles at most 5 of 64 bits apart whose five-word shingles are at most 26 of 128 bits apart,
-    the distance below which nearly all pairs of similarity 0.8 lie. Rows with a null doc_id or one that occurs
-    twice are told apart by their text; of equal rows one stays.
+    Groups: five-word shingles of a Jaccard similarity of 0.8 or more, directly or over others. Simhash cannot cover that: such
+    pairs lie about 10 of 64 bits apart. Candidates come from MinHash bands instead, and each link is verified exactly. Rows
+    with a null doc_id or one that occurs twice are told apart by their text; of equal rows one stays.
     """
     keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h")))
-    found = near_duplicates(keyed, copy_prints, radius=5, beside=26, key="__key")
-    kept = found.where("key = component_id").select(F.col("key").alias("__key")).distinct()
+    found = similar_texts(keyed, plain_words, "__key", similar=COPY_SIMILAR, recall=COPY_RECALL, most=COPY_HASHES)
+    kept = found.where("key = first").select(F.col("key").alias("__key")).distinct()
     return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
 
 
