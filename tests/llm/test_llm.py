@@ -319,6 +319,15 @@ def test_paragraphs_equal_brute_force(spark, prose):
     assert got == want and len(want) > 10
 
 
+def test_short_lines_are_paragraphs(spark):
+    long = [f"w{i}" for i in range(12)]
+    wrapped = [" ".join(long[i:i + 3]) for i in range(0, 12, 3)]
+    rows = [(1, "\n".join(["Title", *wrapped])), (2, "\n".join(["other", "", *wrapped])), (3, "title\na b c d e"), (4, "A b c d  e\na b c d"), (5, "a b c d f\n  "), (6, " ".join(long)), (7, " ".join(long[1:]))]
+    found = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    pairs = {(r["key"], r["at"]): r["class_id"] for r in found if r["removed"]}
+    assert pairs == {(2, 2): 1, (2, 3): 1, (2, 4): 1, (2, 5): 1, (3, 0): 1, (4, 0): 3, (7, 0): 6}
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraphs.tune_bands(0.8, 0.995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.995 and bands * rows <= paragraphs.MOST_HASHES

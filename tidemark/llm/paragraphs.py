@@ -24,8 +24,8 @@ WORDS = 5
 SIMILAR = 0.8
 RECALL = 0.995
 MOST_HASHES = 48
-#: Shorter paragraphs are headings and formulas rather than passages; they are neither compared nor removed.
-MIN_WORDS = 20
+#: Every line that has a word is a paragraph.
+MIN_WORDS = 1
 #: A unit of comparison holds two blocks at most, each of about so many paragraphs or shingles, whichever is reached first.
 BLOCK = 2_048
 BLOCK_SHINGLES = 1 << 21
