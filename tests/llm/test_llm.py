@@ -373,6 +373,20 @@ def test_mixing_learns_domains_and_takes_odd_rows(spark, odd, none):
     assert mixing.mix(nothing, nothing, {"a": 1.0})[0].collect() == []
 
 
+def test_pipeline_mixture_meets_its_weights(spark, tmp_path):
+    rng = random.Random(6)
+    kinds = {"good": ["sun", "tree", "river"], "poor": ["click", "buy", "offer"], "toxic": ["idiot", "clown", "moron"]}
+    of = rng.choices(list(kinds), [75, 12, 13], k=600)
+    rows = [(i, " ".join(rng.choices([*kinds[d], "the", "of"], k=40))) for i, d in enumerate(of)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = [(i, int(d == "good") if d != "toxic" else None, int(d == "toxic")) for i, d in enumerate(of)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = [r["doc_id"] for r in mixing.repeat_to_targets(spark, docs, str(tmp_path)).collect()]
+    for d, w in mixing.KEPT_TARGETS.items():
+        assert abs(sum(of[i] == d for i in out) / len(out) - w) < 0.03
+    assert abs(len(out) / len(rows) - 1.1) < 0.05 and {i for i, d in enumerate(of) if d == "good"} <= set(out)
+
+
 # 1
 
 

@@ -29,8 +29,9 @@ STEPS = 60
 KEPT_STEPS = 10
 DONE = 1e-4
 TARGETS = {"good": 0.80, "poor": 0.12, "toxic": 0.08}
-#: In the pipeline no document goes below one copy, so weights are raised for good documents only.
+#: Weights of the pipeline, in which documents that are most likely of this domain stay once at least.
 KEPT_TARGETS = {"good": 0.95, "poor": 0.01, "toxic": 0.04}
+KEPT_DOMAIN = "good"
 
 
 @dataclass(frozen=True)
@@ -82,8 +83,8 @@ def posteriors(docs: DataFrame, domains: Domains, text: str = "text") -> DataFra
     return out.withColumns({"tokens": tokens, "p": p}).drop("words", "counts", "weighed", "features", "rawPrediction", "probability", "prediction")
 
 
-def fit_rates(rows: DataFrame, targets: list[float], least: float = 0.0, steps: int = STEPS) -> DataFrame:
-    """``rows`` (with tokens and p) and their rate of at least ``least``, by projected gradient descent.
+def fit_rates(rows: DataFrame, targets: list[float], least: float | Column = 0.0, steps: int = STEPS) -> DataFrame:
+    """``rows`` (with tokens and p) and their rate of at least ``least`` (one for all or a column), by projected gradient descent.
 
     ``targets`` are the wanted tokens of each domain. Squared errors are weighed by the domain's tokens at rate one
     and steps by the document's, which makes one the largest curvature, so that full steps descend. A step needs only
@@ -104,19 +105,20 @@ def fit_rates(rows: DataFrame, targets: list[float], least: float = 0.0, steps:
             break
         worst = size
         slope = sum((F.col("p")[i] * F.lit(e) for i, e in enumerate(error)), F.lit(0.0))
-        at = at.withColumn("rate", F.when(F.col("tokens") == 0, F.col("rate")).otherwise(F.greatest(F.lit(least), F.col("rate") - slope)))
+        at = at.withColumn("rate", F.when(F.col("tokens") == 0, F.col("rate")).otherwise(F.greatest(least if isinstance(least, Column) else F.lit(least), F.col("rate") - slope)))
         if step % KEPT_STEPS == 0:
             at = materialize(at, "rates")
     return at
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], tokens: float | None = None, key: str = "doc_id", text: str = "text", least: float = 0.0) -> tuple[DataFrame, Domains]:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], tokens: float | None = None, key: str = "doc_id", text: str = "text", kept: str | None = None) -> tuple[DataFrame, Domains]:
     """(rows, domains): (key, tokens, p, rate, copies) for each row of ``docs``.
 
     ``targets`` are weights of the domains of ``labelled`` (text, domain); weights of domains that do not occur are
     dropped and the others scaled to one; no weight left means rates of one. ``tokens`` is the size of the mixture,
     the table's own by default. ``copies`` is the rate rounded up or down by a hash of key and text, so that its
-    mean is the rate; repeated rows get equal copies. Null keys and texts are rows like others; an empty table gives an
+    mean is the rate; repeated rows get equal copies. Documents most likely of the domain ``kept`` have a rate of at least one, all
+    others of at least zero. Null keys and texts are rows like others; an empty table gives an
     empty result.
     """
     domains = fit_domains(labelled)
@@ -125,6 +127,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], tokens:
     weights = [max(0.0, targets.get(n, 0.0)) for n in domains.names]
     if sum(weights) > 0:
         whole = float(tokens if tokens is not None else rows.agg(F.sum("tokens")).first()[0] or 0)
+        least = F.when(F.col("p")[domains.names.index(kept)] >= F.array_max("p"), 1.0).otherwise(0.0) if kept in domains.names else 0.0
         rows = fit_rates(rows, [whole * w / sum(weights) for w in weights], least)
     else:
         rows = rows.withColumn("rate", F.lit(1.0))
@@ -139,15 +142,17 @@ def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def repeat_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of domains below their weight in ``KEPT_TARGETS`` occur again; each stays once at least.
+    """Pipeline stage: documents as often as the weights in ``KEPT_TARGETS`` ask for; those most likely good stay once at least,
+    others may go.
 
     The mixture is a tenth larger than the documents, which leaves room for the copies.
     """
     keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     size = docs.agg(F.sum(F.size(words("text")))).first()[0] or 0
-    found, _ = mix(keyed, labelled_documents(docs, table(spark, sf_dir, "labels")), KEPT_TARGETS, tokens=1.1 * size, key="__key", least=1.0)
-    more = found.where("copies > 1").select(F.col("key").alias("__key"), "copies").distinct()
-    again = keyed.join(more, "__key", "left").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))))
+    found, _ = mix(keyed, labelled_documents(docs, table(spark, sf_dir, "labels")), KEPT_TARGETS, tokens=1.1 * size, key="__key", kept=KEPT_DOMAIN)
+    other = found.where("copies != 1").select(F.col("key").alias("__key"), "copies").distinct()
+    again = keyed.join(other, "__key", "left").withColumn("__n", F.coalesce("copies", F.lit(1))).where("__n > 0")
+    again = again.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     return again.select([F.col(f"`{c}`") for c in docs.columns])
 
 
