@@ -220,6 +220,16 @@ def test_bpe_equals_the_library(library):
         assert own.encode(t) == want and own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_last_stage_keeps_the_ids(spark, prose, odd):
+    coder = bpe.load(bpe.tokenizer_path())
+    for docs in (prose, odd):
+        got = bpe.encode_stage(spark, docs).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            assert len(r["ids"]) == r["n_tokens"] and hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest() == r["ids_sha256"]
+        assert sorted(coder.decode(r["ids"]) for r in got) == sorted(r["text"] or "" for r in docs.collect())
+
+
 def test_compatibility_of_neighbours_is_exact(library):
     own = bpe.ByteBpe(bpe.tokenizer_path())
     rng = random.Random(3)

@@ -10,6 +10,7 @@ is linear in the piece, however long it is.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -274,34 +275,41 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
         at += step
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, n_tokens and hashes of the ids and of the text decoded from them.
+def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: str | None = None) -> DataFrame:
+    """Per document: key, n_tokens, hashes of the ids and of the text decoded from them, and the ids in an array column ``ids`` if named.
 
-    Ids never leave the worker, so a task holds one document's ids at a time. Null counts as empty; an empty text
-    has no tokens; repeated rows give repeated rows.
+    A task holds one document's ids at a time, or those of a slice of a batch if they are kept. Null counts as empty; an
+    empty text has no tokens; repeated rows give repeated rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         names = [str(i) for i in range(max(bpe.bytes_of) + 1)]
         for batch in batches:
-            rows = []
-            for text_ in batch.column("text"):
-                ids = bpe.encode(text_.as_py() or "")
-                rows.append((
-                    len(ids),
-                    hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest(),
-                    hashlib.sha256(bpe.decode(ids).encode()).hexdigest(),
-                ))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for part in slices(batch, "text"):
+                rows, kept = [], []
+                for text_ in part.column("text"):
+                    found = bpe.encode(text_.as_py() or "")
+                    rows.append((
+                        len(found),
+                        hashlib.sha256(",".join([names[i] for i in found]).encode()).hexdigest(),
+                        hashlib.sha256(bpe.decode(found).encode()).hexdigest(),
+                    ))
+                    if ids is not None:
+                        kept.append(pa.array(found, pa.int32()))
+                n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
+                out = pa.RecordBatch.from_arrays(
+                    [part.column("key"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
+                    names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+                if ids is not None:
+                    ends = pa.array([0, *itertools.accumulate(n)], pa.int32())
+                    out = with_extra(out, **{ids: pa.ListArray.from_arrays(ends, pa.concat_arrays(kept))})
+                yield out
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (f", `{ids}` array<int>" if ids is not None else ""))
 
 
 def tokenizer_path() -> str:
@@ -312,10 +320,10 @@ def tokenizer_path() -> str:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None, path: str | None = None) -> DataFrame:
-    """Last pipeline stage: per row doc_id, source, lang, n_tokens and the hashes of ids and decoded text."""
+    """Last pipeline stage: per row doc_id, source, lang, n_tokens, the hashes of ids and decoded text, and the ids."""
     keyed = docs.select(F.struct("doc_id", "source", "lang").alias("row"), "text")
-    out = digests(keyed, path or tokenizer_path(), key="row")
-    return out.select("row.*", "n_tokens", "ids_sha256", "decoded_sha256")
+    out = digests(keyed, path or tokenizer_path(), key="row", ids="ids")
+    return out.select("row.*", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 @query("op3_bpe")
