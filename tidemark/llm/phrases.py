@@ -13,10 +13,11 @@ counts more phrases than asked for, and is remembered as such by the same bitmap
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,9 @@ AHEAD = 4
 #: Size of a bitmap.
 BITS = 1 << 24
 #: Bytes of text worked on together.
-SLICE = 1 << 22
+SLICE = 1 << 21
+#: Bytes of text hashed at once.
+BLOCK = 1 << 16
 SALTS = 64
 #: A-Z to a-z, ends of pieces to full stops, tabs to blanks.
 LOWER = bytes(ord(".") if c in b".,;:!?\n\x0b\x0c\r" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -48,8 +51,8 @@ def folded(first: np.ndarray, following: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def language_hash(lang: str) -> np.ndarray:
+    return np.full(1, xxhash.xxh64_intdigest(lang.encode()), np.uint64)
 
 
 class Bitmap:
@@ -76,8 +79,8 @@ def bitmaps(phrases: DataFrame, bits: int, levels: int) -> dict[int, Bitmap]:
         for batch in batches:
             at = []
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-                words = word_hashes([lang.encode(), *phrase.encode().split(b" ")])
-                at.append(int(reduce(folded, [words[i:i + 1] for i in range(len(words))])[0] % np.uint64(bits)))
+                words = spans(phrase.encode())[3]
+                at.append(int(reduce(folded, [words[i:i + 1] for i in range(len(words))], language_hash(lang))[0] % np.uint64(bits)))
             at = np.array(at, np.int64)
             # As signed words of 64 bits.
             bit = (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)
@@ -93,45 +96,74 @@ def bitmaps(phrases: DataFrame, bits: int, levels: int) -> dict[int, Bitmap]:
     return out
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
-    """(language, number of each word, words) of about ``SLICE`` bytes of text; number -1 ends a piece."""
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """(language, lower-cased text with a full stop for each end of a piece) of about ``SLICE`` bytes."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
-
-    def cut(lang: str) -> tuple[str, np.ndarray, list[bytes]]:
-        tokens = b".".join(held.pop(lang)).replace(b".", b" . ").split()
-        size.pop(lang)
-        coded = pa.array(tokens, pa.binary()).dictionary_encode()
-        words, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        if b"." in words:
-            ids[ids == words.index(b".")] = -1
-        return lang, ids, words
-
     for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
         raw = text.as_py()
         held.setdefault(lang, []).append(raw.translate(LOWER))
         size[lang] = size.get(lang, 0) + len(raw)
         if size[lang] >= SLICE:
-            yield cut(lang)
-    for lang in [*held]:
-        yield cut(lang)
+            yield lang, b".".join(held.pop(lang))
+            size.pop(lang)
+    for lang, parts in held.items():
+        yield lang, b".".join(parts)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    odd = 0x9E3779B97F4A7C15
+    if n <= BLOCK:
+        return tuple(x[:n] for x in _powers(BLOCK, odd))
+    return _powers.__wrapped__(n, odd)
+
+
+@cache
+def _powers(n: int, odd: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))[:n] for x in (odd, pow(odd, -1, 1 << 64)))
+
+
+def spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, number of the piece and hash of each word."""
+    chars = np.frombuffer(data, np.uint8)
+    stop = chars == ord(".")
+    inside = np.zeros(len(chars) + 2, np.int8)
+    inside[1:-1] = ~stop & (chars != ord(" "))
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    piece = np.cumsum(stop, dtype=np.int32)[start]
+    h = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        # Words of about BLOCK bytes: what is held for each byte stays small.
+        to = max(at + 1, int(np.searchsorted(end, start[at] + BLOCK)))
+        low, high = int(start[at]), int(end[to - 1])
+        up, down = powers(high - low)
+        with np.errstate(over="ignore"):
+            # A polynomial over the bytes of a word: differences of running sums, brought to one exponent.
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(down * chars[low:high])])
+            h[at:to] = folded((sums[end[at:to] - low] - sums[start[at:to] - low]) * up[start[at:to] - low], (end[at:to] - start[at:to]).astype(np.uint64))
+        at = to
+    return start, end, piece, h
 
 
 COUNTS = "lang string, m int, phrase binary, f bigint"
 
 
-def rows_of(lang: str, m: int, phrases: list[bytes | None], counts: np.ndarray | list[int]) -> pa.RecordBatch:
+def rows_of(lang: str, m: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     n = len(phrases)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([m] * n, pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "m", "phrase", "f"])
+    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, m, np.int32)), phrases, pa.array(counts.astype(np.int64))], names=["lang", "m", "phrase", "f"])
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, and of all words as the phrase null."""
     for batch in batches:
-        for lang, ids, words in slices(batch):
-            counts = np.bincount(ids[ids >= 0], minlength=len(words))
-            some = np.flatnonzero(counts)
-            yield rows_of(lang, 1, [None, *[words[i] for i in some.tolist()]], [int(counts.sum()), *counts[some].tolist()])
+        for lang, data in slices(batch):
+            coded = pa.array(data.replace(b".", b" ").split(), pa.binary()).dictionary_encode()
+            yield rows_of(lang, 1, coded.dictionary, np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)))
+            yield rows_of(lang, 1, pa.nulls(1, pa.binary()), np.array([len(coded)]))
 
 
 def counter(opened: dict[int, Bitmap], before: dict[int, Bitmap], frequent: dict[int, Bitmap]):
@@ -140,39 +172,47 @@ def counter(opened: dict[int, Bitmap], before: dict[int, Bitmap], frequent: dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, ids, words in slices(batch):
-                one = word_hashes(words) if words else np.empty(0, np.uint64)
-                word = np.where(ids >= 0, one[ids] if len(words) else 0, 0).astype(np.uint64)
-                start = np.full(1, xxhash.xxh64_intdigest(lang.encode()), np.uint64)
-                h = folded(start, word)
-                usable = (ids >= 0) & frequent[1].has(h)
+            for lang, data in slices(batch):
+                start, end, piece, word = spans(data)
+                h = folded(language_hash(lang), word)
+                usable = frequent[1].has(h)
                 for m in range(1, len(opened) + 1):
                     # Here h and usable are of the m words from each position on; usable leaves out what is known to be rare.
                     if len(h) < 2:
                         break
-                    now, old = opened[m].has(h), before[m].has(h)
-                    both = usable[:-1] & usable[1:]
-                    taken = both & (now[:-1] | now[1:]) & ~(old[:-1] | old[1:])
-                    longer = folded(h[:-1], word[m:])
-                    at = np.flatnonzero(taken)
-                    if len(at):
-                        yield grouped(lang, m + 1, ids, words, at, longer[at])
-                    counted = old[:-1] | old[1:]
-                    usable = both & ~(counted & ~frequent[m + 1].has(longer)) if m < len(opened) else both
-                    h = longer
+                    both = usable[:-1] & usable[1:] & (piece[m:] == piece[:-m])
+                    # Most positions end here; the bitmaps are asked for the others.
+                    at = np.flatnonzero(both)
+                    old = before[m].has(h[at]) | before[m].has(h[at + 1])
+                    taken = at[~old & (opened[m].has(h[at]) | opened[m].has(h[at + 1]))]
+                    longer = np.zeros(len(h) - 1, np.uint64)
+                    longer[at] = folded(h[at], word[at + m])
+                    if len(taken):
+                        yield grouped(lang, m + 1, data, start, end, taken, longer[taken])
+                    if m < len(opened):
+                        rare = at[old]
+                        both[rare[~frequent[m + 1].has(longer[rare])]] = False
+                    h, usable = longer, both
 
     return run
 
 
-def grouped(lang: str, m: int, ids: np.ndarray, words: list[bytes], at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+def grouped(lang: str, m: int, data: bytes, start: np.ndarray, end: np.ndarray, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     """Counts of the phrases of m words from the given positions on. Hashes only sort; words decide what is equal."""
     at = at[np.argsort(h, kind="stable")]
+    asked = np.zeros(len(start), bool)
+    for j in range(m):
+        asked[at + j] = True
+    some = np.flatnonzero(asked)
+    coded = pa.array([data[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)], pa.binary()).dictionary_encode()
+    ids = np.zeros(len(start), np.int32)
+    ids[some] = coded.indices.to_numpy()
     new = np.ones(len(at), bool)
     new[1:] = False
     for j in range(m):
         new[1:] |= ids[at[1:] + j] != ids[at[:-1] + j]
     first = np.flatnonzero(new)
-    phrases = [b" ".join([words[i] for i in row]) for row in ids[at[first][:, None] + np.arange(m)].tolist()]
+    phrases = pc.binary_join_element_wise(*[coded.dictionary.take(pa.array(ids[at[first] + j])) for j in range(m)], pa.scalar(b" ", pa.binary()))
     return rows_of(lang, m, phrases, np.diff([*first, len(at)]))
 
 
@@ -184,13 +224,13 @@ def part(words: Column, start: Column, size: Column) -> Column:
     return F.array_join(F.slice(words, start, size), " ")
 
 
-def scored(known: DataFrame, totals: DataFrame) -> DataFrame:
+def scored(known: DataFrame) -> DataFrame:
     """(lang, phrase, m, a, l, r, n, score) of the candidates of which all parts are counted: the cut of the lowest score."""
-    cuts = known.where("m > 1").select("lang", "phrase", "m", F.col("f").alias("a"), F.split("phrase", " ").alias("words"), F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
+    cuts = known.where("m > 1").select("lang", "phrase", "m", F.col("f").alias("a"), "n", F.split("phrase", " ").alias("words"), F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
     cuts = cuts.withColumn("first", part(F.col("words"), F.lit(1), F.col("k"))).withColumn("rest", part(F.col("words"), F.col("k") + 1, F.col("m") - F.col("k"))).drop("words")
     left = known.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
     right = known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
-    cut = cuts.join(left, ["lang", "first"], "left").join(right, ["lang", "rest"], "left").join(totals, "lang")
+    cut = cuts.join(left, ["lang", "first"], "left").join(right, ["lang", "rest"], "left")
     # Up to 10 ** 17 occurrences: products stay within 38 digits.
     cut = cut.withColumn("score", F.expr(f"(cast({SCALE} as decimal(4,0)) * (cast(a as decimal(17,0)) * cast(n as decimal(17,0)))) div (cast(l as decimal(17,0)) * cast(r as decimal(17,0)))"))
     lowest = cut.groupBy("lang", "phrase", "m", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"), F.count_if(F.col("score").isNull()).alias("unknown"))
@@ -226,16 +266,16 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("binary").alias("text")).where("text is not null")
     sums = materialize(summed(rows.mapInArrow(count_words, COUNTS)).where(F.col("phrase").isNull() | (F.col("f") >= least)), "words")
     totals = sums.where("phrase is null").select("lang", F.col("f").alias("n"))
-    known = sums.where("phrase is not null")
+    known = sums.where("phrase is not null").join(totals, "lang")
     empty = Bitmap(bits)
     before = {m: empty for m in range(1, longest)}
     spark = docs.sparkSession
     done = None  # phrases opened so far
     while True:
-        left = materialize(left_over(scored(known, totals), known, share), "candidates")
+        left = materialize(left_over(scored(known), known, share), "candidates")
         places = materialize(first_places(left, ahead * most).select("lang", "rank", "score"), "places")
         last = lambda place: places.where(F.col("rank") == place).select("lang", F.col("score").alias("last"))
-        bound = known.where(F.col("m") < longest).join(totals, "lang").withColumn("bound", F.expr(f"(cast({SCALE} as decimal(4,0)) * cast(n as decimal(17,0))) div cast(f as decimal(17,0))"))
+        bound = known.where(F.col("m") < longest).withColumn("bound", F.expr(f"(cast({SCALE} as decimal(4,0)) * cast(n as decimal(17,0))) div cast(f as decimal(17,0))"))
         if done is not None:
             bound = bound.join(done, ["lang", "phrase"], "left_anti")
         reach = lambda place: bound.join(last(place), "lang", "left").where(F.coalesce(F.col("bound") >= F.col("last"), F.lit(True)))  # noqa: E731, B023
@@ -245,7 +285,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
         opened, frequent = bitmaps(opening, bits, longest - 1), bitmaps(known, bits, longest - 1)
         shared = spark.sparkContext.broadcast((opened, before, frequent))
         found = summed(rows.mapInArrow(lambda b: counter(*shared.value)(b), COUNTS)).where(F.col("f") >= least)  # noqa: B023
-        known = materialize(known.unionByName(found), "known")
+        known = materialize(known.unionByName(found.join(totals, "lang")), "known")
         shared.unpersist()
         before = {m: before[m] | opened[m] for m in before}
         keys = opening.select("lang", "phrase")
