@@ -8,6 +8,7 @@ posterior times length, come as near to the targets as nonnegative rates allow.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline
@@ -21,8 +22,10 @@ from tidemark.llm.quality import words_of
 from tidemark.llm.registry import query, table
 from tidemark.session import materialize
 
-#: Bound of the fit: about this many labelled rows, picked by a hash of the text.
+#: Bound of the fit: about this many labelled rows, an equal number of each domain, picked by a hash of the text.
 SAMPLE_ROWS = 8_000
+#: More domains than this are no domains.
+MOST_DOMAINS = 1_000
 FEATURES = 1 << 13
 STEPS = 60
 #: Steps between two writes of the rates.
@@ -46,25 +49,48 @@ def words(text: str) -> Column:
     return words_of(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
 
 
+def domain_counts(rows: DataFrame) -> dict[str, int]:
+    """Rows of each domain; over ``MOST_DOMAINS`` domains are an error."""
+    counts = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().limit(MOST_DOMAINS + 1).collect()}
+    if len(counts) > MOST_DOMAINS:
+        raise ValueError(f"over {MOST_DOMAINS} domains")
+    return counts
+
+
+def by_domain(values: dict[str, float]) -> Column:
+    return F.coalesce(*[F.when(F.col("domain") == n, F.lit(float(v))) for n, v in values.items()])
+
+
+def sampled(rows: DataFrame, key: str, counts: dict[str, int], size: int) -> DataFrame:
+    """About ``size`` of ``rows`` picked by a hash of ``key``, with the weight of each, the rows that it stands for.
+
+    Every domain gives the same number of rows, all of them if it has little more, so that a rare domain is not missed."""
+    each = max(1, size // max(1, len(counts)))
+    shares = {n: 1.0 if c <= 4 * each else each / c for n, c in counts.items()}
+    place = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1 << 40))
+    share = by_domain(shares)
+    return rows.where(place < share * float(1 << 40)).withColumn("weight", 1.0 / share)
+
+
 def fit_domains(labelled: DataFrame, text: str = "text", domain: str = "domain", rows: int = SAMPLE_ROWS) -> Domains:
-    """Fit on about ``rows`` of the rows that have a domain; a hash of the text picks them, so copies stay together.
+    """Fit on about ``rows`` of the rows that have a domain, or on all where a column ``weight`` tells that they are a sample.
 
-    With one domain, or none, there is nothing to fit: every document belongs to it with certainty.
+    A hash of the text picks them, so copies stay together; see ``sampled``. Rows count by their weight, so posteriors keep
+    the table's shares. With one domain, or none, there is nothing to fit: every document belongs to it with certainty.
     """
-    known = labelled.select(F.col(f"`{domain}`").alias("domain"), F.col(f"`{text}`").alias("text")).where("domain is not null")
-    counts = known.groupBy("domain").count().collect()
-    names = tuple(sorted(r["domain"] for r in counts))
+    known = labelled.select(F.col(f"`{domain}`").alias("domain"), F.col(f"`{text}`").alias("text"), *(["weight"] if "weight" in labelled.columns else [])).where("domain is not null")
+    counts = domain_counts(known)
+    names = tuple(sorted(counts))
     if len(names) < 2:
         return Domains(None, names)
-    share = min(1.0, rows / sum(r["count"] for r in counts))
-    picked = known.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 40)) < int(share * (1 << 40)))
-    number = F.coalesce(*[F.when(F.col("domain") == n, F.lit(float(i))) for i, n in enumerate(names)])
-    sample = materialize(picked.select(words("text").alias("words"), number.alias("label")), "sample")
-    if sample.select("label").distinct().count() < 2:
-        return Domains(None, names[:1])
+    picked = known if "weight" in known.columns else sampled(known, "text", counts, rows)
+    sample = materialize(picked.select(words("text").alias("words"), by_domain({n: i for i, n in enumerate(names)}).alias("label"), "weight"), "sample")
+    held = [int(r["label"]) for r in sample.select("label").distinct().collect()]
+    if len(held) < 2:
+        return Domains(None, tuple(names[i] for i in held) or names[:1])
     stages = [
         HashingTF(numFeatures=FEATURES, inputCol="words", outputCol="counts", binary=True), IDF(inputCol="counts", outputCol="weighed", minDocFreq=2),
-        Normalizer(inputCol="weighed", outputCol="features"), LogisticRegression(family="multinomial", regParam=1e-4, maxIter=25),
+        Normalizer(inputCol="weighed", outputCol="features"), LogisticRegression(family="multinomial", regParam=1e-4, maxIter=25, weightCol="weight"),
     ]
     return Domains(Pipeline(stages=stages).fit(sample), names)
 
@@ -76,14 +102,22 @@ def posteriors(docs: DataFrame, domains: Domains, text: str = "text") -> DataFra
     if domains.model is None:
         return rows.withColumns({"tokens": tokens, "p": F.array(*[F.lit(1.0)] * max(1, len(domains.names)))}).drop("words")
     out = domains.model.transform(rows)
-    n = len(domains.names)
-    p = vector_to_array("probability")
-    # Classes that the sample lacks have no chance.
-    p = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(p, i), F.lit(0.0)))
+    # Domains behind the last that the sample has have no chance. The probability is used once, so that it is computed once.
+    rest = len(domains.names) - domains.model.stages[-1].numClasses
+    p = F.concat(vector_to_array("probability"), F.array(*[F.lit(0.0)] * rest).cast("array<double>"))
     return out.withColumns({"tokens": tokens, "p": p}).drop("words", "counts", "weighed", "features", "rawPrediction", "probability", "prediction")
 
 
-def fit_rates(rows: DataFrame, targets: list[float], least: float | Column = 0.0, steps: int = STEPS) -> DataFrame:
+class Fit(NamedTuple):
+    """Rows with their rate; steps taken, whether the last one hardly changed the error, and the relative error of all domains."""
+
+    rows: DataFrame
+    steps: int
+    converged: bool
+    error: float
+
+
+def fit_rates(rows: DataFrame, targets: list[float], least: float | Column = 0.0, steps: int = STEPS) -> Fit:
     """``rows`` (with tokens and p) and their rate of at least ``least`` (one for all or a column), by projected gradient descent.
 
     ``targets`` are the wanted tokens of each domain. Squared errors are weighed by the domain's tokens at rate one
@@ -96,23 +130,35 @@ def fit_rates(rows: DataFrame, targets: list[float], least: float | Column = 0.0
     one = lambda c: [F.sum(F.col("tokens") * F.col("p")[i] * c).alias(f"s{i}") for i in range(k)]
     start = at.agg(*one(F.lit(1.0))).first()
     base = [start[f"s{i}"] or 0.0 for i in range(k)]
-    worst = None
-    for step in range(1, steps + 1):
+    worst, converged, taken = None, False, 0
+    while True:
         now = at.agg(*one(F.col("rate"))).first()
         error = [((now[f"s{i}"] or 0.0) - targets[i]) / base[i] if base[i] else 0.0 for i in range(k)]
         size = sum(e * e * b for e, b in zip(error, base, strict=True))
-        if worst is not None and worst - size <= DONE * DONE * max(1.0, worst):
+        converged = worst is not None and worst - size <= DONE * DONE * max(1.0, worst)
+        if converged or taken == steps:
             break
         worst = size
         slope = sum((F.col("p")[i] * F.lit(e) for i, e in enumerate(error)), F.lit(0.0))
         at = at.withColumn("rate", F.when(F.col("tokens") == 0, F.col("rate")).otherwise(F.greatest(least if isinstance(least, Column) else F.lit(least), F.col("rate") - slope)))
-        if step % KEPT_STEPS == 0:
+        taken += 1
+        if taken % KEPT_STEPS == 0:
             at = materialize(at, "rates")
-    return at
+    whole = sum(targets)
+    missed = sum(abs((now[f"s{i}"] or 0.0) - t) for i, t in enumerate(targets) if base[i])
+    return Fit(at, taken, converged, missed / whole if whole else 0.0)
+
+
+class Mixture(NamedTuple):
+    """Rows (key, tokens, p, rate, copies), the domains, and the fit of the rates (none where no weight is left)."""
 
+    rows: DataFrame
+    domains: Domains
+    fit: Fit | None
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], tokens: float | None = None, key: str = "doc_id", text: str = "text", kept: str | None = None) -> tuple[DataFrame, Domains]:
-    """(rows, domains): (key, tokens, p, rate, copies) for each row of ``docs``.
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], tokens: float | None = None, key: str = "doc_id", text: str = "text", kept: str | None = None) -> Mixture:
+    """(key, tokens, p, rate, copies) for each row of ``docs``, with the domains and the fit.
 
     ``targets`` are weights of the domains of ``labelled`` (text, domain); weights of domains that do not occur are
     dropped and the others scaled to one; no weight left means rates of one. ``tokens`` is the size of the mixture,
@@ -125,20 +171,30 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], tokens:
     rows = posteriors(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), domains)
     rows = materialize(rows.withColumn("u", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)).drop("text"), "posteriors")
     weights = [max(0.0, targets.get(n, 0.0)) for n in domains.names]
+    fit = None
     if sum(weights) > 0:
         whole = float(tokens if tokens is not None else rows.agg(F.sum("tokens")).first()[0] or 0)
         least = F.when(F.col("p")[domains.names.index(kept)] >= F.array_max("p"), 1.0).otherwise(0.0) if kept in domains.names else 0.0
-        rows = fit_rates(rows, [whole * w / sum(weights) for w in weights], least)
+        fit = fit_rates(rows, [whole * w / sum(weights) for w in weights], least)
+        rows = fit.rows
     else:
         rows = rows.withColumn("rate", F.lit(1.0))
     copies = F.floor("rate") + F.when(F.col("u") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return rows.select("key", "tokens", "p", "rate", copies.cast("int").alias("copies")), domains
+    return Mixture(rows.select("key", "tokens", "p", "rate", copies.cast("int").alias("copies")), domains, fit)
+
 
+def labelled_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text, domain, weight): a sample of the documents with quality and toxicity labels, equal labels once.
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, domain) from quality and toxicity labels."""
+    Labels are sampled before texts are looked up, so the texts of other documents are not moved. The sample is counted, and
+    sent to all tasks if it is as small as expected.
+    """
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
-    return docs.select("doc_id", "text").join(labels.select("doc_id", "quality", "toxic"), "doc_id").select("text", domain.alias("domain"))
+    known = labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null").distinct()
+    known = materialize(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labels")
+    picked = materialize(sampled(known, "doc_id", domain_counts(known), rows), "picked")
+    few = F.broadcast(picked) if picked.count() <= 8 * rows else picked
+    return docs.select("doc_id", "text").join(few, "doc_id").select("text", "domain", "weight")
 
 
 def repeat_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -149,7 +205,7 @@ def repeat_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     size = docs.agg(F.sum(F.size(words("text")))).first()[0] or 0
-    found, _ = mix(keyed, labelled_documents(docs, table(spark, sf_dir, "labels")), KEPT_TARGETS, tokens=1.1 * size, key="__key", kept=KEPT_DOMAIN)
+    found = mix(keyed, labelled_documents(docs, table(spark, sf_dir, "labels")), KEPT_TARGETS, tokens=1.1 * size, key="__key", kept=KEPT_DOMAIN).rows
     other = found.where("copies != 1").select(F.col("key").alias("__key"), "copies").distinct()
     again = keyed.join(other, "__key", "left").withColumn("__n", F.coalesce("copies", F.lit(1))).where("__n > 0")
     again = again.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
@@ -159,6 +215,6 @@ def repeat_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @query("op5_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found, domains = mix(docs, labelled_documents(docs, table(spark, sf_dir, "labels")), TARGETS)
+    found, domains, _ = mix(docs, labelled_documents(docs, table(spark, sf_dir, "labels")), TARGETS)
     parts = [F.round(F.col("p")[i], 6).alias(f"p_{n}") for i, n in enumerate(domains.names)]
     return found.select(F.col("key").alias("doc_id"), "tokens", *parts, F.round("rate", 6).alias("rate"), "copies")
