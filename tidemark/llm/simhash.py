@@ -19,17 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.paragraphs import shingles, similar_texts
+from tidemark.llm.paragraphs import shingles
 from tidemark.llm.registry import query, table
 from tidemark.session import materialize
 
 SEED = 42
 BLOCK = 16_384
 CHUNK = 65_536
-#: Near copies: Jaccard similarity of the five-word shingles, and the chance that a pair at that similarity is compared.
-COPY_SIMILAR = 0.8
-COPY_RECALL = 0.999
-COPY_HASHES = 64
 
 
 def masks(radius: int, bits: int = 64, seed: int = 1) -> list[int]:
@@ -45,15 +41,12 @@ def masks(radius: int, bits: int = 64, seed: int = 1) -> list[int]:
     return found
 
 
-def majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
-    """64-bit value whose bits are set in over half of the (weighted) hashes; zero for none."""
-    counts, total = np.zeros(64), 0.0
+def majority(hashes: np.ndarray) -> int:
+    """64-bit value whose bits are set in over half of the hashes; zero for none."""
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
-        bits = np.unpackbits(hashes[at:at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        w = np.ones(len(bits)) if weights is None else weights[at:at + CHUNK]
-        counts += w @ bits
-        total += w.sum()
-    return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
+        counts += np.unpackbits(hashes[at:at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def shingle_print(words: list[bytes], size: int = 3, seed: int = SEED) -> int:
@@ -61,50 +54,37 @@ def shingle_print(words: list[bytes], size: int = 3, seed: int = SEED) -> int:
     return majority(np.fromiter((one(s, seed) for s in shingles(words, size)), np.uint64))
 
 
-PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-
-
-def contract_prints(text: bytes) -> tuple[int, bytes]:
+def contract_print(text: bytes) -> int:
     """Three-word shingles of the lower-cased text."""
-    value = shingle_print(text.lower().split())
-    return value, value.to_bytes(8, "little")
-
-
-def plain_words(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """The words of a text as its only part; case and punctuation don't count."""
-    yield 0, text.lower().translate(PLAIN).split()
+    return shingle_print(text.lower().split())
 
 
-def fingerprints(docs: DataFrame, prints=contract_prints, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, value, print) per row: the 64-bit fingerprint and all bytes compared. A null text counts as empty."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, value, print) per row: the 64-bit fingerprint and its bytes. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [prints(t.as_py() or b"") for t in batch.column("text")]
-            values = np.array([v for v, _ in made], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array([b for _, b in made], pa.binary())], names=["key", "value", "print"])
+            made = [contract_print(t.as_py() or b"") for t in batch.column("text")]
+            values = np.array(made, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array([v.to_bytes(8, "little") for v in made], pa.binary())], names=["key", "value", "print"])
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, value bigint, print binary")
 
 
-def forest(prints: list[bytes], radius: int, beside: int) -> Iterator[tuple[bytes, bytes]]:
-    """Spanning forest of the links among fingerprints: at most ``radius`` bits apart in the first 8 bytes and
-    ``beside`` in the rest."""
+def forest(prints: list[bytes], radius: int) -> Iterator[tuple[bytes, bytes]]:
+    """Spanning forest of the links among fingerprints: at most ``radius`` bits apart."""
     if len(prints) == 2:
-        a, b = prints
-        if bits_apart(a[:8], b[:8]) <= radius and bits_apart(a[8:], b[8:]) <= beside:
-            yield a, b
+        if bits_apart(*prints) <= radius:
+            yield prints[0], prints[1]
         return
-    words = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+    words = np.frombuffer(b"".join(prints), np.uint64)
     rest = np.arange(len(prints))
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = np.bitwise_count(words[rest, 0] ^ words[at, 0]) <= radius
-            if words.shape[1] > 1 and near.any():
-                near &= np.bitwise_count(words[rest, 1:] ^ words[at, 1:]).sum(1) <= beside
+            near = np.bitwise_count(words[rest] ^ words[at]) <= radius
             if near.any():
                 yield from ((prints[at], prints[i]) for i in rest[near])
                 queue += list(rest[near])
@@ -115,7 +95,7 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
 
 
-def links(prints: DataFrame, radius: int = 3, beside: int = 0) -> DataFrame:
+def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) that connect all fingerprints within the radius; ``prints`` holds each (value, print) once.
 
     Buckets of up to ``BLOCK`` fingerprints are one unit of work; larger ones are cut into blocks, and each pair of
@@ -132,7 +112,7 @@ def links(prints: DataFrame, radius: int = 3, beside: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pair for unit in batch.column("prints") for pair in forest(unit.as_py(), radius, beside)]
+            found = [pair for unit in batch.column("prints") for pair in forest(unit.as_py(), radius)]
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -140,7 +120,7 @@ def links(prints: DataFrame, radius: int = 3, beside: int = 0) -> DataFrame:
     return units.select("prints").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, prints=contract_prints, radius: int = 3, beside: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, value, component_id) per row: rows whose fingerprints are linked, directly or over others, share the
     smallest key among them.
 
@@ -148,9 +128,9 @@ def near_duplicates(docs: DataFrame, prints=contract_prints, radius: int = 3, be
     part, but are never the smallest while another is there. Repeated rows repeat in the result. An empty table
     gives an empty result. Copies meet in one fingerprint, so only different fingerprints are compared.
     """
-    made = materialize(fingerprints(docs, prints, key, text), "prints")
+    made = materialize(fingerprints(docs, key, text), "prints")
     first = materialize(made.groupBy("value", "print").agg(F.min("key").alias("first")), "first")
-    roots = components(links(first, radius, beside))
+    roots = components(links(first, radius))
     grouped = first.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select("print", "component_id")
@@ -160,14 +140,14 @@ def near_duplicates(docs: DataFrame, prints=contract_prints, radius: int = 3, be
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """Pipeline stage: one document of each group of near copies, the one with the smallest doc_id.
 
-    Groups: five-word shingles of a Jaccard similarity of 0.8 or more, directly or over others. Simhash cannot cover that: such
-    pairs lie about 10 of 64 bits apart. Candidates come from MinHash bands instead, and each link is verified exactly. Rows
-    with a null doc_id or one that occurs twice are told apart by their text; of equal rows one stays.
+    Groups are those of ``near_duplicates``: fingerprints of three-word shingles at most 3 bits apart, directly or over others. Rows
+    with a null doc_id or one that occurs twice are told apart by their text; of equal rows one stays. A null doc_id stays only
+    where no other row of its group has one.
     """
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h")))
-    found = similar_texts(keyed, plain_words, "__key", similar=COPY_SIMILAR, recall=COPY_RECALL, most=COPY_HASHES)
-    kept = found.where("key = first").select(F.col("key").alias("__key")).distinct()
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2("text", 256).alias("h")))
+    found = near_duplicates(keyed, key="__key")
+    kept = found.where("key = component_id").select(F.col("key").alias("__key")).distinct()
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op2_simhash")
