@@ -55,18 +55,25 @@ def _(spark, d):
     rows = _vectors(spark, d)
     cut = _cut(rows)
     forest = det.IsolationForest.fit(rows.where(F.col("idx") < cut), cut, trees=100)
-    return rows.select("idx", forest.score(spark).alias("anomaly_score"))
+    return forest.transform(rows).select("idx", "anomaly_score")
 
 
-@query("iforest_share", """select row_number() over (order by ts, event_id) - 1 as idx, true as in_range, true as share_alerts from events""")
+@query("iforest_share", """select row_number() over (order by ts, event_id) - 1 as idx, true as in_range, true as share_alerts, true as share_of_rows, true as outliers_first from events""")
 def _(spark, d):
     line = events_line(spark, d)
-    rows = line.df.select("idx", det.feature_array(["value", "label"]).alias("features"))
+    rows = line.df.select("idx", "value", det.feature_array(["value", "label"]).alias("features"))
+    per_tree = det.IsolationForest.shared(rows, 800, 0.8, 42).groupBy("tree").count().agg(F.avg("count"), F.max("count"), F.min("count")).first()
+    # Rows of a tree are drawn one by one: their number keeps within six standard deviations of the share.
+    spread = 6 * (line.n * 0.16) ** 0.5
+    share = abs(per_tree[0] - 0.8 * line.n) <= spread / 800**0.5 and max(per_tree[1] - 0.8 * line.n, 0.8 * line.n - per_tree[2]) <= spread
     forest = det.IsolationForest.fit(rows, line.n, trees=800, max_samples=0.8, contamination=0.05)
-    scored = materialize(rows.select("idx", forest.score(spark).alias("s")), "scored")
+    scored = materialize(forest.transform(rows, "s").select("idx", "value", "s"), "scored")
     # With ties on the cut fewer rows than the share lie above it, never more.
     above = scored.where("s > 0").count() <= 0.05 * line.n + 1
-    return scored.select("idx", F.col("s").between(-1.0, 1.0).alias("in_range"), F.lit(above).alias("share_alerts"))
+    # The largest and the smallest value are easier to cut off than the mean row.
+    ends = scored.agg(F.max_by("s", "value"), F.min_by("s", "value"), F.avg("s")).first()
+    first = ends[0] > ends[2] and ends[1] > ends[2]
+    return scored.select("idx", F.col("s").between(-1.0, 1.0).alias("in_range"), F.lit(above).alias("share_alerts"), F.lit(share).alias("share_of_rows"), F.lit(first).alias("outliers_first"))
 
 
 @query("kernel_outlier")
@@ -296,7 +303,7 @@ def _(spark, d):
     rows = _vectors(spark, d)
     cut = _cut(rows)
     forest = det.IsolationForest.fit(rows.where(F.col("idx") < cut), cut)
-    scored = materialize(rows.select("idx", forest.score(spark).alias("s")), "scored")
+    scored = materialize(forest.transform(rows, "s").select("idx", "s"), "scored")
     return scored.select("idx", (F.col("s") + forest.offset).between(0.0, 1.0).alias("in_range"), F.lit(_share_holds(scored, cut, 0.01)).alias("share_alerts"))
 
 

@@ -98,9 +98,33 @@ def test_isolation_forest(spark):
     assert (raw["d"] > 0).sum() == 8
     other = df.select("idx", again.raw_score(spark).alias("s")).toPandas().sort_values("idx")
     assert np.allclose(raw["s"].to_numpy(), other["s"].to_numpy())
-    # A share has no limit of its own: trees are grown from ``tree_rows`` rows at most.
-    assert det.IsolationForest.fit(df, 400, trees=10, max_samples=0.8).sample == 320
-    assert det.IsolationForest.fit(df, 400, trees=10, max_samples=0.8, tree_rows=100).sample == 100
+
+
+def test_forests_of_a_share(spark, tmp_path):
+    """Grown in tasks or level by level, kept in memory or as a table: the same trees and scores."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 3)).round(2)
+    x[:4] += 9
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "idx long, features array<double>")
+    args = {"trees": 6, "max_samples": 0.6, "contamination": 0.01}
+    memory = det.IsolationForest.fit(df, 3000, **args)
+    table = det.IsolationForest.fit(df, 3000, model_nodes=10, **args)
+    levels = det.IsolationForest.fit(df, 3000, task_values=100, **args)
+    assert memory.trees and table.table is not None and levels.nodes is not None and {f.sample for f in (memory, table, levels)} == {1800}
+    found = [f.transform(df, "s").orderBy("idx").toPandas()["s"].to_numpy() for f in (memory, table, levels)]
+    assert np.allclose(found[0], found[1]) and np.allclose(found[0], found[2]) and set(np.argsort(-found[0])[:4]) == set(range(4))
+    nodes = {(r["tree"], r["node"]): (r["feature"], r["cut"], r["path"]) for r in levels.nodes.collect()}
+    for t, tree in enumerate(memory.trees):
+        for i in range(len(tree["node"])):
+            assert nodes.pop((t, int(tree["node"][i]))) == pytest.approx((tree["feature"][i], tree["cut"][i], tree["path"][i]))
+    assert not nodes
+    # The rows of a tree follow the share, and shares differ.
+    sizes = {s: [r["count"] for r in det.IsolationForest.shared(df, 40, s, 1).groupBy("tree").count().collect()] for s in (0.6, 0.8)}
+    assert all(abs(n - s * 3000) < 6 * (3000 * s * (1 - s)) ** 0.5 for s, ns in sizes.items() for n in ns) and len(sizes[0.6]) == 40
+    for i, f in enumerate((memory, table, levels)):
+        f.save(spark, f"{tmp_path}/{i}")
+        again = det.IsolationForest.load(spark, f"{tmp_path}/{i}").transform(df, "s").orderBy("idx").toPandas()["s"].to_numpy()
+        assert np.allclose(again, found[0])
 
 
 def test_kernel_mean_and_reconstruction(spark):

@@ -5,7 +5,6 @@ All score rows of ``features`` (array<double>); larger means more unusual.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -14,145 +13,19 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidemark.operators.forest import IsolationForest  # noqa: F401
 from tidemark.operators.quantile import exact_quantiles
 from tidemark.session import materialize
 
-TREE_ROWS = 4_096  # rows that one tree is grown from at most; larger samples hardly change path lengths
-
 
 def feature_array(cols: Sequence[str]) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
 
 
-def _mean_path(n: float) -> float:
-    """Mean depth of an unsuccessful search among ``n`` points."""
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
-
-
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list]:
-    """One isolation tree as parallel node lists; a leaf has feature -1 and its path length."""
-    tree: dict[str, list] = {"feature": [], "cut": [], "left": [], "right": [], "path": []}
-    todo = [(np.arange(len(x)), 0, -1, "left")]
-    while todo:
-        rows, depth, parent, side = todo.pop()
-        node = len(tree["feature"])
-        if parent >= 0:
-            tree[side][parent] = node
-        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-        open_ = np.flatnonzero(high > low)
-        leaf = depth >= limit or len(rows) <= 1 or not len(open_)
-        feature = -1 if leaf else int(rng.choice(open_))
-        cut = 0.0 if leaf else float(rng.uniform(low[feature], high[feature]))
-        for name, value in (("feature", feature), ("cut", cut), ("left", -1), ("right", -1),
-                            ("path", depth + _mean_path(len(rows)) if leaf else 0.0)):
-            tree[name].append(value)
-        if not leaf:
-            goes_left = x[rows, feature] <= cut
-            todo += [(rows[goes_left], depth + 1, node, "left"), (rows[~goes_left], depth + 1, node, "right")]
-    return tree
-
-
-@dataclass
-class IsolationForest:
-    """Trees as one small table; scoring walks them over Arrow batches."""
-
-    trees: list[dict[str, list]]
-    sample: int
-    offset: float = 0.0
-
-    @classmethod
-    def fit(cls, df: DataFrame, n: int, trees: int = 400, max_samples: int | float | str = "auto",
-            contamination: float | str = 0.01, seed: int = 42, tree_rows: int = TREE_ROWS) -> IsolationForest:
-        """Grow trees on random rows of ``df``, which has ``features`` and dense ``idx`` in [0, n).
-
-        ``max_samples`` is a number of rows, a share of them or "auto" (at most 256); ``tree_rows`` bounds
-        all three, so that the model does not grow with the table. With a
-        ``contamination`` share, scores are shifted so that this share of ``df`` lies above 0.
-        """
-        if n <= 0:
-            raise ValueError("no training rows")
-        sample = min(256, n) if max_samples == "auto" else (
-            max(1, int(max_samples * n)) if isinstance(max_samples, float) else min(int(max_samples), n))
-        sample = min(sample, tree_rows)
-        limit = max(1, math.ceil(math.log2(max(sample, 2))))
-        spark = df.sparkSession
-
-        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for t in pdf["tree"]:
-                    rows = np.random.default_rng([seed, int(t)]).choice(n, size=sample, replace=False)
-                    yield pd.DataFrame({"tree": int(t), "idx": rows.astype("int64")})
-
-        ids = spark.range(trees).withColumnRenamed("id", "tree")
-        drawn = ids.mapInPandas(draw, "tree long, idx long")
-
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            t = int(pdf["tree"].iloc[0])
-            x = np.stack(pdf.sort_values("idx")["features"].to_numpy())
-            grown = _grow(x, np.random.default_rng([seed, t, 1]), limit)
-            return pd.DataFrame({"tree": [t], "nodes": [json.dumps(grown)]})
-
-        picked = df.select("idx", "features").join(drawn, "idx")
-        grown = picked.groupBy("tree").applyInPandas(build, "tree long, nodes string").orderBy("tree").collect()
-        forest = cls([json.loads(r["nodes"]) for r in grown], sample)
-        if contamination != "auto":
-            scores = materialize(df.select(forest.raw_score(spark).alias("s")), "forest-scores")
-            forest.offset = exact_quantiles(scores, ["s"], [1.0 - float(contamination)])["s"][0]
-        else:
-            forest.offset = 0.5
-        return forest
-
-    def raw_score(self, spark: SparkSession) -> Column:
-        """Score in (0, 1)."""
-        packed = spark.sparkContext.broadcast(
-            [{k: np.array(v) for k, v in t.items()} for t in self.trees]
-        )
-        unit = _mean_path(self.sample) or 1.0
-
-        @pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            forest = packed.value
-            for col in batches:
-                if not len(col):
-                    yield pd.Series([], dtype=float)
-                    continue
-                x = np.stack(col.to_numpy())
-                total = np.zeros(len(x))
-                for t in forest:
-                    node = np.zeros(len(x), dtype=np.int64)
-                    live = np.flatnonzero(t["feature"][node] >= 0)
-                    while len(live):
-                        at = node[live]
-                        left = x[live, t["feature"][at]] <= t["cut"][at]
-                        node[live] = np.where(left, t["left"][at], t["right"][at])
-                        live = live[t["feature"][node[live]] >= 0]
-                    total += t["path"][node]
-                yield pd.Series(np.exp2(-total / (len(forest) * unit)))
-
-        return score("features")
-
-    def score(self, spark: SparkSession) -> Column:
-        """Score relative to the contamination cut: above 0 is an outlier."""
-        return self.raw_score(spark) - F.lit(self.offset)
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, json.dumps(t), self.sample, self.offset) for i, t in enumerate(self.trees)]
-        return spark.createDataFrame(rows, "tree int, nodes string, sample int, offset double")
-
-    @classmethod
-    def from_frame(cls, df: DataFrame) -> IsolationForest:
-        rows = df.orderBy("tree").collect()
-        return cls([json.loads(r["nodes"]) for r in rows], rows[0]["sample"], rows[0]["offset"])
-
-
 @dataclass
 class KernelMean:
     """Distance from the mean of the training rows under a Gaussian kernel.

@@ -76,7 +76,7 @@ class Scorer:
         rows = self.inputs(df)
         if self.kind == "IsolationForest":
             rows = rows.withColumn("features", feature_array(self.input_names()))
-            out = rows.withColumn(name, self.forest.score(df.sparkSession)).drop("features")
+            out = self.forest.transform(rows, name).drop("features")
         else:
             out = self.model.transform(rows).withColumn(name, vector_to_array("probability")[1])
             out = out.drop("features_vec", "rawPrediction", "probability", "prediction")
@@ -94,7 +94,7 @@ class Scorer:
                 "scale": self.scale, "threshold": self.threshold}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("errorifexists").parquet(f"{path}/meta")
         if self.forest is not None:
-            self.forest.frame(spark).write.mode("errorifexists").parquet(f"{path}/forest")
+            self.forest.save(spark, f"{path}/forest")
         else:
             self.model.write().save(f"{path}/model")
 
@@ -104,7 +104,7 @@ class Scorer:
         meta["scale"] = {c: tuple(v) for c, v in meta["scale"].items()}
         out = cls(**meta)
         if out.kind == "IsolationForest":
-            out.forest = IsolationForest.from_frame(spark.read.parquet(f"{path}/forest"))
+            out.forest = IsolationForest.load(spark, f"{path}/forest")
         else:
             out.model = PipelineModel.load(f"{path}/model")
         return out
