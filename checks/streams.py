@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.views import events
 from tidemark.session import new_path
+from tidemark.streaming.incidents import stream_incidents_rows, use_state_store
 from tidemark.streaming.score import stream_incidents, stream_score
 
 SCHEMA = "series_key bigint, ts timestamp_ntz, event_id bigint, value double, label int"
@@ -54,3 +55,21 @@ def _(spark, d):
     found = stream_incidents(alerts, "2 hours", "10 minutes", ts="ts")
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select(F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "n_rows", "max_score")
+
+
+@query("stream_incidents_rows", """with e as (select user_id as series_key, ts, event_id, value, value >= 60 as alert, row_number() over (partition by user_id order by ts, event_id) as pos from events),
+  a as (select *, pos - lag(pos) over (partition by series_key order by pos) - 1 as between_ from e where alert),
+  g as (select *, sum(case when between_ <= 2 then 0 else 1 end) over (partition by series_key order by pos) - 1 as incident_id from a),
+  i as (select series_key, cast(incident_id as bigint) as incident_id, min(ts) as start_ts, max(ts) as end_ts, count(*) as n_rows, max(value) as max_score, max(pos) as pos from g group by all),
+  l as (select user_id as series_key, count(*) as n, max(ts) as last from events group by user_id)
+  select series_key, incident_id, start_ts, end_ts, n_rows, max_score, cast(0 as bigint) as late_rows from i join l using (series_key)
+  where n - pos > 2 or last + interval 2 hours <= (select max(ts) - interval 10 minutes from events)""")
+def _(spark, d):
+    use_state_store(spark)
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", FILES).parquet(_arrivals(spark, d))
+    alerts = source.select("series_key", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("anomaly_score"), (F.col("value") >= 60).alias("is_alert"))
+    out = new_path(spark, "incidents")
+    found = stream_incidents_rows(alerts, ["series_key"], 2, "2 hours", "10 minutes", ts="ts", tie="event_id")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    ends = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_ts", "end_ts")]
+    return spark.read.parquet(out).select("series_key", "incident_id", *ends, "n_rows", "max_score", "late_rows")

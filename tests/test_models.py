@@ -1,5 +1,7 @@
 """Detectors, classifiers, calibration, entry points, storage and streams on planted anomalies."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,11 +14,12 @@ from tidemark.operators import knn, metrics, sanity, scale
 from tidemark.operators.calibrate import Isotonic, Sigmoid
 from tidemark.operators.incidents import group_incidents
 from tidemark.operators.models import Scorer, fit
-from tidemark.operators.order import from_indexed
+from tidemark.operators.order import from_indexed, timeline
 from tidemark.plans import compare, detect, tuning
 from tidemark.plans.common import prepare
 from tidemark.plans.train import evaluate, score_latest, train
 from tidemark.sources import runs, tables
+from tidemark.streaming.incidents import stream_incidents_rows, use_state_store
 from tidemark.streaming.score import stream_score
 
 
@@ -331,3 +334,27 @@ def test_idle_series_cost_nothing_and_old_state_goes(spark, tmp_path, monkeypatc
     left = {p.name for p in (tmp_path / "out" / "state").iterdir() if p.name.startswith("batch=")}
     assert left == {"batch=2", "batch=3", "batch=4", "batch=5"}
     assert st._state(spark, f"{out}/state", 6, ["k"], None).select("k").distinct().count() == 200
+
+
+def test_row_gap_stream_equals_batch(spark, tmp_path):
+    """Incidents over restarts from the checkpoint; late rows are counted and take no place."""
+    rng = np.random.default_rng(6)
+    start = datetime(2024, 1, 1)
+    rows = [(int(rng.integers(0, 3)) if i % 3 else 0, start + timedelta(seconds=10 * i), i, bool(rng.random() < 0.4), float(rng.integers(0, 50))) for i in range(300)]
+    soon = start + timedelta(seconds=1000)
+    late = [(0, soon, -1, True, 99.0), (1, soon, -2, True, 99.0), (2, start, -3, True, 99.0)]  # the last one behind the watermark
+    last = [(9, start + timedelta(days=2), 1000, False, 0.0)]
+    schema = "k bigint, ts timestamp, row bigint, is_alert boolean, anomaly_score double"
+    use_state_store(spark)
+    for step, part in enumerate((rows[:120], rows[120:] + late, last)):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        found = stream_incidents_rows(stream, ["k"], 1, "1 hour", "10 minutes", ts="ts", tie="row")
+        query = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").toPandas()
+    line = timeline(spark.createDataFrame(rows, schema), ["ts", "row"], keys=["k"])
+    want = group_incidents(line, 1, "ts").toPandas()
+    names = ["k", "incident_id", "start_ts", "end_ts", "n_rows", "max_score"]
+    assert sorted(map(tuple, got[names].values.tolist())) == sorted(map(tuple, want[names].values.tolist())) and len(want) > 30
+    assert got.groupby("k")["late_rows"].max().to_dict() == {0: 1, 1: 1, 2: 0}
