@@ -318,22 +318,41 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path, keys):
     assert len(got) == 90 and np.allclose(got["v__roll10_mean"], want)
 
 
-def test_idle_series_cost_nothing_and_old_state_goes(spark, tmp_path, monkeypatch):
-    from tidemark.streaming import score as st
-
-    monkeypatch.setattr(st, "COMPACT", 2)
-    out = str(tmp_path / "out")
-    plain = lambda df: df.withColumn("anomaly_score", F.lit(0.0))
-    every = [spark.createDataFrame([(k, b * 10 + i, float(i)) for k in ([*range(200)] if b == 0 else [b]) for i in range(3)], "k int, t int, v double")
-             .withColumn("t", F.timestamp_seconds("t")) for b in range(6)]
-    for b, rows in enumerate(every):
-        st.score_batch(rows, b, out, plain, ["v"], ["k"], "t", [])
-        if b == 1:
-            read = st._state(spark, f"{out}/state", 2, ["k"], rows.where("k = 1"))
-            assert read.select("k").distinct().collect() == [(1,)] and read.count() == 6
+def test_stream_restarts_from_its_state_and_touches_own_series_only(spark, tmp_path):
+    """Restarts over 200 series: rolling values go on, a batch holds rows of its own series only, extra columns and null keys pass."""
+    schema = "k int, t timestamp, `an id` bigint, v double, note string"
+    rng, start = np.random.default_rng(3), datetime(2024, 1, 1)
+    big, rows = 2**60 + 1, []
+    plain = lambda df: df.withColumn("anomaly_score", F.col("contrib_v"))
+    for step in range(4):
+        met = [*range(200)] if step == 0 else [None, step, 7]
+        part = [(k, start + timedelta(seconds=100 * step + i, microseconds=7), big + len(met) * i + n, float(rng.integers(0, 50)), None if i else "x")
+                for i in range(4) for n, k in enumerate(met)]
+        rows += part
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        stream_score(stream, f"{tmp_path}/out", plain, ["v"], ["k"], "t", ["an id"], keep="365 days").awaitTermination()
+        work = spark.read.parquet(f"{tmp_path}/out/work")
+        assert {r["k"] for r in work.select("k").distinct().collect()} == set(met)
+        # Held rows: at most the nine that the widest window needs.
+        assert work.where("not __new").groupBy("k").count().agg(F.max("count")).first()[0] in (None, 4, 8, 9)
+    got = {r["t"].timestamp() * 10**6 + (0 if r["k"] is None else r["k"] + 1): r for r in spark.read.parquet(f"{tmp_path}/out/scores").collect()}
+    want = pd.DataFrame(rows, columns=["k", "t", "id", "v", "note"])
+    want["mean"] = want.groupby("k", dropna=False)["v"].transform(lambda s: s.rolling(10, min_periods=1).mean())
+    assert len(got) == len(rows)
+    for k, t, i, v, note, mean in want.itertuples(index=False):
+        r = got[t.timestamp() * 10**6 + (0 if k != k else int(k) + 1)]
+        assert (r["an id"], r["v"], r["note"]) == (i, v, "x" if note == "x" else None) and abs(r["v__roll10_mean"] - mean) < 1e-9
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_stream_without_series_keeps_few_small_tables(spark, tmp_path):
+    for step in range(5):
+        spark.range(step * 10, step * 10 + 10).selectExpr("timestamp_seconds(id) t", "double(id % 7) v").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("t timestamp, v double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream_score(stream, f"{tmp_path}/out", lambda df: df.withColumn("anomaly_score", F.lit(0.0)), ["v"], (), "t").awaitTermination()
     left = {p.name for p in (tmp_path / "out" / "state").iterdir() if p.name.startswith("batch=")}
-    assert left == {"batch=2", "batch=3", "batch=4", "batch=5"}
-    assert st._state(spark, f"{out}/state", 6, ["k"], None).select("k").distinct().count() == 200
+    assert left == {"batch=3", "batch=4"} and spark.read.parquet(f"{tmp_path}/out/scores").count() == 50
 
 
 def test_row_gap_stream_equals_batch(spark, tmp_path):

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.clean import require
 
-#: Fixed value: the state store that keyed state processors need.
+#: The state store that keyed state processors need.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 #: Of a series: rows and late rows so far, the last row's order, and the open incident (n_rows 0: none). Incidents are numbered.
@@ -22,7 +23,13 @@ EMPTY = (0, 0, None, None, 0, None, None, 0, None, 0)
 
 def use_state_store(spark: SparkSession) -> None:
     """Let stateful queries started from now on keep their state in RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    spark.conf.set(PROVIDER, STORE)
+
+
+def interval_ms(spark: SparkSession, text: str) -> int:
+    """Milliseconds of an interval such as ``1 hour``."""
+    day = "timestamp '1970-01-02 00:00:00'"
+    return int(spark.sql(f"select unix_millis({day} + interval {text}) - unix_millis({day})").first()[0])
 
 
 class RowGapIncidents(StatefulProcessor):
@@ -94,8 +101,7 @@ def stream_incidents_rows(rows: DataFrame, keys: Sequence[str], gap_rows: int =
     if not keys:
         raise ValueError("name the columns that tell series apart")
     require(rows, [ts, alert, *keys])
-    spark = rows.sparkSession
-    length = spark.sql(f"select unix_millis(timestamp '1970-01-02 00:00:00' + interval {idle}) - unix_millis(timestamp '1970-01-02 00:00:00')").first()[0]
+    length = interval_ms(rows.sparkSession, idle)
     has_score = score in rows.columns
     own = rows.where(F.col(ts).isNotNull()).withWatermark(ts, delay)
     # Plain names of their own: the processor gets columns by names that begin with a letter.
@@ -104,4 +110,4 @@ def stream_incidents_rows(rows: DataFrame, keys: Sequence[str], gap_rows: int =
         *named, F.col(ts).alias("event_time"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), (F.col(tie).cast("bigint") if tie else F.lit(0).cast("bigint")).alias("tie"),
         F.coalesce(F.col(alert), F.lit(False)).alias("alert"), (F.col(score).cast("double") if has_score else F.lit(None).cast("double")).alias("score"))
     schema = T.StructType([*[rows.schema[k] for k in keys], *T.StructType.fromDDL("incident_id bigint, start_ts timestamp, end_ts timestamp, n_rows bigint, max_score double, late_rows bigint").fields])
-    return shaped.groupBy(*[f"k{i}" for i in range(len(keys))]).transformWithStateInPandas(RowGapIncidents(list(keys), gap_rows, int(length)), schema, "Append", "EventTime")
+    return shaped.groupBy(*[f"k{i}" for i in range(len(keys))]).transformWithStateInPandas(RowGapIncidents(list(keys), gap_rows, length), schema, "Append", "EventTime")

@@ -1,124 +1,183 @@
 """Scoring a stream of KPI rows, and incidents from a stream of alerts.
 
-Each micro-batch runs the batch operators on its rows together with the last few rows of their
-series. A batch writes the last rows of its own series only and reads back those of its series, from the
-few buckets they fall in; series that are idle cost nothing. Every ``COMPACT`` batches all series are written
-together, and what came before the last such table but one is removed. A series may hold any share of a
-batch, as its rows are spread like in a batch job. Batch ids make reruns overwrite themselves.
+Each micro-batch runs the batch operators on its rows together with the last few rows of their series. Those are kept by
+series in the state store: a batch reads and writes the state of its own series only, idle series cost nothing, and the
+checkpoint of the query holds the state, so a restart goes on where it ended. Without series the last few rows of the stream are one small
+table a batch. Batch ids make reruns overwrite themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from heapq import heappush, heappushpop
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.functions.clean import numbers, parse_time, require
 from tidemark.functions.explain import contributions
 from tidemark.operators.features import FAMILIES, add_features
-from tidemark.operators.metrics import match_keys, small_side
 from tidemark.operators.order import timeline
-from tidemark.session import materialize
+from tidemark.streaming.incidents import PROVIDER, STORE, interval_ms
 
 Score = Callable[[DataFrame], DataFrame]
-BUCKETS = 64  # folders that series are hashed to within a version of the state
-COMPACT = 32
 
 
-def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int") if keys else F.lit(0)
+class LastRows(StatefulProcessor):
+    """Sends the rows of a series on, behind the last rows that earlier batches brought, and keeps the last ones for later batches.
 
+    Rows pass one by one, so a task holds ``lookback`` rows of a series, however many of them a batch brings. A row that comes before the newest one of
+    earlier batches is late: it is marked and not kept. Rows without a place in time are no rows of a series and must be removed before.
+    """
 
-def _state(spark: SparkSession, path: str, before: int, keys: Sequence[str], fresh: DataFrame | None) -> DataFrame | None:
-    """The newest rows of each series that batches earlier than ``before`` kept; of ``fresh``'s series only, if given."""
+    def __init__(self, names: list[str], keys: list[str], order: list[str], kept: T.StructType, lookback: int, ttl_ms: int | None):
+        self.names, self.keys, self.order = names, keys, order
+        self.kept, self.lookback, self.ttl_ms = kept, lookback, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", self.kept, self.ttl_ms)
+        self.make = Row(*self.names, "is_new", "is_late")
+
+    def place(self, row: dict) -> tuple:
+        return tuple((row[c] is not None, row[c]) for c in self.order)  # nulls first
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        own = dict(zip(self.keys, key, strict=True))
+        held = [dict(zip(self.kept.names, r, strict=True)) for r in self.rows.get()] if self.rows.exists() else []
+        last: list[tuple] = []
+        for n, row in enumerate(held):
+            heappush(last, (self.place(row), n - len(held), row))
+            yield self.make(*(own[c] if c in own else row.get(c) for c in self.names), False, False)
+        newest = max((x[0] for x in last), default=None)
+        for n, given in enumerate(rows):
+            row = given.asDict(recursive=False)
+            place = self.place(row)
+            late = newest is not None and place < newest
+            if not late:
+                entry = (place, n, {c: row[c] for c in self.kept.names})
+                heappush(last, entry) if len(last) < self.lookback else heappushpop(last, entry)
+            yield self.make(*(own[c] if c in own else row[c] for c in self.names), True, late)
+        self.rows.put([tuple(x[2][c] for c in self.kept.names) for x in sorted(last, key=lambda x: x[:2])])
+
+    def close(self) -> None:
+        pass
+
+
+#: Times travel through Python as microseconds, so that no time zone has a say.
+_TO_MICROS = {
+    T.TimestampType(): F.unix_micros,
+    T.TimestampNTZType(): lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c),
+}
+_FROM_MICROS = {
+    T.TimestampType(): F.timestamp_micros,
+    T.TimestampNTZType(): lambda c: F.timestamp_add("MICROSECOND", c, F.lit("1970-01-01").cast("timestamp_ntz")),
+}
+
+
+def with_last_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], lookback: int, keep: str | None = None) -> DataFrame:
+    """The rows of a stream with ``__new`` and ``__late``, and before them the last ``lookback`` rows of their series (``__new`` false).
+
+    Those hold ``keys``, ``order`` and ``values`` only, other columns are null. ``keep`` is an interval after which the state of a series
+    that gets no rows is dropped; by default it stays.
+    """
+    fields = rows.schema.fields
+    short = {f.name: f"c{i}" for i, f in enumerate(fields)}  # state and Python rows want plain names
+    through: dict[str, Callable[[Column], Column]] = {f.name: _TO_MICROS.get(f.dataType, lambda c: c) for f in fields}
+    back: dict[str, Callable[[Column], Column]] = {f.name: _FROM_MICROS.get(f.dataType, lambda c: c) for f in fields}
+    plain = rows.select(*[through[c](F.col(f"`{c}`")).alias(n) for c, n in short.items()])
+    kept = T.StructType([T.StructField(short[c], plain.schema[short[c]].dataType) for c in dict.fromkeys([*order, *values])])
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in plain.schema], T.StructField("is_new", T.BooleanType()), T.StructField("is_late", T.BooleanType())])
+    ttl = None if keep is None else interval_ms(rows.sparkSession, keep)
+    processor = LastRows(list(short.values()), [short[k] for k in keys], [short[c] for c in order], kept, lookback, ttl)
+    made = plain.groupBy(*[short[k] for k in keys]).transformWithState(processor, out, "Append", "None" if ttl is None else "ProcessingTime")
+    return made.select(*[back[c](F.col(n)).alias(c) for c, n in short.items()], F.col("is_new").alias("__new"), F.col("is_late").alias("__late"))
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        kept = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException:
         return None
-    # The last full table and the batches behind it hold the newest rows of every series.
-    start = before - 1 - (before - 1) % COMPACT
-    kept = kept.where((F.col("batch") >= start) & (F.col("batch") < before))
-    if fresh is not None and keys:
-        met = [r[0] for r in fresh.select(_bucket(keys)).distinct().collect()]
-        kept = match_keys(kept.where(F.col("bucket").isin(met)), fresh.select(*keys).distinct(), keys, "left_semi")
-    newest = F.max("batch").over(Window.partitionBy(*keys)) if keys else None
-    if newest is None:
-        last = kept.agg(F.max("batch")).first()[0]
-        return None if last is None else kept.where(F.col("batch") == last).drop("batch", "bucket")
-    return kept.withColumn("__newest", newest).where(F.col("batch") == F.col("__newest")).drop("batch", "bucket", "__newest")
 
 
-def _remove_versions(spark: SparkSession, path: str, before: int) -> None:
-    """Remove the versions of the state that no batch, rerun or not, will read again."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for item in place.listStatus(folder) if place.exists(folder) else []:
-        name = item.getPath().getName()
-        if name.startswith("batch=") and int(name[6:]) < before:
-            place.delete(item.getPath(), True)
+def _with_last_of_stream(batch: DataFrame, batch_id: int, path: str, order: Sequence[str]) -> DataFrame:
+    """``batch`` and the last rows of the stream, as ``with_last_rows`` gives them, where there are no series."""
+    fresh = batch.withColumn("__new", F.lit(True))
+    every = _read(batch.sparkSession, path)
+    before = None if every is None else every.where(F.col("batch") < batch_id).agg(F.max("batch")).first()[0]
+    if before is None:
+        return fresh.withColumn("__late", F.lit(False))
+    held = every.where(F.col("batch") == before).drop("batch")
+    newest = held.select(F.max(F.struct(*order))).scalar()
+    late = F.coalesce(F.struct(*order) < newest, F.lit(False))
+    return fresh.withColumn("__late", late).unionByName(held.withColumns({"__new": F.lit(False), "__late": F.lit(False)}), allowMissingColumns=True)
 
 
 def score_batch(batch: DataFrame, batch_id: int, path: str, score: Score, kpis: Sequence[str], keys: Sequence[str],
                 ts: str, tie: Sequence[str], family: str = "A") -> None:
-    """Feature and score one micro-batch.
+    """Feature and score one micro-batch: rows of ``with_last_rows``, or of a stream without series.
 
-    Writes ``<path>/scores`` (new rows), ``<path>/late`` (rows older than their series' last one,
-    which get no score) and ``<path>/state``.
+    Writes ``<path>/scores`` (new rows) and ``<path>/late`` (rows older than their series' last one, which get no
+    score), without series also ``<path>/state``. ``<path>/work`` holds the rows of the latest batch.
     """
     spark = batch.sparkSession
     order = [ts, *tie]
-    lookback = FAMILIES[family][1]
-    fresh = numbers(parse_time(batch, ts), list(kpis)).withColumn("__new", F.lit(True))
-    held = _state(spark, f"{path}/state", batch_id, keys, fresh)
     part = f"batch={batch_id}"
-    if held is not None:
-        held = held.withColumn("__new", F.lit(False))
-        newest = F.max(F.struct(*order)).alias("__last")
-        if keys:
-            marked = match_keys(fresh, small_side(held.groupBy(*keys).agg(newest)), keys, "left")
-        else:
-            marked = fresh.withColumn("__last", held.select(newest).scalar())
-        late = F.col("__last").isNotNull() & (F.struct(*order) < F.col("__last"))
-        marked = materialize(marked.withColumn("__late", late).drop("__last"), "batch")
-        marked.where("__late").drop("__late", "__new").write.mode("overwrite").parquet(f"{path}/late/{part}")
-        fresh = marked.where(~F.col("__late")).drop("__late")
-        rows = fresh.unionByName(held, allowMissingColumns=True)
-    else:
-        rows = fresh
-    line = timeline(rows, order, keys=keys)
+    rows = batch if keys else _with_last_of_stream(batch, batch_id, f"{path}/state", order)
+    schema = rows.schema
+    rows.write.mode("overwrite").parquet(f"{path}/work")  # the state is read and written once
+    rows = spark.read.schema(schema).parquet(f"{path}/work")
+    rows.where("__late").drop("__late", "__new").write.mode("overwrite").parquet(f"{path}/late/{part}")
+    line = timeline(rows.where("not __late").drop("__late"), order, keys=keys)
     made = add_features(line, kpis, family, "causal").df
     explained = contributions(made, kpis) if family == "A" else made
     new = explained.where("__new").drop("__new", "idx")
     score(new).write.mode("overwrite").parquet(f"{path}/scores/{part}")
-    back = Window.partitionBy(*keys).orderBy(F.desc("idx"))
-    tail = made.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= lookback)
-    tail = tail.select(*keys, *order, *kpis)
-    if batch_id % COMPACT == 0 and keys and batch_id:
-        every = _state(spark, f"{path}/state", batch_id, keys, None)
-        if every is not None:
-            tail = materialize(tail, "tail")
-            tail = tail.unionByName(match_keys(every, tail.select(*keys).distinct(), keys, "left_anti").select(tail.columns))
-    tail.withColumn("bucket", _bucket(keys)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/{part}")
-    if batch_id % COMPACT == 0:
-        _remove_versions(spark, f"{path}/state", batch_id - COMPACT)
+    if not keys:
+        tail = made.orderBy(F.desc("idx")).limit(FAMILIES[family][1]).select(*order, *kpis)
+        tail.write.mode("overwrite").parquet(f"{path}/state/{part}")
+        _remove_versions(spark, f"{path}/state", batch_id - 1)
+
+
+def _remove_versions(spark: SparkSession, path: str, before: int) -> None:
+    """Remove the versions of the state that no batch, rerun or not, will read again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for item in place.listStatus(folder) if place.exists(folder) else []:
+        name = item.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < before:
+            place.delete(item.getPath(), True)
 
 
 def stream_score(rows: DataFrame, path: str, score: Score, kpis: Sequence[str], keys: Sequence[str] = (), ts: str = "timestamp",
-                 tie: Sequence[str] = (), family: str = "A", **trigger) -> StreamingQuery:
+                 tie: Sequence[str] = (), family: str = "A", keep: str | None = None, **trigger) -> StreamingQuery:
     """Start scoring a stream into ``path``; ``trigger`` is passed on (default ``availableNow=True``).
 
-    ``score`` adds ``anomaly_score`` (and ``is_alert``), for instance ``Scorer.transform``.
+    ``score`` adds ``anomaly_score`` (and ``is_alert``), for instance ``Scorer.transform``. ``keep`` is an interval after which
+    the last rows of a series without new ones are dropped (default: never). Rows without a readable time are dropped.
     """
     require(rows, [ts, *kpis, *keys, *tie])
+    rows = numbers(parse_time(rows, ts), list(kpis))
+    if keys:
+        rows = with_last_rows(rows, keys, [ts, *tie], kpis, FAMILIES[family][1], keep)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         score_batch(batch, batch_id, path, score, kpis, keys, ts, tie, family)
 
     writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/progress")
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    # The query takes these along when it starts. State with an end would ask for batches without rows for ever.
+    spark, own = rows.sparkSession, {PROVIDER: STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def stream_incidents(rows: DataFrame, gap: str = "10 minutes", delay: str = "10 minutes", keys: Sequence[str] = (),
