@@ -62,14 +62,20 @@ def head(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "replace") + block
 
 
-def records(key, url, payload: bytes, digest: str, first, segment_bytes: int) -> Iterator[bytes]:
-    """Records of one row without their ends: a revisit, or a response in one or more segments."""
-    name = "null" if key is None else str(key)
-    own = f"<urn:page:{name}:{uuid.uuid4().hex}>"
+def record_id(key, mark: str) -> str:
+    return f"<urn:page:{'null' if key is None else clean(str(key))}:{mark}>"
+
+
+def records(key, url, payload: bytes, digest: str, first, named: bool, segment_bytes: int) -> Iterator[bytes]:
+    """Records of one row without their ends: a revisit, or a response in one or more segments.
+
+    The response that others revisit is ``named``: its id follows from key and digest, so a revisit can state it.
+    """
+    own = record_id(key, digest if named else uuid.uuid4().hex)
     fields = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", clean(url) or None), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if first is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield head([("WARC-Type", "revisit"), *fields, ("WARC-Profile", profile), ("WARC-Refers-To", f"<urn:page:{first}>")], HTTP)
+        yield head([("WARC-Type", "revisit"), *fields, ("WARC-Profile", profile), ("WARC-Refers-To", record_id(first, digest))], HTTP)
         return
     block = HTTP + chunked(payload)
     if len(block) <= segment_bytes:
@@ -88,14 +94,25 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     """Write one record for each row (long records in segments) as gzipped archives under ``path``.
 
     Of rows with equal payloads of at least ``MIN_REVISIT`` bytes those with the smallest key are responses, the
-    others revisits of it. A null payload counts as empty, a null url is left out; a row with a null key revisits
+    others revisits of it, whose ``WARC-Refers-To`` is the response's record id. A null payload counts as empty, a null url is left out; a row with a null key revisits
     if another row of its payload has a key, else it is a response. Rows that repeat a key and payload are all
-    responses (or all revisits), each with a record of its own. An empty table gives archives without records.
+    responses (or all revisits), each with a record of its own; one of the responses is the one revisited. An empty table gives archives without records.
     """
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    groups = rows.where(F.length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(groups.drop("n"), "digest", "left").select("key", "url", "payload", "digest", F.when(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    groups = rows.where(F.length("payload") >= MIN_REVISIT).groupBy("digest", "key").agg(F.count("*").alias("n"))
+    groups = groups.groupBy("digest").agg(F.min("key").alias("first"), F.min_by("n", "key").alias("copies"), F.sum("n").alias("n"))
+    groups = materialize(groups.where("n > 1 and first is not null").select("digest", "first", "copies"), "groups")
+    rows = rows.join(groups, "digest", "left").withColumn("lead", F.coalesce(F.col("key") == F.col("first"), F.lit(False)))
+    shape = ["key", "url", "payload", "digest", F.when(~F.col("lead"), F.col("first")).alias("first")]
+    if groups.where("copies > 1").isEmpty():
+        rows = rows.select(*shape, F.col("lead").alias("named"))
+    else:  # of responses that repeat key and payload one has the name
+        repeated = F.col("lead") & (F.col("copies") > 1)
+        drawn = materialize(rows.where(repeated).withColumn("mark", F.expr("uuid()")), "repeated")
+        chosen = drawn.groupBy("digest").agg(F.min("mark").alias("chosen"))
+        one = drawn.join(chosen, "digest").select(*shape, (F.col("mark") == F.col("chosen")).alias("named"))
+        rows = rows.where(~F.coalesce(repeated, F.lit(False))).select(*shape, F.col("lead").alias("named")).unionByName(one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,13 +247,13 @@ from g
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)", 1)
-    number = lambda c: F.when(page(c) != "", page(c).cast("bigint"))
+    page = F.regexp_extract("record_id", r"^<urn:page:(-?\d+)", 1)
     found = materialize(read_warc(spark, path).select(
-        number("record_id").alias("page_id"), F.length("payload").cast("bigint").alias("payload_bytes"),
+        "record_id", "refers_to", F.col("type").alias("record_type"), F.when(page != "", page.cast("bigint")).alias("page_id"), F.length("payload").cast("bigint").alias("payload_bytes"),
         F.coalesce(F.sha2("payload", 256), F.substring_index("digest", ":", -1)).alias("payload_digest"),
-        F.col("type").alias("record_type"), number("refers_to").alias("refers_to"),
     ), "pages")
-    # A revisit has no payload: the length is that of the response with its digest.
-    responses = found.where("record_type = 'response' and payload_bytes >= 100").groupBy("payload_digest").agg(F.max("payload_bytes").alias("n"))
-    return found.join(responses, "payload_digest", "left").select("page_id", F.coalesce("payload_bytes", "n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    # A revisit has no payload: its page and length are those of the record that it names.
+    named = found.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= MIN_REVISIT))
+    named = named.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("of"), F.col("payload_bytes").alias("n"))
+    joined = found.join(named, "refers_to", "left")
+    return joined.select("page_id", F.coalesce("payload_bytes", "n").alias("payload_bytes"), "payload_digest", "record_type", F.col("of").alias("refers_to"))
