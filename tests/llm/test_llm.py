@@ -444,7 +444,12 @@ def test_archives_round_trip(spark, monkeypatch):
     assert len(got) == len(rows)
     whole = sorted(bytes(r["payload"]) for r in got if r["type"] == "response")
     assert whole == sorted((h or "").encode() for i, _, h in rows if (i, h) not in {(6, "é" * 5000), (10, "z" * 100), (11, "z" * 100), (None, "z" * 100)})
-    assert sorted(r["refers_to"] for r in got if r["type"] == "revisit") == ["<urn:page:5>", "<urn:page:9>", "<urn:page:9>", "<urn:page:9>"]
+    # A revisit names the id of one response with its payload, and every record has an id of its own.
+    named = {r["record_id"]: r for r in got if r["type"] == "response"}
+    assert len({r["record_id"] for r in got}) == len(rows)
+    revisits = [r for r in got if r["type"] == "revisit"]
+    assert all(named[r["refers_to"]]["digest"] == r["digest"] for r in revisits)
+    assert sorted(r["refers_to"].split(":")[2] for r in revisits) == ["5", "9", "9", "9"]
     empty = new_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], "page_id bigint, url string, html string"), empty)
     assert warc.read_warc(spark, empty).collect() == []
@@ -470,6 +475,17 @@ def test_url_parts_and_rules(spark):
         assert (r["host"], r["path"], r["x"] and r["x"]["rule"]) == (r["h"], r["p"], r["r"])
 
 
+def test_words_and_labels_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SUBSTRINGS", 7)
+    long = "donaudampfschifffahrtsgesellschaft"
+    pages = spark.createDataFrame([(f"<p>{long} {long} news",), (None,), ("",)], "html string")
+    counts = urls.word_counts(pages)
+    labels = spark.createDataFrame([("news" + long,), ("",), (None,), ("q" * 5000 + "news",), ("news" + long,)], "label string")
+    got = {r["label"]: r["words"] for r in urls.segment(labels, counts).collect()}
+    assert got == {"news" + long: ["news", long], "q" * 5000 + "news": ["q" * 5000, "news"]}
+    assert urls.segment(labels, counts.where("false")).count() == 2
+
+
 def test_viterbi_is_the_cheapest_split():
     rng = random.Random(6)
     for _ in range(200):

@@ -18,9 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.registry import query, table
 from tidemark.session import materialize
 
-LONGEST_WORD = 20
-
-
+SUBSTRINGS = 50_000  # of labels, held by a task at once
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -66,17 +64,20 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     """(word, n): counts of the lower-cased letter runs between the tags of all rows."""
     bare = F.lower(F.regexp_replace(F.coalesce(F.col(f"`{html}`"), F.lit("")), r"(?s)<[^>]*>", " "))
     words = pages.select(F.explode(F.regexp_extract_all(bare, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    return words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(label: str, cost: dict[str, float], unknown: float) -> list[str]:
     """Words of the cheapest split; a letter that starts no known word costs ``unknown``. Ties: longer last words."""
     best = [(0.0, 0)]
+    lengths = sorted({1, *map(len, cost)})
     for end in range(1, len(label) + 1):
         choices = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            part = label[start:end]
-            price = cost.get(part, unknown if end - start == 1 else None)
+        for n in lengths:
+            start = end - n
+            if start < 0:
+                break
+            price = cost.get(label[start:end], unknown if n == 1 else None)
             if price is not None:
                 choices.append((best[start][0] + price, start))
         best.append(min(choices))
@@ -91,16 +92,32 @@ def viterbi(label: str, cost: dict[str, float], unknown: float) -> list[str]:
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words) for each different non-empty label, cut into words by the unigram counts.
 
-    Only the substrings of a label meet the counts, by a join, so the vocabulary is never sent around; copies of a
-    label are segmented once. Letters that belong to no known word stay together.
+    Only the substrings of a label meet the counts, by a join, so the vocabulary is never sent around; they have the lengths that
+    occur among the words, whatever those are. Copies of a label are segmented once. Letters that belong to no known word stay together.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    labels = labels.select("label").where("label <> ''").distinct()
-    starts = F.sequence(F.lit(1), F.length("label"))
-    cut = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("label") - i + 1)), lambda k: F.substring(F.col("label"), i, k)))
-    parts = labels.select("label", F.explode(F.array_distinct(F.flatten(cut))).alias("word"))
-    known = parts.join(counts, "word").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
-    rows = labels.join(known, "label", "left")
+    labels = labels.select("label").where("label <> ''").distinct().withColumn("id", F.md5("label"))
+    longest = labels.agg(F.coalesce(F.max(F.length("label")), F.lit(0))).first()[0]
+    # Different lengths, not words: as many as the longest label has letters at most.
+    lengths = sorted(r[0] for r in counts.select(F.length("word").alias("k")).where(F.col("k") <= longest).distinct().collect())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[str, str]] = set()
+            for key, label in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
+                for start in range(len(label)):
+                    found.update((key, label[start:start + n]) for n in lengths if start + n <= len(label))
+                    if len(found) >= SUBSTRINGS:
+                        yield as_batch(found)
+                        found = set()
+            yield as_batch(found)
+
+    def as_batch(found: set[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["id", "word"])
+
+    parts = labels.mapInArrow(cut, "id string, word string")
+    known = parts.join(counts, "word").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("known"))
+    rows = labels.join(known, "id", "left").select("label", "known")
     unknown = math.log(total + 1) + 10
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
