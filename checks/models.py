@@ -111,7 +111,26 @@ def _(spark, d):
 
 @query("hist_gbt")
 def _(spark, d):
-    return _fit_score(spark, d, "HistGradientBoosting", {"maxIter": 10})
+    return _fit_score(spark, d, "HistGradientBoosting", {})
+
+
+@query("hist_gbt_rules", """select row_number() over (order by ts, event_id) - 1 as idx, true as in_range, true as loss_falls, true as leaf_sizes, true as gain_shares, true as missing_scored from events""")
+def _(spark, d):
+    data = _data(spark, d)
+    train = data.slice(0, splits.chrono_split(data.n).train_end)
+    model = fit(train, "HistGradientBoosting", data.feature_cols, impute=False)
+    rows = lambda df: model.inputs(df).withColumn("features", det.feature_array(model.input_names()))
+    steps = [0, 1, 10, 100, len(model.boosted.trees)]
+    own = materialize(rows(train).select("anomaly", *[model.boosted.score(k).alias(f"p{k}") for k in steps], model.boosted.leaf_ids().alias("leaves")), "staged")
+    loss = own.agg(*[F.avg(-F.log(F.when(F.col("anomaly") == 1, F.col(f"p{k}")).otherwise(1 - F.col(f"p{k}")))) for k in steps]).first()
+    falls = len(model.boosted.trees) == 300 and all(a > b for a, b in zip(loss, loss[1:]))
+    least = own.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().agg(F.min("count")).first()[0]
+    shares = model.boosted.importances()
+    whole = abs(shares.sum() - 1) < 1e-9 and (shares >= 0).all()
+    scored = model.transform(data.df).select("idx", F.col("anomaly_score").between(0.0, 1.0).alias("in_range"))
+    empty = model.transform(data.df.limit(1).withColumns({c: F.lit(None).cast("double") for c in data.feature_cols})).first()["anomaly_score"]
+    flags = {"loss_falls": falls, "leaf_sizes": least >= 20, "gain_shares": bool(whole), "missing_scored": 0 < empty < 1}
+    return scored.withColumns({k: F.lit(v) for k, v in flags.items()})
 
 
 @query("logreg")
@@ -168,7 +187,6 @@ SMALL = {
     "LogisticRegression": {"maxIter": 50},
     "RandomForest": {"numTrees": 10, "maxDepth": 6},
     "GradientBoosting": {"maxIter": 5},
-    "HistGradientBoosting": {"maxIter": 5},
 }
 ARGS = {"label": "anomaly", "ts": "ts", "tie": ["event_id"]}
 D_COLS, B_COLS, C_COLS = (family_columns(KPI, f) for f in "DBC")
@@ -176,8 +194,7 @@ D_COLS, B_COLS, C_COLS = (family_columns(KPI, f) for f in "DBC")
 
 @query("train_labelled")
 def _(spark, d):
-    settings = {"IsolationForest": {"trees": 50}, "RandomForest_full": {"numTrees": 10, "maxDepth": 6}, "RandomForest_base": {"numTrees": 10, "maxDepth": 6},
-                "HistGradientBoosting": {"maxIter": 5}}
+    settings = {"IsolationForest": {"trees": 50}, "RandomForest_full": {"numTrees": 10, "maxDepth": 6}, "RandomForest_base": {"numTrees": 10, "maxDepth": 6}}
     return train(_labelled(spark, d), KPI, candidates=settings, **ARGS).metrics
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.explain import explanation, top_contributors
 from tidemark.functions.kpi import KPIS
 from tidemark.operators import detectors as det
-from tidemark.operators import knn, metrics, sanity, scale
+from tidemark.operators import histboost, knn, metrics, sanity, scale
 from tidemark.operators.calibrate import Isotonic, Sigmoid
 from tidemark.operators.incidents import group_incidents
 from tidemark.operators.models import Scorer, fit
@@ -318,6 +318,74 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path, keys):
     assert len(got) == 90 and np.allclose(got["v__roll10_mean"], want)
 
 
+def _boost_rows(n=1500, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 40, size=(n, 3)).astype(float)
+    x[rng.random((n, 3)) < 0.15] = np.nan
+    lean = np.where(np.isnan(x[:, 0]), 2.0, -1.0) + np.where(np.nan_to_num(x[:, 1]) > 20, 1.5, -0.5)
+    y = (rng.random(n) < 1 / (1 + np.exp(-lean))).astype(int)
+    return x, y
+
+
+def test_boosting_splits_like_brute_force():
+    """Every cut and side of missing values tried one by one, over rows instead of histograms."""
+    for seed in range(6):
+        x, y = _boost_rows(200, seed)
+        s = histboost.Settings(least_rows=(1, 20)[seed % 2], penalty=(0.0, 2.0)[seed // 3])
+        cuts = [np.unique(c[~np.isnan(c)])[:-1] for c in x.T]
+        w = np.where(y == 1, 2.0, 1.0)
+        g, h = histboost.derivatives(np.linspace(-1, 1, len(y)), y, w)
+        bins = histboost.as_bins(x, cuts)
+        hist = histboost.histogram(bins, g, h, np.where(np.arange(len(y)) < 150, 3, 2), [3])[0]
+        gain, column, cut, to_left, sums = histboost.best_split(hist, s)
+        best = []
+        part = lambda rows: (g[:150][rows].sum() / histboost.UNIT, h[:150][rows].sum() / histboost.UNIT, int(rows.sum()))
+        value = lambda t: t[0] ** 2 / (t[1] + s.penalty)
+        for c in range(3):
+            v = x[:150, c]
+            for k, at in enumerate(cuts[c]):
+                for side in (False, True):
+                    left = np.where(np.isnan(v), side, v <= at)
+                    a, b = part(left), part(~left)
+                    if min(a[2], b[2]) >= s.least_rows and min(a[1], b[1]) >= histboost.LEAST_HESSIAN:
+                        best.append((value(a) + value(b) - value(part(np.ones(150, bool))), c, k, side, a[2]))
+        most = max(b[0] for b in best)
+        assert abs(gain - most) < 1e-9
+        assert any((c, k, side, n) == (column, cut, to_left, sums[2]) for v, c, k, side, n in best if abs(v - most) < 1e-9)
+
+
+def test_boosting_is_the_same_in_one_task_and_level_by_level(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(histboost, "BLOCK", 100)
+    monkeypatch.setattr(histboost, "REWRITE", 2)
+    x, y = _boost_rows()
+    rows = [([None if v != v else float(v) for v in r], int(t), 0.5 + i % 3, "extra") for i, (r, t) in enumerate(zip(x, y))]
+    rows += [(None, 1, 1.0, ""), ([1.0, 2.0, 3.0], None, 1.0, ""), ([1.0, 2.0, 3.0], 1, None, None)]  # no say
+    df = spark.createDataFrame(rows, "features array<double>, y int, w double, p string")
+    s = histboost.Settings(trees=5, depth=3, rate=0.5)
+    one = histboost.HistBoost.fit(df, "y", s, "w")
+    many = histboost.HistBoost.fit(df.repartition(5), "y", s, "w", task_values=0)
+    assert len(one.trees) == len(many.trees) == 5 and one.start == many.start
+    for a, b in zip(one.trees, many.trees):
+        for c in ("feature", "cut", "threshold", "missing_left", "value", "gain"):
+            assert (getattr(a, c) == getattr(b, c)).all()
+    # Missing values have a side of their own: the first column's are the likeliest positives.
+    p = df.where("y is not null and features is not null").select("y", one.score().alias("p"), F.isnull(F.get("features", F.lit(0))).alias("m"))
+    means = {r["m"]: r["p"] for r in p.groupBy("m").agg(F.avg("p").alias("p")).collect()}
+    assert means[True] > means[False] + 0.3
+    one.save(spark, str(tmp_path / "m"))
+    again = histboost.HistBoost.load(spark, str(tmp_path / "m"))
+    assert [r[0] for r in df.select(again.score()).collect()] == [r[0] for r in df.select(one.score()).collect()]
+    for bad in (df.where("false"), df.where("y = 1")):
+        with pytest.raises(ValueError):
+            histboost.HistBoost.fit(bad, "y", s)
+    with pytest.raises(ValueError):
+        histboost.Settings(depth=0)
+    # Columns without a value and equal rows have no split: the model is the share of positives.
+    flat = spark.createDataFrame([([None, 1.0], i % 4 // 3) for i in range(100)], "features array<double>, y int")
+    still = histboost.HistBoost.fit(flat, "y", s)
+    assert not still.trees and abs(flat.select(still.score()).first()[0] - 0.25) < 1e-6
+
+
 def test_stream_restarts_from_its_state_and_touches_own_series_only(spark, tmp_path):
     """Restarts over 200 series: rolling values go on, a batch holds rows of its own series only, extra columns and null keys pass."""
     schema = "k int, t timestamp, `an id` bigint, v double, note string"

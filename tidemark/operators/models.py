@@ -1,4 +1,4 @@
-"""Classifiers on MLlib: build, fit, score, save and load."""
+"""Classifiers: build, fit, score, save and load. All but the forest of outliers and histogram boosting are MLlib's."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import scale as sc
 from tidemark.operators.detectors import IsolationForest, feature_array
+from tidemark.operators.histboost import HistBoost, Settings
 from tidemark.operators.quantile import exact_quantiles
 
 # Settings of the model kinds.
@@ -22,7 +23,7 @@ DEFAULTS = {
     "LogisticRegression": {"maxIter": 2000},
     "RandomForest": {"numTrees": 400, "maxDepth": 30, "minInstancesPerNode": 1, "seed": 42},
     "GradientBoosting": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "minInstancesPerNode": 1, "subsamplingRate": 1.0, "seed": 42},
-    "HistGradientBoosting": {"maxIter": 300, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "maxBins": 255, "seed": 42},
+    "HistGradientBoosting": {"maxIter": 300, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "maxBins": 255},
     "IsolationForest": {"trees": 400, "contamination": 0.01, "seed": 42},
 }
 WEIGHTED = ("LogisticRegression", "RandomForest")  # balanced class weights unless told otherwise
@@ -38,11 +39,19 @@ def estimator(kind: str, params: dict, label: str, weight: str | None, total_wei
         return LogisticRegression(**common, **{"regParam": reg, "elasticNetParam": 0.0, "standardization": False, **params})
     if kind == "RandomForest":
         return RandomForestClassifier(**common, **{"featureSubsetStrategy": "sqrt", "cacheNodeIds": False, **params})
-    if kind in ("GradientBoosting", "HistGradientBoosting"):
+    if kind == "GradientBoosting":
         return GBTClassifier(**common, **params)
     raise ValueError(f"unknown model: {kind}")
 
 
+def hist_settings(params: dict) -> Settings:
+    """Settings of histogram boosting from parameters under the names of the other kinds."""
+    known = {"maxIter": "trees", "stepSize": "rate", "maxDepth": "depth", "minInstancesPerNode": "least_rows", "maxBins": "bins", "penalty": "penalty"}
+    if unknown := set(params) - {*known, "seed"}:  # nothing is drawn, so a seed has no effect
+        raise ValueError(f"unknown parameters: {sorted(unknown)}")
+    return Settings(**{known[k]: v for k, v in params.items() if k != "seed"})
+
+
 @dataclass
 class Scorer:
     """A fitted model with all it needs to score raw feature rows."""
@@ -55,13 +64,16 @@ class Scorer:
     threshold: float | None = None
     model: PipelineModel | None = None
     forest: IsolationForest | None = None
+    boosted: HistBoost | None = None
 
     def inputs(self, df: DataFrame) -> DataFrame:
         """Model inputs under their own names, so that the row keeps its raw features."""
         made = {}
         for i, c in enumerate(self.feature_cols):
             value = F.col(f"`{c}`").cast("double")
-            value = F.coalesce(F.when(~F.isnan(value), value), F.lit(float(self.medians.get(c, 0.0))))
+            value = F.when(~F.isnan(value), value)
+            if c in self.medians or self.kind != "HistGradientBoosting":  # which has a side for missing values
+                value = F.coalesce(value, F.lit(float(self.medians.get(c, 0.0))))
             if c in self.scale:
                 centre, spread = self.scale[c]
                 value = (value - F.lit(centre)) / F.lit(spread)
@@ -77,6 +89,9 @@ class Scorer:
         if self.kind == "IsolationForest":
             rows = rows.withColumn("features", feature_array(self.input_names()))
             out = self.forest.transform(rows, name).drop("features")
+        elif self.kind == "HistGradientBoosting":
+            rows = rows.withColumn("features", feature_array(self.input_names()))
+            out = rows.withColumn(name, self.boosted.score()).drop("features")
         else:
             out = self.model.transform(rows).withColumn(name, vector_to_array("probability")[1])
             out = out.drop("features_vec", "rawPrediction", "probability", "prediction")
@@ -84,6 +99,8 @@ class Scorer:
         return out if self.threshold is None else out.withColumn("is_alert", F.col(name) >= F.lit(self.threshold))
 
     def importances(self) -> dict[str, float]:
+        if self.boosted is not None:
+            return dict(zip(self.feature_cols, map(float, self.boosted.importances())))
         stage = self.model.stages[-1] if self.model else None
         if stage is None or not hasattr(stage, "featureImportances"):
             return {}
@@ -95,6 +112,8 @@ class Scorer:
         spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("errorifexists").parquet(f"{path}/meta")
         if self.forest is not None:
             self.forest.save(spark, f"{path}/forest")
+        elif self.boosted is not None:
+            self.boosted.save(spark, f"{path}/boosted")
         else:
             self.model.write().save(f"{path}/model")
 
@@ -105,6 +124,8 @@ class Scorer:
         out = cls(**meta)
         if out.kind == "IsolationForest":
             out.forest = IsolationForest.load(spark, f"{path}/forest")
+        elif out.kind == "HistGradientBoosting":
+            out.boosted = HistBoost.load(spark, f"{path}/boosted")
         else:
             out.model = PipelineModel.load(f"{path}/model")
         return out
@@ -158,6 +179,10 @@ def fit(
             rows, weight = rows.withColumn("__w", value), "__w"
     if kind == "LogisticRegression":
         total = rows.agg(F.sum(weight) if weight else F.count("*")).first()[0]
+    if kind == "HistGradientBoosting":
+        own = rows.select(feature_array(scorer.input_names()).alias("features"), label, *([weight] if weight else []))
+        scorer.boosted = HistBoost.fit(own, label, hist_settings(params), weight)
+        return scorer
     keep = [*scorer.input_names(), label, *([weight] if weight else [])]
     rows = rows.select(*keep).withColumn(label, F.col(label).cast("double"))
     assembler = VectorAssembler(inputCols=scorer.input_names(), outputCol="features_vec")
