@@ -251,8 +251,7 @@ def _(spark, d):
 
 
 def _grid(spark, d):
-    configs = [{"maxIter": 4, "stepSize": 0.1, "maxDepth": depth, "minInstancesPerNode": 5, "subsamplingRate": 0.85} for depth in (2, 3)]
-    return tuning.tune_gb(_labelled(spark, d), KPI, feature_cols=D_COLS, configs=configs, folds=2, **ARGS)
+    return tuning.tune_gb(_labelled(spark, d), KPI, feature_cols=D_COLS, **ARGS)
 
 
 @query("grid_gbt")

@@ -1,5 +1,6 @@
 """Detectors, classifiers, calibration, entry points, storage and streams on planted anomalies."""
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.explain import explanation, top_contributors
 from tidemark.functions.kpi import KPIS
 from tidemark.operators import detectors as det
-from tidemark.operators import histboost, knn, metrics, sanity, scale
+from tidemark.operators import histboost, knn, metrics, ranking, sanity, scale, searchboost
 from tidemark.operators.calibrate import Isotonic, Sigmoid
 from tidemark.operators.incidents import group_incidents
 from tidemark.operators.models import Scorer, fit
@@ -445,3 +446,55 @@ def test_row_gap_stream_equals_batch(spark, tmp_path):
     names = ["k", "incident_id", "start_ts", "end_ts", "n_rows", "max_score"]
     assert sorted(map(tuple, got[names].values.tolist())) == sorted(map(tuple, want[names].values.tolist())) and len(want) > 30
     assert got.groupby("k")["late_rows"].max().to_dict() == {0: 1, 1: 1, 2: 0}
+
+
+def test_many_fits_in_one_pass_equal_single_fits(spark, monkeypatch):
+    monkeypatch.setattr(histboost, "BLOCK", 100)
+    monkeypatch.setattr(histboost, "REWRITE", 2)
+    x, y = _boost_rows()
+    rows = [(i, [None if v != v else float(v) for v in r], int(t), "extra") for i, (r, t) in enumerate(zip(x, y))]
+    rows += [(len(x), None, 1, ""), (len(x) + 1, [1.0, 2.0, 3.0], None, ""), (None, [1.0, 2.0, 3.0], 1, None)]  # no say
+    df = spark.createDataFrame(rows, "idx long, features array<double>, y int, chain string")
+    n = len(x)
+    small = histboost.Settings(trees=3, depth=2, rate=0.5)
+    fits = [searchboost.Fit(s, t, share) for s in (n // 2, n) for t in (small, replace(small, trees=5), replace(small, depth=3)) for share in (1.0, 0.6)]
+    one = searchboost.fit_many(df, "y", fits)
+    monkeypatch.setattr(searchboost, "PART", 2)
+    monkeypatch.setattr(searchboost, "TASK_SUMS", 2 * 3 * 256 * 3 * 4)  # two fits a turn
+    many = searchboost.fit_many(df.repartition(5), "y", fits, task_values=0)
+    columns = ("feature", "cut", "threshold", "missing_left", "value", "gain")
+    same = lambda a, b: len(a.trees) == len(b.trees) and all((getattr(s, c) == getattr(t, c)).all() for s, t in zip(a.trees, b.trees) for c in columns)
+    assert [len(m.trees) for m in one] == [f.settings.trees for f in fits]
+    assert all(same(a, b) and a.start == b.start for a, b in zip(one, many))
+    # A fit of all rows is that of the single operator; a shorter one is its head; a share draws other rows.
+    whole = [f for f in fits if f.stop == n]
+    alone = searchboost.fit_many(df, "y", whole)
+    for f, m in zip(whole, alone):
+        single = histboost.HistBoost.fit(df.where("idx is not null"), "y", f.settings)
+        assert same(m, single) == (f.share == 1.0)
+    scored = df.where("features is not null and y is not null and idx is not null")
+    for r in scored.select(searchboost.scores(alone[:2]).alias("s"), alone[1].score().alias("p")).collect():
+        assert r["s"][1] == pytest.approx(r["p"], abs=1e-12)
+    # The draw keeps the share, within four deviations, and differs between trees.
+    idx = np.arange(100_000)
+    draws = [searchboost.drawn(idx, t, 0.7, 42) for t in range(3)]
+    assert all(abs(d.mean() - 0.7) < 4 * (0.21 / len(idx)) ** 0.5 for d in draws)
+    assert abs((draws[0] & draws[1]).mean() - 0.49) < 0.01
+    assert searchboost.fit_many(df, "y", []) == []
+    with pytest.raises(ValueError):
+        searchboost.fit_many(df.where("y = 1"), "y", fits)
+    with pytest.raises(ValueError):
+        searchboost.fit_many(df, "y", [fits[0], searchboost.Fit(n, replace(small, bins=9))])
+
+
+def test_grid_search_stops_by_the_rule(kpis):
+    configs = [{"maxIter": t, "stepSize": 0.3, "maxDepth": 2, "minInstancesPerNode": 5, "subsamplingRate": 0.85} for t in range(1, 12)]
+    out = tuning.tune_gb(kpis, configs=configs, folds=2, min_pos=1, patience=3)
+    f2s = [r["val_f2_mean"] for r in out.metrics.orderBy("place").collect()]
+    assert ranking.early_stop(f2s, patience=3) == (len(f2s), out.notes["stopped"])
+    assert ranking.early_stop(f2s[:-1], patience=3)[1] is None or out.notes["stopped"] is None
+    assert out.scorer.transform(kpis_features(kpis, out)).where("anomaly_score is null").count() == 0
+
+
+def kpis_features(kpis, out):
+    return prepare(kpis, KPIS, "D", feature_cols=out.scorer.feature_cols).df

@@ -122,6 +122,17 @@ def best_split(hist: np.ndarray, s: Settings) -> tuple[float, int, int, bool, np
     return float(gain[column, cut, side]), int(column), int(cut), to_left, own
 
 
+def divide(tree: Tree, node: int, split: tuple, total: np.ndarray, cuts: list[np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Write a split found by :func:`best_split` into the tree; the sums of both sides."""
+    gain, column, cut, to_left, left = split
+    tree.feature[node], tree.cut[node], tree.missing_left[node], tree.gain[node] = column, cut, to_left, gain
+    tree.threshold[node] = cuts[column][cut] if cut < len(cuts[column]) else math.inf
+    right = total - left
+    for child, sums in ((2 * node, left), (2 * node + 1, right)):
+        tree.value[child] = s.value(sums[0] / UNIT, sums[1] / UNIT)
+    return left, right
+
+
 def boost(source: Source, cuts: list[np.ndarray], s: Settings) -> list[Tree]:
     """Trees from histograms; ends early when the rows cannot be split any more."""
     trees: list[Tree] = []
@@ -134,12 +145,7 @@ def boost(source: Source, cuts: list[np.ndarray], s: Settings) -> list[Tree]:
                 found = best_split(hist, s)
                 if found is None:
                     continue
-                gain, column, cut, to_left, left = found
-                tree.feature[node], tree.cut[node], tree.missing_left[node], tree.gain[node] = column, cut, to_left, gain
-                tree.threshold[node] = cuts[column][cut] if cut < len(cuts[column]) else math.inf
-                right = hist[0].sum(0) - left
-                for child, sums in ((2 * node, left), (2 * node + 1, right)):
-                    tree.value[child] = s.value(sums[0] / UNIT, sums[1] / UNIT)
+                left, right = divide(tree, node, found, hist[0].sum(0), cuts, s)
                 small.append(2 * node + int(right[2] < left[2]))
                 parents.append(node)
             if not small or depth == s.depth - 1:
