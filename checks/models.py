@@ -8,8 +8,9 @@ from checks.registry import query, rounded
 from checks.views import events, events_line, table
 from tidemark.operators import detectors as det
 from tidemark.operators import scale, splits
-from tidemark.operators.calibrate import CrossCalibrated, Isotonic, Sigmoid
+from tidemark.operators.calibrate import CrossCalibrated, Sigmoid
 from tidemark.operators.features import family_columns
+from tidemark.operators.isotonic import Isotonic
 from tidemark.operators.knn import local_outlier_factor
 from tidemark.operators.models import Scorer, fit
 from tidemark.operators.order import timeline, windowed

@@ -12,8 +12,9 @@ from tidemark.functions.explain import explanation, top_contributors
 from tidemark.functions.kpi import KPIS
 from tidemark.operators import detectors as det
 from tidemark.operators import histboost, knn, metrics, ranking, sanity, scale, searchboost
-from tidemark.operators.calibrate import Isotonic, Sigmoid
+from tidemark.operators.calibrate import Sigmoid
 from tidemark.operators.incidents import group_incidents
+from tidemark.operators.isotonic import Isotonic
 from tidemark.operators.models import Scorer, fit
 from tidemark.operators.order import from_indexed, timeline
 from tidemark.plans import compare, detect, tuning
@@ -498,3 +499,47 @@ def test_grid_search_stops_by_the_rule(kpis):
 
 def kpis_features(kpis, out):
     return prepare(kpis, KPIS, "D", feature_cols=out.scorer.feature_cols).df
+
+
+def _pooled(x, y):
+    """Brute force: the step of the k-th distinct score is the largest mean over starts of the smallest mean over ends."""
+    xs = np.unique(x)
+    w = np.array([(x == v).sum() for v in xs])
+    s = np.array([y[x == v].sum() for v in xs])
+    mean = lambda i, j: s[i:j + 1].sum() / w[i:j + 1].sum()
+    n = len(xs)
+    return xs, np.array([max(min(mean(i, j) for j in range(k, n)) for i in range(k + 1)) for k in range(n)])
+
+
+@pytest.mark.parametrize("case", ["continuous", "ties", "falling", "rising", "late_drop"])
+def test_isotonic_equals_brute_force(spark, case):
+    rng = np.random.default_rng(5)
+    x = rng.random(120)
+    y = (rng.random(120) < x).astype(int)
+    if case == "ties":
+        x = x.round(1)
+    elif case == "falling":
+        y = (x < 0.5).astype(int)
+    elif case == "rising":
+        y = (x > 0.5).astype(int)
+    elif case == "late_drop":
+        y = np.where(x > 0.9, 0, y)
+    rows = [(float(a), int(b), "e") for a, b in zip(x, y)] + [(None, 1, ""), (float("nan"), 0, ""), (0.5, None, "")]
+    df = spark.createDataFrame(rows, "score double, y int, idx string")
+    xs, want = _pooled(x, y)
+    probe = spark.createDataFrame([(float(v), "p") for v in [*xs, -1.0, 2.0, float("inf"), *(xs[:-1] + xs[1:]) / 2]] + [(None, "n"), (float("nan"), "n")], "score double, value string")
+    expected = [*want, want[0], want[-1], want[-1], *(want[:-1] + want[1:]) / 2]
+    for chunk, points in ((65_536, 1 << 18), (7, 8)):
+        curve = Isotonic(df.repartition(3), chunk=chunk, points=points)
+        assert curve.steps.count() <= len(xs)
+        for steps in (65_536, 0):
+            out = curve.transform(probe, steps=steps)
+            assert out.columns == ["score", "value", "calibrated"]
+            got = {(r["score"], r["value"]): r["calibrated"] for r in out.collect() if r["value"] == "p"}
+            assert [got[float(v), "p"] for v in [*xs, -1.0, 2.0, float("inf"), *(xs[:-1] + xs[1:]) / 2]] == pytest.approx(expected)
+            assert out.where("value = 'n' and calibrated is null").count() == 2
+
+
+def test_isotonic_of_nothing(spark):
+    empty = Isotonic(spark.createDataFrame([(None, 1)], "score double, y int"))
+    assert empty.count == 0 and empty.transform(spark.createDataFrame([(0.5,)], "score double")).first()["calibrated"] is None

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,22 +34,6 @@ class Sigmoid:
         return df.withColumn(name, 1.0 / (1.0 + F.exp(-(F.col(score) * a + b))))
 
 
-class Isotonic:
-    """A non-decreasing step curve over one score; constant beyond the fitted range.
-
-    MLlib pools per partition first, and the fit itself runs over one row per distinct score.
-    """
-
-    def __init__(self, df: DataFrame, score: str = "score", label: str = "y"):
-        # Equal scores are merged before the fit: mean label, weighted by their number.
-        rows = df.groupBy(F.col(score).alias("__x")).agg(F.avg(F.col(label).cast("double")).alias("__y"), F.count("*").cast("double").alias("__w"))
-        iso = IsotonicRegression(featuresCol="__x", labelCol="__y", weightCol="__w", predictionCol="__p")
-        self.model: IsotonicRegressionModel = iso.fit(rows)
-
-    def transform(self, df: DataFrame, score: str = "score", name: str = "calibrated") -> DataFrame:
-        return self.model.transform(df.withColumn("__x", F.col(score).cast("double"))).withColumnRenamed("__p", name).drop("__x")
-
-
 class CrossCalibrated:
     """Models of three expanding slices, each with a sigmoid fitted on the rows behind it, averaged."""
 
