@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
-from checks.views import events, events_line, table
+from checks.views import RAW_SQL, events, events_line, raw_events, table
 from tidemark.operators import detectors as det
 from tidemark.operators import scale, splits
 from tidemark.operators.calibrate import CrossCalibrated, Sigmoid
@@ -16,7 +16,7 @@ from tidemark.operators.models import Scorer, fit
 from tidemark.operators.order import timeline, windowed
 from tidemark.plans import compare, detect, tuning
 from tidemark.plans.common import prepare
-from tidemark.plans.train import evaluate, score_latest, train
+from tidemark.plans.train import evaluate, latest_features, score_latest, train
 from tidemark.session import materialize, new_path
 
 KPI = ["value"]
@@ -221,6 +221,19 @@ def _(spark, d):
     return score_latest(rows, out.scorer, KPI, "ts", ["series_key"], ["event_id"])
 
 
+@query("latest_features", f"""with {RAW_SQL}, f as (select series_key, ts, event_id, idx,
+    coalesce(last_value(value ignore nulls) over up, first_value(value ignore nulls) over (partition by series_key order by ts, event_id rows between current row and unbounded following)) as value
+    from r window up as (partition by series_key order by ts, event_id rows between unbounded preceding and current row)),
+  w as (select series_key, ts, event_id, value, coalesce(value - lag(value) over v, 0) as d, avg(value) over t as m, coalesce(stddev_samp(value) over t, 0) as s,
+    count(*) over (partition by series_key) as n, row_number() over (partition by series_key order by ts desc, event_id desc) as k from f
+    window v as (partition by series_key order by ts, event_id), t as (partition by series_key order by ts, event_id rows between 9 preceding and current row))
+  select series_key, ts, event_id, round(value, 6) as value, round(d, 6) as value__diff1, round(m, 6) as value__roll10_mean, round(s, 6) as value__roll10_std, n as window_rows_used
+  from w where k = 1""")
+def _(spark, d):
+    last = latest_features(raw_events(spark, d), KPI, "ts", ["series_key"], ["event_id"])
+    return rounded(last.select("series_key", "ts", "event_id", "value", "value__diff1", "value__roll10_mean", "value__roll10_std", "window_rows_used"))
+
+
 @query("optimize")
 def _(spark, d):
     return compare.optimize(_labelled(spark, d), KPI, feature_cols=D_COLS, params=SMALL, **ARGS).metrics

@@ -8,18 +8,20 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.explain import explanation, top_contributors
+from tidemark.functions.explain import contributions, explanation, top_contributors
 from tidemark.functions.kpi import KPIS
 from tidemark.operators import detectors as det
-from tidemark.operators import histboost, knn, metrics, ranking, sanity, scale, searchboost
+from tidemark.operators import histboost, knn, metrics, ranking, sanity, scale, searchboost, tails
 from tidemark.operators.calibrate import Sigmoid
 from tidemark.operators.incidents import group_incidents
 from tidemark.operators.isotonic import Isotonic
+from tidemark.operators.features import add_features
 from tidemark.operators.models import Scorer, fit
 from tidemark.operators.order import from_indexed, timeline
+from tidemark.operators.ranking import latest
 from tidemark.plans import compare, detect, tuning
 from tidemark.plans.common import prepare
-from tidemark.plans.train import evaluate, score_latest, train
+from tidemark.plans.train import evaluate, latest_features, score_latest, train
 from tidemark.sources import runs, tables
 from tidemark.streaming.incidents import stream_incidents_rows, use_state_store
 from tidemark.streaming.score import stream_score
@@ -543,3 +545,37 @@ def test_isotonic_equals_brute_force(spark, case):
 def test_isotonic_of_nothing(spark):
     empty = Isotonic(spark.createDataFrame([(None, 1)], "score double, y int"))
     assert empty.count == 0 and empty.transform(spark.createDataFrame([(0.5,)], "score double")).first()["calibrated"] is None
+
+
+@pytest.mark.parametrize("keys", [[], ["series"]])
+def test_last_rows_give_the_features_of_the_whole_history(spark, keys):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        key = ["a", "a", "b", None, "c"][i % 5] if i % 97 else f"rare{i}"
+        gap = key == "b" or rng.random() < (0.9 if key == "a" else 0.2)  # "b" never has a value
+        rows.append((key, datetime(2024, 1, 1) + timedelta(seconds=int(rng.integers(0, 300))), i, None if gap else str(float(rng.integers(0, 50))), "bad" if i % 3 else "1.5", "x"))
+    df = spark.createDataFrame(rows, "series string, timestamp timestamp, id int, latency string, jitter string, __order string").repartition(7)
+    names = ["latency", "jitter"]
+    want = prepare_last(df, names, keys)
+    got = latest_features(df, names, keys=keys, tie=[])
+    columns = [*keys, "timestamp", *[c for c in want.columns if c.startswith(("latency", "jitter", "contrib"))]]
+    order = lambda out: sorted((tuple(map(str, r)) for r in out.select(*columns).collect()))
+    assert order(got) == order(want)
+    assert got.agg(F.sum("window_rows_used")).first()[0] == 900
+    linear = latest_features(df, names, keys=keys, fill="linear")
+    assert linear.count() == got.count()
+    # Few rows a task are left, whatever the length; held rows are flushed early without effect.
+    kept = tails.last_rows(df, ["timestamp"], names, 10, keys, held=40)
+    assert kept.count() < 900
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Sort " not in plan
+    flushed = tails.last_rows(df.coalesce(1), ["timestamp"], names, 10, keys, held=40)
+    tops = lambda f: {tuple(r) for r in f.groupBy(*keys).agg(F.max("timestamp")).collect()}
+    assert tops(flushed) == tops(df)
+
+
+def prepare_last(df, names, keys):
+    line = timeline(df, ["timestamp"], keys=keys)
+    made = contributions(add_features(line, names, "A", "both").df, names)
+    return latest(made.withColumn("__order", F.col("idx")), "__order", keys)
