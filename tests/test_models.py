@@ -20,7 +20,7 @@ from tidemark.operators.models import Scorer, fit
 from tidemark.operators.order import from_indexed, timeline
 from tidemark.operators.ranking import latest
 from tidemark.plans import compare, detect, tuning
-from tidemark.plans.common import prepare
+from tidemark.plans.common import prepare, publish
 from tidemark.plans.train import evaluate, latest_features, score_latest, train
 from tidemark.sources import runs, tables
 from tidemark.streaming.incidents import stream_incidents_rows, use_state_store
@@ -291,14 +291,28 @@ def test_tables_and_runs(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.load_table(spark, str(tmp_path / "x"), str(tmp_path / "y"))
     store = runs.Runs(spark, str(tmp_path / "runs"))
-    assert store.latest("scores", "train") is None
+    assert store.latest("scores", "train") is None and store.committed() is None
     for tag, run in (("train", "20240101_000000"), ("train", "20240102_000000"), ("eval", "20240103_000000")):
         store.save(spark.range(3).withColumn("run", F.lit(run)), "scores", tag, run)
+        store.commit(tag, run, {"scores": "parquet"})
+    # Not committed, so not there, however new.
+    store.save(spark.range(3).withColumn("run", F.lit("half")), "scores", "train", "20240109_000000")
     assert {r["run"] for r in store.latest("scores", "train").collect()} == {"20240102_000000"}
+    assert store.latest("incidents", "train") is None and store.table("scores", "train", "20240109_000000") is None
     with pytest.raises(Exception):
         store.save(spark.range(1), "scores", "train", "20240101_000000")
-    known = store.table("scores").select("tag", "run_id", F.lit(True).alias("has_scores")).distinct()
-    assert runs.resolve_source(known).first()["tag"] == "train"
+    with pytest.raises(Exception):
+        store.commit("train", "20240101_000000", {"scores": "parquet"})
+    with pytest.raises(ValueError):
+        store.save(spark.range(1), "manifest", "train", "20240101_000000")
+    spark.range(2).withColumn("run", F.lit("")).write.mode("overwrite").parquet(str(tmp_path / "runs/scores/tag=eval/run_id=20240103_000000"))
+    with pytest.raises(ValueError):
+        store.latest("scores", "eval")
+    store.save(spark.range(2), "scores", "csv", "20240101_000000", "csv")
+    store.commit("csv", "20240101_000000", {"scores": "csv"})
+    assert store.latest("scores", "csv").count() == 2
+    known = store.committed().select("tag", "run_id", F.lit(True).alias("has_scores")).distinct()
+    assert runs.resolve_source(known.where("tag <> 'csv'")).first()["tag"] == "train"
     tables.write_json(spark.range(2), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
@@ -579,3 +593,26 @@ def prepare_last(df, names, keys):
     line = timeline(df, ["timestamp"], keys=keys)
     made = contributions(add_features(line, names, "A", "both").df, names)
     return latest(made.withColumn("__order", F.col("idx")), "__order", keys)
+
+
+def test_a_run_killed_half_way_is_not_seen(spark, kpis, tmp_path):
+    store = runs.Runs(spark, str(tmp_path / "runs"))
+    out = train(kpis, candidates={"RandomForest_base": {"numTrees": 5, "maxDepth": 3}}, runs=store)
+    first = out.notes["run_id"]
+    assert store.latest("scores", "train").count() == 600 and store.latest("incidents", "train").count() == out.incidents.count()
+    assert Scorer.load(spark, f"{store.path('model')}/tag=train/run_id={first}").threshold == out.threshold
+    assert '"model"' in store.latest("notes", "train").first()["notes"]
+
+    @F.udf("long")
+    def dies(i):
+        raise RuntimeError("executor gone")
+
+    broken = replace(out, incidents=out.incidents.withColumn("n_rows", dies("n_rows")))
+    with pytest.raises(Exception, match="executor gone"):
+        publish(store, "train", broken, "99990101_000000")
+    # Its scores were written, but nobody sees them.
+    assert spark.read.parquet(f"{store.path('scores')}/tag=train/run_id=99990101_000000").count() == 600
+    assert {r["run_id"] for r in store.latest("scores", "train").select("run_id").distinct().collect()} == {first}
+    assert {r["run_id"] for r in store.committed().collect()} == {first}
+    checked = evaluate(kpis, out.scorer, runs=store)
+    assert store.latest("metrics", "eval").first()["f1"] == checked.metrics.first()["f1"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -17,6 +19,7 @@ from tidemark.operators.models import Scorer
 from tidemark.operators.order import Timeline, reindex, timeline
 from tidemark.operators.splits import Fold
 from tidemark.session import materialize
+from tidemark.sources.runs import Runs, new_run_id
 
 PARALLEL_FITS = 4
 
@@ -34,6 +37,36 @@ class Result:
     notes: dict[str, object] = field(default_factory=dict)
 
 
+def publish(runs: Runs, tag: str, result: Result, run_id: str | None = None) -> str:
+    """Save a result's tables, notes and model as one run, and commit it last; the run's id."""
+    run_id = run_id or new_run_id()
+    parts = {"scores": result.scores, "metrics": result.metrics, "incidents": result.incidents, **result.tables}
+    notes = {**result.notes, "threshold": result.threshold}
+    parts["notes"] = runs.spark.createDataFrame([(json.dumps(notes, default=str),)], "notes string")
+    saved = {name: "parquet" for name, df in parts.items() if df is not None}
+    for name in saved:
+        runs.save(parts[name], name, tag, run_id)
+    if result.scorer is not None:
+        result.scorer.save(runs.spark, f"{runs.path('model')}/tag={tag}/run_id={run_id}")
+    runs.commit(tag, run_id, saved)
+    return run_id
+
+
+def saved_as(tag: str) -> Callable[[Callable[..., Result]], Callable[..., Result]]:
+    """Give an entry point the argument ``runs``: where its result is saved under ``tag``, with the id in ``notes["run_id"]``."""
+    def wrap(plan: Callable[..., Result]) -> Callable[..., Result]:
+        @functools.wraps(plan)
+        def run(*args, runs: Runs | None = None, **kwargs) -> Result:
+            result = plan(*args, **kwargs)
+            if runs is not None:
+                result.notes["run_id"] = publish(runs, tag, result)
+            return result
+
+        return run
+
+    return wrap
+
+
 @dataclass
 class Prepared:
     """A featured series: dense ``idx``, features stored once, feature names."""
