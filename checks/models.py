@@ -55,7 +55,7 @@ def _(spark, d):
 def _(spark, d):
     rows = _vectors(spark, d)
     cut = _cut(rows)
-    forest = det.IsolationForest.fit(rows.where(F.col("idx") < cut), cut, trees=100)
+    forest = det.IsolationForest.fit(rows.where(F.col("idx") < cut), cut)
     return forest.transform(rows).select("idx", "anomaly_score")
 
 
@@ -107,7 +107,7 @@ def _(spark, d):
 
 @query("gbt")
 def _(spark, d):
-    return _fit_score(spark, d, "GradientBoosting", {"maxIter": 10, "maxDepth": 2, "minInstancesPerNode": 5, "subsamplingRate": 0.85})
+    return _fit_score(spark, d, "GradientBoosting", {})
 
 
 @query("hist_gbt")
@@ -136,7 +136,7 @@ def _(spark, d):
 
 @query("logreg")
 def _(spark, d):
-    return _fit_score(spark, d, "LogisticRegression", {"maxIter": 100}, "robust")
+    return _fit_score(spark, d, "LogisticRegression", {}, "robust")
 
 
 def _held(spark, d):
@@ -163,7 +163,7 @@ def _(spark, d):
 def _(spark, d):
     data = _data(spark, d)
     split = splits.chrono_split(data.n)
-    model = CrossCalibrated(data.slice(0, split.train_end), split.train_end, "LogisticRegression", data.feature_cols, "anomaly", {"maxIter": 50})
+    model = CrossCalibrated(data.slice(0, split.train_end), split.train_end, "LogisticRegression", data.feature_cols, "anomaly")
     return model.transform(data.slice(split.train_end, data.n)).select("idx", "anomaly", "anomaly_score")
 
 
@@ -201,14 +201,14 @@ def _(spark, d):
 
 @query("train_unlabelled")
 def _(spark, d):
-    out = train(_labelled(spark, d).drop("anomaly"), KPI, label=None, ts="ts", tie=["event_id"], candidates={"IsolationForest": {"trees": 50}})
+    out = train(_labelled(spark, d).drop("anomaly"), KPI, label=None, ts="ts", tie=["event_id"], candidates={"IsolationForest": {}})
     return out.incidents
 
 
 @query("evaluate_saved")
 def _(spark, d):
     rows = _labelled(spark, d)
-    out = train(rows, KPI, label=None, ts="ts", tie=["event_id"], candidates={"IsolationForest": {"trees": 50}})
+    out = train(rows, KPI, label=None, ts="ts", tie=["event_id"], candidates={"IsolationForest": {}})
     path = new_path(spark, "model")
     out.scorer.save(spark, path)
     return evaluate(rows, Scorer.load(spark, path), KPI, **ARGS).metrics
@@ -217,7 +217,7 @@ def _(spark, d):
 @query("score_latest")
 def _(spark, d):
     rows = _labelled(spark, d)
-    out = train(rows, KPI, label=None, ts="ts", tie=["event_id"], candidates={"IsolationForest": {"trees": 50}})
+    out = train(rows, KPI, label=None, ts="ts", tie=["event_id"], candidates={"IsolationForest": {}})
     return score_latest(rows, out.scorer, KPI, "ts", ["series_key"], ["event_id"])
 
 
@@ -241,7 +241,7 @@ def _(spark, d):
 
 @query("shift_rescore")
 def _(spark, d):
-    return detect.sanity_checks(_labelled(spark, d), KPI, feature_cols=B_COLS, params={"trees": 50}, **ARGS).metrics
+    return detect.sanity_checks(_labelled(spark, d), KPI, feature_cols=B_COLS, **ARGS).metrics
 
 
 @query("calibrate")
@@ -287,8 +287,7 @@ def _(spark, d):
 
 @query("detector_bench")
 def _(spark, d):
-    chosen = {"IsolationForest": {"trees": 50}, "KernelMean": {}, "PCA": {"components": 10}}
-    return detect.benchmark(_labelled(spark, d), KPI, feature_cols=C_COLS, detectors=chosen, **ARGS).metrics
+    return detect.benchmark(_labelled(spark, d), KPI, feature_cols=C_COLS, **ARGS).metrics
 
 
 @query("baseline_eval", """with e as (select value, cast(event_type = 'error' as int) as y, row_number() over (order by ts, event_id) - 1 as idx from events),
