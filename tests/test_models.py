@@ -74,6 +74,37 @@ def test_neighbours_are_exact(spark, pivots, block):
         assert mine["rid"].tolist() == best.tolist()
 
 
+@pytest.mark.parametrize("crowded", [0.0, 1.0])
+def test_neighbours_in_cells_and_without(spark, crowded):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(400, 20)), np.full((1, 20), 1e8), 1e6 + rng.integers(0, 2, (99, 20))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vid long, features array<double>")
+    got = knn.neighbours(df, df, 7, 30, 128, crowded).toPandas().sort_values(["qid", "dist", "rid"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert got["rid"].tolist() == np.argsort(d, axis=1, kind="stable")[:, :7].ravel().tolist()
+    assert got["dist"].tolist() == np.sort(d, axis=1)[:, :7].ravel().tolist()
+
+
+def test_batch_of_references_is_sent_in_bounded_parts(spark, monkeypatch):
+    """Every row may go to every cell: the rows sent at a time stay few."""
+    monkeypatch.setattr(knn, "VALUES", 4_096)
+    x = np.random.default_rng(6).normal(size=(600, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vid long, features array<double>")
+    seen, frame = [], type(df)
+    real = frame.mapInPandas
+
+    def watched(self, func, schema, *args, **kwargs):
+        seen.append(func)
+        return real(self, func, schema, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInPandas", watched)
+    knn.neighbours(df, df, 5, 32, 128, 1.0)
+    sent = next(f for f in seen if f.__name__ == "to_targets")
+    batch = pd.DataFrame({"vid": np.arange(600), "features": list(x)})
+    sizes = [len(p) for p in sent(iter([batch]))]
+    assert max(sizes) * 16 <= 4_096 and sum(sizes) > 10_000
+
+
 def test_local_outlier_factor_with_copies(spark):
     x, df = points(spark)
     rng = np.random.default_rng(3)
