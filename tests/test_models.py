@@ -496,6 +496,31 @@ def test_row_gap_stream_equals_batch(spark, tmp_path):
     assert got.groupby("k")["late_rows"].max().to_dict() == {0: 1, 1: 1, 2: 0}
 
 
+def test_kept_blocks_stay_as_many_and_a_level_is_one_stage(spark, monkeypatch):
+    monkeypatch.setattr(histboost, "REWRITE", 3)
+    monkeypatch.setattr(histboost, "KEPT", 64)
+    x, y = _boost_rows()
+    df = spark.createDataFrame([([None if v != v else float(v) for v in r], int(t)) for r, t in zip(x, y)], "features array<double>, y int")
+    parts, real = [], histboost.Kept.step
+
+    def step(self, change):
+        real(self, change)
+        parts.append(self.now.getNumPartitions())
+
+    monkeypatch.setattr(histboost.Kept, "step", step)
+    s = histboost.Settings(trees=8, depth=3)
+    spark.sparkContext.setJobGroup("levels", "levels")
+    many = histboost.HistBoost.fit(df, "y", s, task_values=0)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getJobInfo(j).stageIds for j in tracker.getJobIdsForGroup("levels")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    one = histboost.HistBoost.fit(df, "y", s)
+    assert len(parts) == 7 and len(set(parts)) == 1
+    # 24 levels; the blocks are dealt by one more stage, which later jobs list again and skip.
+    assert len({i for own in stages for i in own}) < 24 * 2 + 20
+    assert all((a.value == b.value).all() and (a.feature == b.feature).all() for a, b in zip(one.trees, many.trees, strict=True))
+
+
 def test_many_fits_in_one_pass_equal_single_fits(spark, monkeypatch):
     monkeypatch.setattr(histboost, "BLOCK", 100)
     monkeypatch.setattr(histboost, "REWRITE", 2)
