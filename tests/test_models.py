@@ -521,6 +521,16 @@ def test_kept_blocks_stay_as_many_and_a_level_is_one_stage(spark, monkeypatch):
     assert all((a.value == b.value).all() and (a.feature == b.feature).all() for a, b in zip(one.trees, many.trees, strict=True))
 
 
+def test_search_applies_each_tree_once(spark, monkeypatch):
+    x, y = _boost_rows()
+    df = spark.createDataFrame([(i, [None if v != v else float(v) for v in r], int(t)) for i, (r, t) in enumerate(zip(x, y))], "idx long, features array<double>, y int")
+    steps, real = [], histboost.Kept.step
+    monkeypatch.setattr(histboost.Kept, "step", lambda self, change: (real(self, change), steps.append(self.now.getNumPartitions())))
+    fits = [searchboost.Fit(n, histboost.Settings(trees=4, depth=2)) for n in (len(x) // 2, len(x))]
+    searchboost.fit_many(df, "y", fits, task_values=0)
+    assert len(steps) == 3 and len(set(steps)) == 1
+
+
 def test_many_fits_in_one_pass_equal_single_fits(spark, monkeypatch):
     monkeypatch.setattr(histboost, "BLOCK", 100)
     monkeypatch.setattr(histboost, "REWRITE", 2)
