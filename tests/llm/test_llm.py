@@ -186,6 +186,23 @@ def test_components_of_paths_and_stars(spark):
     assert sorted(map(sorted, roots.values())) == [list(range(101)), [200, *range(300, 350)]]
 
 
+def test_few_edges_are_joined_up_in_one_round(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+
+    def groups(task_edges):
+        roots = defaultdict(set)
+        for r in components.components(edges, task_edges).collect():
+            roots[r["root"]].add(r["node"])
+        return sorted(map(sorted, roots.values()))
+
+    by_rounds, made = groups(0), []
+    monkeypatch.setattr(components, "materialize", lambda df, label, keep=components.materialize: made.append(label) or keep(df, label))
+    assert groups(components.TASK_EDGES) == by_rounds and made == ["edges", "pointers"]
+    assert groups(70) == by_rounds
+
+
 # 3
 
 
@@ -383,6 +400,23 @@ def test_rates_meet_the_targets(spark):
     assert min(r["rate"] for r in floor) >= 1
 
 
+def test_steps_write_no_tables_and_equal_plain_ones(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    p, tokens = rng.dirichlet([0.5, 0.5, 0.5], 300), rng.integers(0, 500, 300)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p, strict=True)], "tokens bigint, p array<double>").repartition(3)
+    base = (tokens[:, None] * p).sum(0)
+    targets = np.array([1.3, 0.6, 0.2]) * base
+    rate = np.ones(300)
+    for _ in range(25):
+        error = ((tokens[:, None] * p * rate[:, None]).sum(0) - targets) / base
+        rate = np.where(tokens == 0, rate, np.maximum(0.1, rate - p @ error))
+    monkeypatch.setattr(mixing, "materialize", None)
+    monkeypatch.setattr(mixing, "DONE", 0.0)
+    fit = mixing.fit_rates(rows, targets.tolist(), least=0.1, steps=25)
+    got = {(r["tokens"], *r["p"]): r["rate"] for r in fit.rows.collect()}
+    assert fit.steps == 25 and np.allclose([got[int(n), *x.tolist()] for n, x in zip(tokens, p, strict=True)], rate, rtol=1e-9)
+
+
 def test_mixing_learns_domains_and_takes_odd_rows(spark, odd, none):
     rng = random.Random(4)
     kinds = {"good": ["sun", "tree", "river"], "toxic": ["idiot", "clown", "moron"]}

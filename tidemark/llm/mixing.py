@@ -7,9 +7,12 @@ posterior times length, come as near to the targets as nonnegative rates allow.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.quality import words_of
-from tidemark.llm.registry import query, table
+from tidemark.llm.registry import query, table, wider
 from tidemark.session import materialize
 
 #: Bound of the fit: about this many labelled rows, an equal number of each domain, picked by a hash of the text.
@@ -28,8 +31,6 @@ SAMPLE_ROWS = 8_000
 MOST_DOMAINS = 1_000
 FEATURES = 1 << 13
 STEPS = 60
-#: Steps between two writes of the rates.
-KEPT_STEPS = 10
 DONE = 1e-4
 TARGETS = {"good": 0.80, "poor": 0.12, "toxic": 0.08}
 #: Weights of the pipeline, in which documents that are most likely of this domain stay once at least.
@@ -117,36 +118,63 @@ class Fit(NamedTuple):
     error: float
 
 
+def stepped(batch: pa.RecordBatch, errors: list[list[float]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and posteriors of the rows (tokens, p, __least), and their rates after a step for each of ``errors``, from one on."""
+    tokens = batch.column("tokens").fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+    least = batch.column("__least").to_numpy(zero_copy_only=False)
+    p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), k)
+    rate = np.ones(len(tokens))
+    for error in errors:
+        slope = np.zeros(len(tokens))
+        for i, e in enumerate(error):
+            slope += p[:, i] * e
+        rate = np.where(tokens == 0, rate, np.maximum(least, rate - slope))
+    return tokens, p, rate
+
+
 def fit_rates(rows: DataFrame, targets: list[float], least: float | Column = 0.0, steps: int = STEPS) -> Fit:
     """``rows`` (with tokens and p) and their rate of at least ``least`` (one for all or a column), by projected gradient descent.
 
     ``targets`` are the wanted tokens of each domain. Squared errors are weighed by the domain's tokens at rate one
     and steps by the document's, which makes one the largest curvature, so that full steps descend. A step needs only
-    the domains' totals, one small aggregate; rates are written every ``KEPT_STEPS`` steps to keep plans short. Documents
-    without tokens keep rate one. Domains without tokens have no say.
+    the domains' totals, one small aggregate. A row's rate follows from the errors of all steps so far, so nothing is written
+    between steps and the plan of a step does not grow. Documents without tokens keep rate one. Domains without tokens have no say.
     """
     k = len(targets)
-    at = rows.withColumn("rate", F.lit(1.0))
-    one = lambda c: [F.sum(F.col("tokens") * F.col("p")[i] * c).alias(f"s{i}") for i in range(k)]
-    start = at.agg(*one(F.lit(1.0))).first()
-    base = [start[f"s{i}"] or 0.0 for i in range(k)]
-    worst, converged, taken = None, False, 0
+    rows = rows.withColumn("__least", (least if isinstance(least, Column) else F.lit(least)).cast("double"))
+    errors: list[list[float]] = []
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(k)
+        for batch in batches:
+            tokens, p, rate = stepped(batch, errors, k)
+            found += (tokens[:, None] * p * rate[:, None]).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], names=[f"s{i}" for i in range(k)])
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.drop_columns(["__least"]).append_column("rate", pa.array(stepped(batch, errors, k)[2]))
+
+    def reached() -> list[float]:
+        parts = rows.select("tokens", "p", "__least").mapInArrow(totals, ", ".join(f"s{i} double" for i in range(k)))
+        now = parts.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
+        return [now[f"s{i}"] or 0.0 for i in range(k)]
+
+    base = now = reached()
+    worst = None
     while True:
-        now = at.agg(*one(F.col("rate"))).first()
-        error = [((now[f"s{i}"] or 0.0) - targets[i]) / base[i] if base[i] else 0.0 for i in range(k)]
+        error = [(now[i] - targets[i]) / base[i] if base[i] else 0.0 for i in range(k)]
         size = sum(e * e * b for e, b in zip(error, base, strict=True))
         converged = worst is not None and worst - size <= DONE * DONE * max(1.0, worst)
-        if converged or taken == steps:
+        if converged or len(errors) == steps:
             break
         worst = size
-        slope = sum((F.col("p")[i] * F.lit(e) for i, e in enumerate(error)), F.lit(0.0))
-        at = at.withColumn("rate", F.when(F.col("tokens") == 0, F.col("rate")).otherwise(F.greatest(least if isinstance(least, Column) else F.lit(least), F.col("rate") - slope)))
-        taken += 1
-        if taken % KEPT_STEPS == 0:
-            at = materialize(at, "rates")
+        errors.append(error)
+        now = reached()
+
     whole = sum(targets)
-    missed = sum(abs((now[f"s{i}"] or 0.0) - t) for i, t in enumerate(targets) if base[i])
-    return Fit(at, taken, converged, missed / whole if whole else 0.0)
+    missed = sum(abs(now[i] - t) for i, t in enumerate(targets) if base[i])
+    return Fit(rows.mapInArrow(rated, wider(rows.drop("__least"), "rate double")), len(errors), converged, missed / whole if whole else 0.0)
 
 
 class Mixture(NamedTuple):
