@@ -213,6 +213,17 @@ def library():
     return tokenizers.Tokenizer.from_file(bpe.tokenizer_path())
 
 
+def test_bpe_remembers_heads_and_moves(library, monkeypatch):
+    tokenizer, falls = bpe.ByteBpe(bpe.tokenizer_path()), []
+    assert tokenizer.encode_piece(" qzxjvkwqq") == tuple(library.encode(" qzxjvkwqq").ids)
+    monkeypatch.setattr(tokenizer.automaton, "follow", lambda *at: falls.append(at))
+    assert tokenizer.encode_piece(" qzxjvkwqq") == tuple(library.encode(" qzxjvkwqq").ids) and not falls
+    read = []
+    monkeypatch.setattr(tokenizer, "read_on", lambda data, state, last, on=tokenizer.read_on: read.append(data) or on(data, state, last))
+    tokenizer.encode_piece(" qzxjvkwqq")
+    assert read == [b" qzxjvkwqq"[bpe.HEAD:]]
+
+
 def test_bpe_equals_the_library(library):
     rng = random.Random(2)
     own = bpe.ByteBpe(bpe.tokenizer_path())

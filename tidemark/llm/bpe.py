@@ -25,6 +25,8 @@ from tidemark.llm.registry import query, table, wider
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED = 250_000
 LONGEST_CACHED = 64
+#: Bytes at the head of a piece whose last tokens are remembered.
+HEAD = 5
 
 
 def byte_chars() -> list[str]:
@@ -58,7 +60,7 @@ class SuffixAutomaton:
 
     def __init__(self, entries: dict[bytes, int]):
         self.step: dict[int, int] = {}
-        own: list[int | None] = [None]
+        own: list[tuple[int, int] | None] = [None]
         depth: list[list[tuple[int, int, int]]] = []
         for entry, token in entries.items():
             node = 0
@@ -71,10 +73,10 @@ class SuffixAutomaton:
                     depth[at].append((node, byte, len(own)))
                     own.append(None)
                 node = self.step[key]
-            own[node] = token
-        #: state of the longest shorter suffix; entries that end in a state
+            own[node] = token, len(entry)
+        #: state of the longest shorter suffix; entries that end in a state, with their lengths
         self.shorter = [0] * len(own)
-        self.ends: list[tuple[int, ...]] = [()] * len(own)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(own)
         for level in depth:
             for parent, byte, node in level:
                 if parent:
@@ -114,7 +116,7 @@ class ByteBpe:
         self.automaton = SuffixAutomaton({self.bytes_of[i]: i for t, i in vocab.items() if len(t) == 1 or i in self.parts})
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(PIECES)
-        self.apart, self.known, self.chunks = Recent(CACHED), Recent(CACHED), Recent(CACHED)
+        self.apart, self.known, self.chunks, self.heads, self.falls = (Recent(CACHED) for _ in range(5))
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' joined bytes is just these two.
@@ -137,28 +139,44 @@ class ByteBpe:
                 # A merge across the boundary with the same rank would start further left, so it would come first.
                 before, b = made_b[0] + 1, made_b[1]
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8", "surrogatepass")
-        last = [-1] * (len(data) + 1)
-        size_of, apart, auto = self.size_of, self.apart, self.automaton
+    def read_on(self, data: bytes, state: int, last: list[int]) -> int:
+        """State after ``data``, read from ``state`` on; the last tokens of the prefixes are added to ``last``."""
+        apart, falls, auto = self.apart, self.falls, self.automaton
         step, ends = auto.step, auto.ends
-        state = 0
-        for end, byte in enumerate(data, 1):
-            go = step.get(state << 8 | byte)
-            state = auto.follow(state, byte) if go is None else go
-            for token in ends[state]:
-                start = end - size_of[token]
-                if start:
-                    key = last[start] << 32 | token
+        for end, byte in enumerate(data, len(last)):
+            at = state << 8 | byte
+            go = step.get(at)
+            if go is None:
+                go = falls.new.get(at)
+                if go is None:
+                    go = falls.get(at)
+                if go is None:
+                    go = falls.put(at, auto.follow(state, byte))
+            state = go
+            for token, size in ends[state]:
+                if size != end:
+                    key = last[end - size] << 32 | token
                     ok = apart.new.get(key)
                     if ok is None:
                         ok = apart.get(key)
                     if ok is None:
-                        ok = apart.put(key, self.stay_apart(last[start], token))
+                        ok = apart.put(key, self.stay_apart(last[end - size], token))
                     if not ok:
                         continue
-                last[end] = token
+                last.append(token)
                 break
+        return state
+
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode("utf-8", "surrogatepass")
+        head = data[:HEAD]
+        begun = self.heads.get(head)
+        if begun is None:
+            last = [-1]
+            begun = self.heads.put(head, (self.read_on(head, 0, last), last))
+        last = begun[1].copy()
+        self.read_on(data[HEAD:], begun[0], last)
+        size_of = self.size_of
         ids = []
         end = len(data)
         while end:
