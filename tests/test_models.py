@@ -1,5 +1,6 @@
 """Detectors, classifiers, calibration, entry points, storage and streams on planted anomalies."""
 
+import hashlib
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -234,6 +235,17 @@ def test_controls_are_permutations(spark):
     assert moved == [472, *range(0, 472, 2)]
 
 
+def test_shuffled_features_need_no_running_count(spark):
+    rows = spark.createDataFrame([(i, float(i), None if i % 3 else -float(i), i % 2) for i in range(50)], "idx bigint, a double, b double, y int")
+    out = sanity.shuffle_features(rows, ["a", "b"])
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.orderBy("idx").collect()
+    for c in "ab":
+        order = sorted(range(50), key=lambda i: (hashlib.md5(f"{i}-{c}-42".encode()).hexdigest(), i))
+        assert [r[c] for r in got] == [None if c == "b" and i % 3 else float(i) if c == "a" else -float(i) for i in order]
+    assert [r["y"] for r in got] == [i % 2 for i in range(50)]
+
+
 def test_incidents(spark):
     flags = [1, 1, 0, 1, 0, 0, 1] + [0] * 20 + [1] * 30
     df = spark.createDataFrame([(i, i, bool(f), float(i)) for i, f in enumerate(flags)], "idx long, timestamp long, is_alert boolean, anomaly_score double")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.order import positions, timeline
+from tidemark.operators.order import timeline
 
 
 def shuffle_key(seed: int, *parts: Column) -> Column:
@@ -43,13 +43,14 @@ def shuffle_blocks(df: DataFrame, cols: Sequence[str], block: int = 50, seed: in
 def shuffle_features(df: DataFrame, cols: Sequence[str], seed: int = 42) -> DataFrame:
     """Shuffle every column of ``cols`` on its own; ``idx`` must be dense from 0.
 
-    One ordered pass over (column, value) pairs serves all columns.
+    One ordered pass over (column, value) pairs serves all columns. Every column has as many rows, so a place in
+    its order is the position in that pass less the columns before it, without a running count.
     """
     cells = df.select("idx", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         ["idx"], [f"`{c}`" for c in cols], "__col", "__v").withColumnRenamed("idx", "__from")
     order = [shuffle_key(seed, F.col("__from"), F.col("__col")), "__from"]
-    placed = positions(timeline(cells, order, keys=["__col"], unique=True), "__spot")
-    wide = placed.groupBy(F.col("__spot").alias("idx")).agg(
+    placed = timeline(cells, order, keys=["__col"], unique=True)
+    wide = placed.df.groupBy((F.col("idx") % max(1, placed.n // len(cols))).alias("idx")).agg(
         *[F.max(F.when(F.col("__col") == c, F.col("__v"))).alias(c) for c in cols]
     )
     rest = [c for c in df.columns if c not in cols]
