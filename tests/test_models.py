@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.explain import contributions, explanation, top_contributors
 from tidemark.functions.kpi import KPIS
 from tidemark.operators import detectors as det
+from tidemark.operators import forest
 from tidemark.operators import histboost, knn, metrics, ranking, sanity, scale, searchboost, tails
 from tidemark.operators.calibrate import Sigmoid
 from tidemark.operators.incidents import group_incidents
@@ -166,6 +167,27 @@ def test_forests_of_a_share(spark, tmp_path):
         assert np.allclose(again, found[0])
 
 
+def test_forests_of_a_share_count_equal_rows(spark):
+    """Many rows with few different vectors fit a task; draws and trees are those of the rows."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 15, size=(2000, 2)) / 4
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "idx long, features array<double>").repartition(5)
+    for seed in (1, -7, 1 << 40):
+        rows = det.IsolationForest.shared(df, 9, 0.7, seed).groupBy("tree").count()
+        assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in det.IsolationForest.share_sizes(df, 9, 0.7, seed).collect()}
+    few = det.IsolationForest.fit(df, 2000, 5, 0.7, task_values=600, model_nodes=10)
+    assert few.table is not None and few.nodes is None
+    drawn = det.IsolationForest.shared(df, 5, 0.7, 42).toPandas()
+    total = np.zeros(2000)
+    for r in few.table.collect():
+        own = np.stack(drawn.loc[drawn["tree"] == r["tree"], "features"])
+        want, got = forest.grow(own, r["tree"], 42, 11), forest.unpacked(r)
+        assert all(np.allclose(got[c], want[c]) for c in forest.KINDS)
+        total += forest.walked(want, x)
+    s = few.transform(df, "s", raw=True).orderBy("idx").toPandas()["s"].to_numpy()
+    assert np.allclose(s, 2.0 ** (-total / (5 * float(forest.mean_path(1400)))))
+
+
 def test_kernel_mean_and_reconstruction(spark):
     rng = np.random.default_rng(5)
     line = rng.normal(size=300)
