@@ -188,6 +188,18 @@ def test_forests_of_a_share_count_equal_rows(spark):
     assert np.allclose(s, 2.0 ** (-total / (5 * float(forest.mean_path(1400)))))
 
 
+def test_unlabelled_training_scores_rows_once(spark, kpis, monkeypatch):
+    """The cut and the threshold come from the scores that are returned, which are those of the kept model."""
+    passes, transform = [], forest.IsolationForest.transform
+    monkeypatch.setattr(forest.IsolationForest, "transform", lambda *a, **k: passes.append(1) or transform(*a, **k))
+    out = train(kpis.drop("anomaly", "anomaly_latency"), label=None, candidates={"IsolationForest": {"trees": 5, "contamination": 0.05}})
+    assert len(passes) == 1 and out.scorer.params["contamination"] == 0.05
+    rows = out.scores.withColumnRenamed("anomaly_score", "had").withColumnRenamed("is_alert", "alert")
+    got = out.scorer.transform(rows).select("had", "anomaly_score", "alert", "is_alert").toPandas()
+    assert np.allclose(got["had"], got["anomaly_score"]) and (got["alert"] == got["is_alert"]).all()
+    assert abs((got["had"] > 0).sum() - 0.05 * len(got)) <= 1
+
+
 def test_kernel_mean_and_reconstruction(spark):
     rng = np.random.default_rng(5)
     line = rng.normal(size=300)
