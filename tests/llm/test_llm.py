@@ -224,6 +224,20 @@ def test_bpe_remembers_heads_and_moves(library, monkeypatch):
     assert read == [b" qzxjvkwqq"[bpe.HEAD:]]
 
 
+def test_bpe_decides_only_what_the_ids_need(library, monkeypatch):
+    tokenizer, asked = bpe.ByteBpe(bpe.tokenizer_path()), []
+    word = " responsibilitiesandinternationalization"
+    tokenizer.encode_piece(word[:bpe.HEAD])
+    monkeypatch.setattr(tokenizer, "last_at", lambda end, *rest, on=tokenizer.last_at: asked.append(end) or on(end, *rest))
+    assert list(tokenizer.encode_piece(word)) == library.encode(word, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) < (len(word) - bpe.HEAD) / 2
+    # A word of letters is one piece without asking the pattern.
+    cut = []
+    monkeypatch.setattr(tokenizer, "encode_pieces", lambda text, on=tokenizer.encode_pieces: cut.append(text) or on(text))
+    text = "Some words of letters, don't"
+    assert tokenizer.encode(text) == library.encode(text, add_special_tokens=False).ids and cut == ["Some", " letters,", " don't"]
+
+
 def test_bpe_equals_the_library(library):
     rng = random.Random(2)
     own = bpe.ByteBpe(bpe.tokenizer_path())

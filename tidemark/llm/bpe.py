@@ -27,6 +27,8 @@ CACHED = 250_000
 LONGEST_CACHED = 64
 #: Bytes at the head of a piece whose last tokens are remembered.
 HEAD = 5
+#: Bytes up to which last tokens are sought from the end, and only those that the end depends on.
+SOUGHT = 256
 
 
 def byte_chars() -> list[str]:
@@ -139,38 +141,59 @@ class ByteBpe:
                 # A merge across the boundary with the same rank would start further left, so it would come first.
                 before, b = made_b[0] + 1, made_b[1]
 
-    def read_on(self, data: bytes, state: int, last: list[int]) -> int:
-        """State after ``data``, read from ``state`` on; the last tokens of the prefixes are added to ``last``."""
-        apart, falls, auto = self.apart, self.falls, self.automaton
-        step, ends = auto.step, auto.ends
-        for end, byte in enumerate(data, len(last)):
+    def read_on(self, data: bytes, state: int, last: list[int | None]) -> int:
+        """State after ``data``, read from ``state`` on; the last tokens of the prefixes are added to ``last``.
+
+        Behind a head whose tokens are all known, those on which the last one does not depend are left open (None).
+        """
+        falls, known = self.falls, len(last)
+        step, follow = self.automaton.step, self.automaton.follow
+        states = []
+        for byte in data:
             at = state << 8 | byte
-            go = step.get(at)
-            if go is None:
-                go = falls.new.get(at)
-                if go is None:
-                    go = falls.get(at)
-                if go is None:
-                    go = falls.put(at, auto.follow(state, byte))
-            state = go
-            for token, size in ends[state]:
-                if size != end:
-                    key = last[end - size] << 32 | token
-                    ok = apart.new.get(key)
-                    if ok is None:
-                        ok = apart.get(key)
-                    if ok is None:
-                        ok = apart.put(key, self.stay_apart(last[end - size], token))
-                    if not ok:
-                        continue
-                last.append(token)
-                break
+            state = step.get(at)
+            if state is None:
+                state = falls.new.get(at)
+                if state is None:
+                    state = falls.get(at)
+                if state is None:
+                    state = falls.put(at, follow(at >> 8, byte))
+            states.append(state)
+            last.append(None)
+        if known > 1 and len(states) <= SOUGHT:
+            if states:
+                self.last_at(len(last) - 1, known, states, last)
+        else:
+            for end in range(known, len(last)):
+                self.last_at(end, known, states, last)
         return state
 
+    def last_at(self, end: int, known: int, states: list[int], last: list[int | None]) -> int:
+        """Last token of the prefix of ``end`` bytes; ``states`` are those of the prefixes from ``known`` bytes on."""
+        apart = self.apart
+        remembered = apart.new
+        for token, size in self.automaton.ends[states[end - known]]:
+            if size != end:
+                left = last[end - size]
+                if left is None:
+                    left = self.last_at(end - size, known, states, last)
+                key = left << 32 | token
+                ok = remembered.get(key)
+                if ok is None:
+                    ok = apart.get(key)
+                if ok is None:
+                    ok = apart.put(key, self.stay_apart(left, token))
+                    remembered = apart.new
+                if not ok:
+                    continue
+            last[end] = token
+            return token
+        raise ValueError("a byte without an entry")
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8", "surrogatepass")
         head = data[:HEAD]
-        begun = self.heads.get(head)
+        begun = self.heads.new.get(head) or self.heads.get(head)
         if begun is None:
             last = [-1]
             begun = self.heads.put(head, (self.read_on(head, 0, last), last))
@@ -189,7 +212,9 @@ class ByteBpe:
         out: list[int] = []
         known = self.known
         for piece in self.pieces.findall(text):
-            ids = known.get(piece)
+            ids = known.new.get(piece)
+            if ids is None:
+                ids = known.get(piece)
             if ids is None:
                 ids = self.encode_piece(piece)
                 if len(piece) <= LONGEST_CACHED:
@@ -219,7 +244,8 @@ class ByteBpe:
                     del out[at:]
                     out += self.encode_pieces(text)
                     return
-                ids = tuple(self.encode_pieces(" " + chunk))
+                # Letters alone are one piece with the space before them.
+                ids = self.encode_piece(" " + chunk) if chunk.isascii() and chunk.isalpha() else tuple(self.encode_pieces(" " + chunk))
                 if len(chunk) <= LONGEST_CACHED:
                     chunks.put(chunk, ids)
             out += ids
@@ -310,7 +336,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                     found = bpe.encode(text_.as_py() or "")
                     rows.append((
                         len(found),
-                        hashlib.sha256(",".join([names[i] for i in found]).encode()).hexdigest(),
+                        hashlib.sha256(",".join(map(names.__getitem__, found)).encode()).hexdigest(),
                         hashlib.sha256(bpe.decode(found).encode()).hexdigest(),
                     ))
                     if ids is not None:
