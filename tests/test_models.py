@@ -449,6 +449,31 @@ def test_boosting_splits_like_brute_force():
         assert any((c, k, side, n) == (column, cut, to_left, sums[2]) for v, c, k, side, n in best if abs(v - most) < 1e-9)
 
 
+@pytest.mark.parametrize("most", [1.0, 1e6])
+def test_sums_of_packed_rows_are_exact(monkeypatch, most):
+    """Counts above second derivatives in one double, and apart where weights leave no room, equal sums of whole numbers row by row."""
+    monkeypatch.setattr(histboost, "PACKED", 700)
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 256, (2, 3000)).astype(np.uint8)
+    g, h = histboost.derivatives(rng.normal(size=3000), rng.integers(0, 2, 3000).astype(float), rng.random(3000) * most)
+    rows = np.flatnonzero(rng.random(3000) < 0.8)
+    want = np.zeros((2, 256, 3), np.int64)
+    for j in range(2):
+        np.add.at(want[j], bins[j, rows], np.stack([g, h, np.ones(3000)], axis=1)[rows].astype(np.int64))
+    assert (histboost.sums(bins, g, h, rows) == want).all()
+
+
+def test_rows_at_hand_stay_sorted_by_node(monkeypatch):
+    """A level looks at the rows of the nodes that were split last, once each, instead of taking all rows down from the root again."""
+    x, y = _boost_rows(1000)
+    cuts = [np.unique(c[~np.isnan(c)])[:-1] for c in x.T]
+    looked, real = [], histboost.Tree.spread
+    monkeypatch.setattr(histboost.Tree, "spread", lambda self, bins, rows=None: (looked.append(None if rows is None else set(rows)), real(self, bins, rows))[1])
+    source = histboost.InTask(np.ascontiguousarray(histboost.as_bins(x, cuts).T), y.astype(float), 1.0, np.zeros(1000))
+    trees = histboost.boost(source, cuts, histboost.Settings(trees=3, depth=3))
+    assert len(trees) == 3 and None not in looked and {1} in looked and len(looked) == 3 * 3 + 2
+
+
 def test_boosting_is_the_same_in_one_task_and_level_by_level(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(histboost, "BLOCK", 100)
     monkeypatch.setattr(histboost, "REWRITE", 2)
@@ -577,6 +602,25 @@ def test_search_applies_each_tree_once(spark, monkeypatch):
     assert len(steps) == 3 and len(set(steps)) == 1
 
 
+def test_fits_share_trees_until_a_side_is_too_small(spark, monkeypatch):
+    """Fits that differ in their least rows only: the trees of single fits, grown once where none of them is too small."""
+    x, y = _boost_rows(600)
+    df = spark.createDataFrame([(i, [None if v != v else float(v) for v in r], int(t)) for i, (r, t) in enumerate(zip(x, y))], "idx long, features array<double>, y int")
+    fits = [searchboost.Fit(600, histboost.Settings(trees=n, depth=3, rate=0.5, least_rows=k), share) for k, n in ((30, 4), (1, 6), (8, 6), (2, 6)) for share in (1.0, 0.7)]
+    columns = ("feature", "cut", "threshold", "missing_left", "value", "gain")
+    same = lambda a, b: len(a.trees) == len(b.trees) and all((getattr(s, c) == getattr(t, c)).all() for s, t in zip(a.trees, b.trees) for c in columns)
+    single = [searchboost.fit_many(df, "y", [f])[0] for f in fits]
+    for values in (None, 0):
+        assert all(same(a, b) for a, b in zip(searchboost.fit_many(df, "y", fits, task_values=values), single))
+    assert not same(single[2], single[4])
+    cuts = [np.unique(c[~np.isnan(c)])[:-1] for c in x.T]
+    grown, real = [], histboost.grow
+    monkeypatch.setattr(histboost, "grow", lambda *args: (grown.append(args[3].least_rows), real(*args))[1])
+    source = histboost.InTask(np.ascontiguousarray(histboost.as_bins(x, cuts).T), y.astype(float), 1.0, np.zeros(600))
+    searchboost._together(source, cuts, [(k, histboost.Settings(trees=5, depth=1, least_rows=k)) for k in (3, 1, 2)], [])
+    assert grown == [1] * 5
+
+
 def test_many_fits_in_one_pass_equal_single_fits(spark, monkeypatch):
     monkeypatch.setattr(histboost, "BLOCK", 100)
     monkeypatch.setattr(histboost, "REWRITE", 2)
