@@ -187,6 +187,21 @@ def test_alert_sources(spark):
         ranking.resolve_alerts(df.drop("score"))
 
 
+def test_brackets_are_cut_around_the_ranks(spark, monkeypatch):
+    """One round leaves few of 20,000 rows around each rank; a value is compared with the cuts around the ranks only."""
+    from tidemark.operators import quantile
+
+    rounds, real = [], quantile._tagged
+    monkeypatch.setattr(quantile, "_tagged", lambda values, brackets: (rounds.append(len(brackets)), real(values, brackets))[1])
+    v = np.random.default_rng(8).normal(size=20_000)
+    v[:4000] = 0.25
+    df = spark.createDataFrame(pd.DataFrame({"v": v, "u": -v}))
+    got = exact_quantiles(df, ["v", "u"], [0.0, 0.1, 0.5, 0.9, 1.0], few=40)
+    for c, x in (("v", v), ("u", -v)):
+        assert got[c] == pytest.approx(list(np.quantile(x, [0.0, 0.1, 0.5, 0.9, 1.0])), abs=1e-12)
+    assert len(rounds) <= 2 and rounds[0] == 2
+
+
 def test_quantiles_with_infinities_and_job_count(spark):
     rng = np.random.default_rng(8)
     v = np.concatenate([rng.normal(size=3000), [np.inf] * 40, [-np.inf] * 40])
