@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.clean import drop_constant, drop_incomplete, feature_columns, numbers, parse_time, require
 from tidemark.operators import features as feat
+from tidemark.operators import order
 from tidemark.operators.fill import fill
 from tidemark.operators.order import from_indexed, positions, reindex, running_totals, timeline, windowed
 
@@ -200,3 +201,14 @@ def test_maps_and_arrays_decide_ties(spark):
     df = spark.createDataFrame(rows, "t int, m map<string,int>, a array<int>")
     first, second = ([r["a"] for r in timeline(df.repartition(n), ["t"]).df.orderBy("idx").collect()] for n in (1, 5))
     assert first == second
+
+
+def test_estimates_of_joins_do_not_multiply_ranges(spark, tmp_path):
+    """The planner takes a join for the product of its sides; a small one is not sorted in thousands of ranges."""
+    for name in ("a", "b"):
+        spark.range(200_000).selectExpr("id", "hash(id) as v", "uuid() as text").write.parquet(f"{tmp_path}/{name}")
+    a, b = spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b")
+    joined = a.join(b.select("id", F.col("v").alias("u")), "id").groupBy("v").agg(F.sum("u").alias("u"))
+    assert order._ranges(joined) is None
+    # Tables that are large themselves still get their ranges.
+    assert order._ranges(spark.read.parquet(f"{tmp_path}/a")) is None
