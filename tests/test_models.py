@@ -29,6 +29,10 @@ from tidemark.streaming.incidents import stream_incidents_rows, use_state_store
 from tidemark.streaming.score import stream_score
 
 
+# Queries that compare models on rolling splits, with the models.
+ROLLING = {"timecv5": ["GradientBoosting"]}
+
+
 def network(n=600, seed=0):
     """Six KPIs of one day with spikes, labelled."""
     rng = np.random.default_rng(seed)
@@ -332,6 +336,25 @@ def test_compare_falls_back_when_a_model_fails(kpis):
     assert out.scores.count() == 90
 
 
+def test_rolling_comparisons_run_at_full_settings(spark, tmp_path, monkeypatch):
+    from checks.registry import QUERIES
+    import checks.models  # noqa: F401
+
+    rows = [(i, i % 7, datetime(2024, 1, 1) + timedelta(minutes=i), float(i % 11), "error" if i % 5 == 0 else "view") for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    seen = {}
+
+    def cut(data, folds, models, params):
+        seen.update(folds=len(folds), models=list(models), params=params)
+        raise InterruptedError
+
+    monkeypatch.setattr(compare, "_rolling", cut)
+    for name, models in ROLLING.items():
+        with pytest.raises(InterruptedError):
+            QUERIES[name](spark, str(tmp_path))
+        assert seen == {"folds": 5, "models": models, "params": None}
+
+
 def test_grid_search(kpis):
     configs = [{"maxIter": 3, "stepSize": 0.1, "maxDepth": d, "minInstancesPerNode": 5, "subsamplingRate": 1.0} for d in (2, 3, 2)]
     out = tuning.tune_gb(kpis, configs=configs, folds=2, min_pos=1, limit=2)
