@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.explain import contributions, explanation, top_contributors
 from tidemark.functions.kpi import KPIS
 from tidemark.operators import detectors as det
-from tidemark.operators import forest
+from tidemark.operators import deepforest, forest
 from tidemark.operators import histboost, knn, metrics, ranking, sanity, scale, searchboost, tails
 from tidemark.operators.calibrate import Sigmoid
 from tidemark.operators.incidents import group_incidents
@@ -30,7 +30,7 @@ from tidemark.streaming.score import stream_score
 
 
 # Queries that compare models on rolling splits, with the models.
-ROLLING = {"timecv5": ["GradientBoosting"]}
+ROLLING = {"timecv5": ["GradientBoosting"], "model_compare": ["LogisticRegression", "RandomForest", "GradientBoosting"]}
 
 
 def network(n=600, seed=0):
@@ -336,6 +336,51 @@ def test_compare_falls_back_when_a_model_fails(kpis):
     assert out.scores.count() == 90
 
 
+def test_deep_trees_split_like_brute_force():
+    rng = np.random.default_rng(0)
+    bins, y, times = rng.integers(0, 6, (1, 60)).astype(np.uint8), rng.integers(0, 2, 60), rng.integers(0, 3, 60)
+    weights, least = (0.7, 2.5), 3
+
+    def impurity(own):
+        pos, neg = (times * y)[own].sum() * weights[1], (times * (1 - y))[own].sum() * weights[0]
+        return (pos + neg) * (1 - (pos**2 + neg**2) / (pos + neg) ** 2)
+
+    cuts = {c: impurity(bins[0] <= c) + impurity(bins[0] > c) for c in range(6)
+            if min(times[bins[0] <= c].sum(), times[bins[0] > c].sum()) >= least}
+    tree = deepforest.grow(bins, y, times, weights, 1, least, rng)
+    assert tree["cut"][0] == min(cuts, key=cuts.get) and list(tree["child"]) == [1, 0, 0]
+    right = bins[0] > tree["cut"][0]
+    pos, neg = (times * y)[right].sum() * weights[1], (times * (1 - y))[right].sum() * weights[0]
+    assert tree["value"][2] == pytest.approx(pos / (pos + neg)) and deepforest.shares(bins, tree)[right] == pytest.approx(pos / (pos + neg))
+
+
+def test_deep_trees_are_the_same_by_counts_and_by_sorts():
+    rng = np.random.default_rng(1)
+    bins, y = rng.integers(0, 40, (5, 700)).astype(np.uint8), rng.integers(0, 2, 700)
+    times = np.bincount(rng.integers(0, 700, 700), minlength=700)
+    made = [deepforest.grow(bins, y, times, (1.0, 3.0), 30, 1, np.random.default_rng(2), dense) for dense in (True, False, None)]
+    for other in made[1:]:
+        assert all((made[0][k] == other[k]).all() for k in deepforest.KINDS)
+    # Grown out: drawn rows with different values get their own label back.
+    drawn = times > 0
+    assert (deepforest.shares(bins, made[0])[drawn].round() == y[drawn]).all() and len(made[0]["value"]) > 200
+
+
+def test_deep_forest_has_all_trees_and_survives_storage(spark, kpis, tmp_path):
+    train = kpis.withColumn("anomaly", F.col("anomaly").cast("int"))
+    model = fit(train, "RandomForest", KPIS, params={"numTrees": 40})
+    assert model.params["maxDepth"] == 30 and len(model.bagged.trees) == 40
+    again = fit(train.repartition(3), "RandomForest", KPIS, params={"numTrees": 40})
+    model.save(spark, f"{tmp_path}/deep")
+    loaded = Scorer.load(spark, f"{tmp_path}/deep")
+    key = lambda m: [r[0] for r in m.transform(train).orderBy("timestamp").select("anomaly_score").collect()]
+    assert key(model) == key(loaded) == key(again)
+    rows = model.transform(train.where("anomaly is not null")).select(F.col("anomaly_score").alias("score"), F.col("anomaly").alias("y"))
+    assert ap(rows) > 0.99
+    shares = model.importances()
+    assert sum(shares.values()) == pytest.approx(1) and shares["latency"] > shares["bandwidth"] == 0
+
+
 def test_rolling_comparisons_run_at_full_settings(spark, tmp_path, monkeypatch):
     from checks.registry import QUERIES
     import checks.models  # noqa: F401
