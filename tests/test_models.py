@@ -91,6 +91,22 @@ def test_neighbours_in_cells_and_without(spark, crowded):
     assert got["dist"].tolist() == np.sort(d, axis=1)[:, :7].ravel().tolist()
 
 
+@pytest.mark.parametrize("crowded,block", [(0.0, 50), (1.0, 50), (0.0, None), (1.0, 7)])
+def test_references_that_would_travel_much_are_read_by_tasks(spark, monkeypatch, crowded, block):
+    monkeypatch.setattr(knn, "TRAVEL", 0)
+    sent = []
+    monkeypatch.setattr(knn, "_read_by_tasks", lambda *a, own=knn._read_by_tasks: sent.append(a) or own(*a))
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(300, 4)), np.full((1, 4), 1e8), 1e3 + rng.integers(0, 3, (1_800, 4))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vid long, features array<double>")
+    got = knn.neighbours(df, df, 9, 20, block, crowded).toPandas().sort_values(["qid", "dist", "rid"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    near = np.argsort(d, axis=1, kind="stable")[:, :9]
+    assert len(sent) == 1 and (sent[0][4] is None) == (crowded == 0.0)
+    assert got["qid"].tolist() == np.repeat(np.arange(len(x)), 9).tolist() and got["rid"].tolist() == near.ravel().tolist()
+    assert got["dist"].tolist() == np.take_along_axis(d, near, 1).ravel().tolist()
+
+
 def test_batch_of_references_is_sent_in_bounded_parts(spark, monkeypatch):
     """Every row may go to every cell: the rows sent at a time stay few."""
     monkeypatch.setattr(knn, "VALUES", 4_096)
