@@ -395,6 +395,8 @@ def test_deep_forest_has_all_trees_and_survives_storage(spark, kpis, tmp_path):
     assert ap(rows) > 0.99
     shares = model.importances()
     assert sum(shares.values()) == pytest.approx(1) and shares["latency"] > shares["bandwidth"] == 0
+    with pytest.raises(ValueError, match="labels"):
+        fit(train.withColumn("anomaly", F.when(F.col("latency") < 15, F.col("anomaly"))), "RandomForest", KPIS, params={"numTrees": 1})
 
 
 def test_rolling_comparisons_run_at_full_settings(spark, tmp_path, monkeypatch):
